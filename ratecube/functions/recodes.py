@@ -1,98 +1,109 @@
-"""Recodes of raw codes onto the demographic keys, as column expressions.
+"""Recodes of raw codes onto the demographic keys.
 
-All of them are case, array or map literals, so they stay in the scan stage:
-no join and no shuffle. An unlisted code gives null.
+Each function takes the SQL text of a column and returns the SQL text of the
+recoded value, for ``selectExpr`` and ``F.expr``. Code tables enter as literals,
+so a recode stays in the scan stage: no join and no shuffle. An unlisted code
+gives null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ratecube.functions import codes
 
 
-def _first_match(branches: list[tuple[Column, Column]]) -> Column:
-    chain = F
-    for condition, value in branches:
-        chain = chain.when(condition, value)
-    return chain
+def literal(value: str | int | float | None) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def _literals(values: list) -> str:
+    return ", ".join(literal(value) for value in values)
+
 
+def is_in(code: str, values: list) -> str:
+    return f"{code} IN ({_literals(values)})"
 
-def label_of(code: Column, table: list[tuple]) -> Column:
+
+def pick(values: list, position: str) -> str:
+    """Entry of a fixed list by position, counted from 0; null outside it."""
+    return f"get(array({_literals(values)}), CAST({position} AS INT))"
+
+
+def label_of(code: str, table: list[tuple]) -> str:
     """Look `code` up in a fixed (code, label) table; null when it is not there."""
-    return F.create_map(*[F.lit(cell) for row in table for cell in row])[code]
+    return f"map({_literals([cell for row in table for cell in row])})[{code}]"
+
 
+def _case(branches: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {literal(value)}" for test, value in branches) + " END"
 
-def label_of_number_range(number: Column, ranges: list[tuple[int, int, str]]) -> Column:
-    return _first_match([(number.between(lo, hi), F.lit(label)) for lo, hi, label in ranges])
 
+def label_of_number_range(number: str, ranges: list[tuple[int, int, str]]) -> str:
+    return _case([(f"{number} BETWEEN {lo} AND {hi}", label) for lo, hi, label in ranges])
 
-def label_of_code_range(code: Column, ranges: list[tuple[str, str | None, str]]) -> Column:
+
+def label_of_code_range(code: str, ranges: list[tuple[str, str | None, str]]) -> str:
     """Ranges of zero-padded text codes. An open range compares as text, as the
     input coding does, so it also takes in codes such as "99"."""
     branches = []
     for lo, hi, label in ranges:
         if hi is None:
-            condition = code >= lo
+            test = f"{code} >= {literal(lo)}"
         else:
-            condition = code.isin([str(n).zfill(len(lo)) for n in range(int(lo), int(hi) + 1)])
-        branches.append((condition, F.lit(label)))
-    return _first_match(branches)
+            test = is_in(code, [str(n).zfill(len(lo)) for n in range(int(lo), int(hi) + 1)])
+        branches.append((test, label))
+    return _case(branches)
 
 
-def integer(code: Column) -> Column:
+def integer(code: str) -> str:
     """Text to integer; null when it is no number."""
-    return code.try_cast("int")
+    return f"try_cast({code} AS INT)"
 
 
 # --- birthplace and nativity ---------------------------------------------------
 
 
-def event_nativity(birth_code: Column) -> Column:
-    return _first_match(
+def event_nativity(birth_code: str) -> str:
+    return _case(
         [
-            (birth_code.isin(codes.STATES + codes.TERRITORIES), F.lit("native")),
-            (birth_code.isin([code for code, _ in codes.FOREIGN_BIRTH_CODES]), F.lit("foreign")),
+            (is_in(birth_code, codes.STATES + codes.TERRITORIES), "native"),
+            (is_in(birth_code, [code for code, _ in codes.FOREIGN_BIRTH_CODES]), "foreign"),
         ]
     )
 
 
-def event_birthplace(birth_code: Column) -> Column:
-    return F.when(
-        birth_code.isin(codes.STATES + codes.TERRITORIES), F.lit("native")
-    ).otherwise(label_of(birth_code, codes.FOREIGN_BIRTH_CODES))
+def event_birthplace(birth_code: str) -> str:
+    native = is_in(birth_code, codes.STATES + codes.TERRITORIES)
+    abroad = [(f"{birth_code} = {literal(code)}", place) for code, place in codes.FOREIGN_BIRTH_CODES]
+    return _case([(native, "native"), *abroad])
 
 
-def survey_nativity(bpl: Column) -> Column:
-    return _first_match(
-        [
-            (
-                bpl.between(*codes.NATIVE_BPL_RANGE) | bpl.isin(codes.NATIVE_BPL_CODES),
-                F.lit("native"),
-            ),
-            (bpl.between(*codes.FOREIGN_BPL_RANGE), F.lit("foreign")),
-        ]
-    )
+def survey_nativity(bpl: str) -> str:
+    first, last = codes.NATIVE_BPL_RANGE
+    native = f"({bpl} BETWEEN {first} AND {last} OR {is_in(bpl, codes.NATIVE_BPL_CODES)})"
+    first, last = codes.FOREIGN_BPL_RANGE
+    return _case([(native, "native"), (f"{bpl} BETWEEN {first} AND {last}", "foreign")])
 
 
-def survey_birthplace(bpl: Column) -> Column:
-    named = [(bpl == code, F.lit(label)) for code, label in codes.FOREIGN_BPL_CODES]
-    rest = (bpl.between(*codes.FOREIGN_BPL_RANGE), F.lit("Rest of world"))
-    return _first_match([*named, rest])
+def survey_birthplace(bpl: str) -> str:
+    named = [(f"{bpl} = {code}", place) for code, place in codes.FOREIGN_BPL_CODES]
+    first, last = codes.FOREIGN_BPL_RANGE
+    return _case([*named, (f"{bpl} BETWEEN {first} AND {last}", "Rest of world")])
 
 
-def state_from_fips(statefip: Column) -> Column:
+def state_from_fips(statefip: str) -> str:
     """State number to postal code: an array indexed by the number."""
     postal = dict(codes.STATE_FIPS)
-    slots = [F.lit(postal.get(n)).cast("string") for n in range(max(postal) + 1)]
-    return F.get(F.array(*slots), statefip)
+    return pick([postal.get(n) for n in range(max(postal) + 1)], statefip)
 
 
 # --- age, race, ethnicity, sex, marital status, cause ----------------------------
 
 
-def age_band(years: Column, bands: list[tuple] = codes.AGE_BANDS) -> Column:
+def age_band(years: str, bands: list[tuple] = codes.AGE_BANDS) -> str:
     """Code of the band that holds an age in whole years.
 
     The bands adjoin and the last one is open, so they unroll into one slot per
@@ -100,76 +111,76 @@ def age_band(years: Column, bands: list[tuple] = codes.AGE_BANDS) -> Column:
     """
     *closed, (last_code, last_start, *_) = bands
     slots = [code for code, lo, hi, *_ in closed for _ in range(lo, hi + 1)] + [last_code]
-    position = F.greatest(F.least(years, F.lit(last_start)), F.lit(0))
-    return F.when(
-        years.isNotNull(), F.get(F.array(*[F.lit(code) for code in slots]), position)
-    )
+    # greatest and least skip nulls, so a null age needs its own test.
+    position = f"greatest(least({years}, {last_start}), 0)"
+    return f"CASE WHEN {years} IS NOT NULL THEN {pick(slots, position)} END"
 
 
-def event_race5(code: Column) -> Column:
+def event_race5(code: str) -> str:
     return label_of_code_range(code, codes.RACE5_RANGES)
 
 
-def event_race12(code: Column) -> Column:
+def event_race12(code: str) -> str:
     return label_of_code_range(code, codes.RACE12_RANGES)
 
 
-def survey_race5(code: Column) -> Column:
+def survey_race5(code: str) -> str:
     return label_of_number_range(code, codes.SURVEY_RACE_RANGES)
 
 
-def event_ethnicity2(origin: Column) -> Column:
+def event_ethnicity2(origin: str) -> str:
     return label_of_number_range(integer(origin), codes.ETHNICITY2_RANGES)
 
 
-def event_ethnicity11(origin: Column) -> Column:
+def event_ethnicity11(origin: str) -> str:
     return label_of_number_range(integer(origin), codes.ETHNICITY11_RANGES)
 
 
-def survey_ethnicity2(hispan: Column) -> Column:
+def survey_ethnicity2(hispan: str) -> str:
     return label_of_number_range(hispan, codes.SURVEY_ETHNICITY_RANGES)
 
 
-def survey_sex(code: Column) -> Column:
+def survey_sex(code: str) -> str:
     return label_of(code, codes.SURVEY_SEX)
 
 
-def event_marital(code: Column) -> Column:
+def event_marital(code: str) -> str:
     return label_of(code, codes.MARITAL_LABELS)
 
 
-def survey_marital(code: Column) -> Column:
+def survey_marital(code: str) -> str:
     return label_of(code, codes.SURVEY_MARITAL)
 
 
-def method(cause: Column) -> Column:
+def method(cause: str) -> str:
     """Method of a homicide; null for every other cause."""
-    return F.when(
-        cause.isin(codes.HOMICIDE_CAUSES),
-        F.when(cause == codes.FIREARM_CAUSE, codes.METHOD_FIREARM).otherwise(codes.METHOD_OTHER),
+    return _case(
+        [
+            (f"{cause} = {literal(codes.FIREARM_CAUSE)}", codes.METHOD_FIREARM),
+            (is_in(cause, codes.HOMICIDE_CAUSES), codes.METHOD_OTHER),
+        ]
     )
 
 
-def cause_label(cause: Column) -> Column:
+def cause_label(cause: str) -> str:
     before, after = codes.CAUSE_FALLBACK
-    return F.coalesce(
-        label_of(cause, codes.CAUSE_LABELS), F.concat(F.lit(before), cause, F.lit(after))
-    )
+    fallback = f"concat({literal(before)}, {cause}, {literal(after)})"
+    return f"coalesce({label_of(cause, codes.CAUSE_LABELS)}, {fallback})"
 
 
-def nativity_label(nativity: Column) -> Column:
+def nativity_label(nativity: str) -> str:
     return label_of(nativity, codes.NATIVITY_LABELS)
 
 
-def age_label(age_group: Column) -> Column:
+def age_label(age_group: str) -> str:
     return label_of(age_group, codes.AGE_LABELS)
 
 
-def sort_order(label: Column, ordered: list[str]) -> Column:
+def sort_order(label: str, ordered: list[str]) -> str:
     """Position of `label` in a fixed order, 1 first: the place of an ordered factor."""
     return label_of(label, [(name, place) for place, name in enumerate(ordered, start=1)])
 
 
-def category(*parts: Column) -> Column:
+def category(*parts: str) -> str:
     """Composite label such as "White, Hispanic, Native-born"."""
-    return F.concat_ws(", ", *parts)
+    return f"concat_ws(', ', {', '.join(parts)})"

@@ -68,13 +68,13 @@ def age_specific_rate(
     """Every age cell with its rate, standard weight and weighted rate."""
     check_weights(weights)
     rated = with_rate(anchored(known_age(cells, age), anchor), "rate", per)
-    return rated.withColumn("weight", label_of(F.col(age), weights)).withColumn(
+    return rated.withColumn("weight", F.expr(label_of(age, weights))).withColumn(
         "weighted_rate", F.col("rate") * F.col("weight")
     )
 
 
 def _weighted_rate(weights: list[tuple[str, float]], per: float, age: str) -> Column:
-    return ratio(F.col("n"), F.col("pop"), per) * label_of(F.col(age), weights)
+    return ratio(F.col("n"), F.col("pop"), per) * F.expr(label_of(age, weights))
 
 
 def _has_age(age: str) -> Column:

@@ -165,7 +165,7 @@ DISTRIBUTIONS: dict[str, Query] = {
     "top_causes_ties": _of_deaths(reports.top_causes),
     "cause_label_fallback": _of_deaths(
         lambda deaths: count_events(deaths, ["cause"]).select(
-            "cause", recodes.cause_label(F.col("cause")).alias("cause_label"), "n"
+            "cause", F.expr(recodes.cause_label("cause")).alias("cause_label"), "n"
         )
     ),
 }
@@ -201,11 +201,8 @@ def _document_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layout_parts(spark: SparkSession, sf_dir: str, read: Callable, keep: list[str]) -> DataFrame:
-    lines = star.record_lines(spark, sf_dir)
-    is_old = F.col("file_year") <= 2020
-    return fixed_width.union_by_name(
-        [read(lines.filter(is_old), OLD_LAYOUT, keep), read(lines.filter(~is_old), NEW_LAYOUT, keep)]
-    )
+    old, new = star.record_lines(spark, sf_dir, OLD_LAYOUT, NEW_LAYOUT)
+    return fixed_width.union_by_name([read(old, OLD_LAYOUT, keep), read(new, NEW_LAYOUT, keep)])
 
 
 SCANS: dict[str, Query] = {

@@ -127,7 +127,7 @@ def crude_and_adjusted_stacked(events: DataFrame, persons: DataFrame) -> DataFra
         F.col("crude_rate").alias(order[0]), F.col("age_adjusted_rate").alias(order[1]),
     )
     return named.unpivot(["data_year", "nativity"], order, "rate_type", "rate").withColumn(
-        "sort_order", recodes.sort_order(F.col("rate_type"), order)
+        "sort_order", F.expr(recodes.sort_order("rate_type", order))
     )
 
 
@@ -142,7 +142,7 @@ def crude_by_birthplace(events: DataFrame, persons: DataFrame) -> DataFrame:
     rated = rates.with_rate(rates.anchored(_birthplace_cells(events, persons, keys), "events"))
     return rated.withColumn(
         "sort_order",
-        recodes.sort_order(F.col("birthplace"), [codes.FOREIGN_TOTAL, *FOREIGN_PLACES]),
+        F.expr(recodes.sort_order("birthplace", [codes.FOREIGN_TOTAL, *FOREIGN_PLACES])),
     )
 
 
@@ -169,7 +169,7 @@ def pooled_age_specific(events: DataFrame, persons: DataFrame, year: int | None
     """Rates by nativity and age over all years together, or in one year."""
     cells = _cells(events, persons, ["nativity", "age_group"], ["nativity"], year)
     return rates.age_specific_rate(cells).select(
-        "nativity", "age_group", recodes.age_label(F.col("age_group")).alias("age_group_label"),
+        "nativity", "age_group", F.expr(recodes.age_label("age_group")).alias("age_group_label"),
         "n", "pop", "rate",
     )
 
@@ -272,12 +272,12 @@ def population_series(persons: DataFrame) -> DataFrame:
         persons.groupBy(*keys).agg(F.sum("pop").alias("pop")), keys, "nativity", codes.TOTAL_SERIES
     )
     series = F.when(F.col("nativity") == codes.TOTAL_SERIES, F.col("nativity")).otherwise(
-        recodes.nativity_label(F.col("nativity"))
+        F.expr(recodes.nativity_label("nativity"))
     )
     return (
         everyone.filter(F.col("nativity").isNotNull())
         .select("data_year", series.alias("series"), rates.known(F.col("pop")).alias("pop"))
-        .withColumn("sort_order", recodes.sort_order(F.col("series"), order))
+        .withColumn("sort_order", F.expr(recodes.sort_order("series", order)))
     )
 
 
@@ -341,9 +341,7 @@ def race_ethnicity_rates(
     cells = _cells(events, persons, [*keys, "age_group"], keys, year)
     return rates.standardise(cells, keys, "events").withColumn(
         "category",
-        recodes.category(
-            F.col("race"), F.col("ethnicity"), recodes.nativity_label(F.col("nativity"))
-        ),
+        F.expr(recodes.category("race", "ethnicity", recodes.nativity_label("nativity"))),
     )
 
 
@@ -358,7 +356,7 @@ def group_gap(events: DataFrame, persons: DataFrame) -> DataFrame:
     """Groups for which both rates exist, with the difference between them."""
     table = race_ethnicity_rates(events, persons)
     wide = shares.widen(
-        table.withColumn("group_label", recodes.category(F.col("race"), F.col("ethnicity"))),
+        table.withColumn("group_label", F.expr(recodes.category("race", "ethnicity"))),
         ["group_label"],
         "nativity",
         NATIVITY,
@@ -378,13 +376,11 @@ def demographic_rates(events: DataFrame, persons: DataFrame, year: int) -> DataF
     stacked = cell_ops.stack_groupings(
         fine, [[d, "nativity", "age_group"] for d in dimensions], fine_keys
     )
-    group = F.coalesce(
-        recodes.label_of(F.col("sex"), codes.SEX_LABELS), F.col("race"), F.col("ethnicity")
-    )
+    group = F.coalesce(F.expr(recodes.label_of("sex", codes.SEX_LABELS)), "race", "ethnicity")
     one_each = stacked.withColumn("category", group).filter(F.col("category").isNotNull())
     table = rates.standardise(one_each, ["category", "nativity"], "events")
     return table.select(
-        recodes.category(F.col("category"), recodes.nativity_label(F.col("nativity"))).alias("category"),
+        F.expr(recodes.category("category", recodes.nativity_label("nativity"))).alias("category"),
         F.col("n").alias("homicides"), F.col("pop").alias("acs_population"),
         "crude_rate", "age_adjusted_rate",
     )
@@ -462,7 +458,7 @@ def top_causes(deaths: DataFrame, k: int = codes.TOP_CAUSES) -> DataFrame:
     table = shares.distribution(_known(deaths, "nativity"), ["nativity"], ["cause"])
     leading = shares.top_k(table, ["nativity"], k)
     return leading.select(
-        "nativity", "cause", recodes.cause_label(F.col("cause")).alias("cause_label"), "n", "pct"
+        "nativity", "cause", F.expr(recodes.cause_label("cause")).alias("cause_label"), "n", "pct"
     )
 
 

@@ -7,14 +7,24 @@ as raw codes, as they stand in the input files, so that the recodes run too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.functions import codes, recodes
-from ratecube.sources.layouts import BRIDGED_RACE_YEARS, Field, layout_for
-
+from ratecube.functions import codes
+from ratecube.functions.recodes import age_band, is_in, literal, pick
+from ratecube.sources.layouts import BRIDGED_RACE_YEARS, Field
+
+# Column types of the tables in use; without them Spark would start a job per
+# table to read a footer.
+SCHEMAS = {
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+    "documents": "doc_id long, text string, lang string",
+}
 # Order years 1995-2001 become data years 2018-2024, on both sides of the layout change.
-YEAR_SHIFT = 23
+DATA_YEAR = "year(o_orderdate) + 23"
 FIRST_YEAR, LAST_YEAR = 2018, 2024
 # Nation 0-23 -> the first 24 states; nation 24 -> a territory.
 STATE_OF_NATION = [*codes.STATES[:24], "PR"]
@@ -25,153 +35,135 @@ BIRTH_CODES = [
     "PR", "DC", "CC", "MX", "CU", "YY", "YY", "YY", "ZZ", None,
 ]
 BIRTH_BPL = [36, 6, 48, 12, 39, 42, 17, 13, 53, 1, 110, 11, 150, 200, 250, 300, 500, 950, 960, 0]
+BIRTH = "o_custkey % 20"
 # Customer number / 20 modulo 18 -> race, likewise.
 RACE_CODES = [
     None, "01", "02", "03", "04", "05", "06", "07", "08",
     "09", "10", "11", "12", "13", "14", "15", "21", "99",
 ]
 RACE_NUMBERS = [7, 1, 2, 3, 4, 4, 5, 5, 6, 6, 4, 5, 6, 6, 4, 8, 9, 9]
-# First age of each band, picked by order and customer number modulo 11.
+RACE = "o_custkey div 20 % 18"
+# First digit of the order priority -> marital status, likewise.
+MARITAL_CODES = ["S", "M", "W", "D", "U"]
+MARITAL_NUMBERS = [6, 1, 5, 4, 7]
+PRIORITY = "CAST(left(o_orderpriority, 1) AS INT)"
+# First age of each band, picked by order and customer number.
 BAND_STARTS = [lo for _, lo, *_ in codes.AGE_BANDS]
+BAND = "(o_orderkey + o_custkey) % 11"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _pick(values: list, position: Column) -> Column:
-    """Entry of a fixed list by position, counted from 0."""
-    return F.get(F.array(*[F.lit(value) for value in values]), position.cast("int"))
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-
-
-def _data_year() -> Column:
-    return F.year("o_orderdate") + F.lit(YEAR_SHIFT)
-
-
-def _birth(values: list) -> Column:
-    return _pick(values, F.col("o_custkey") % 20)
-
-
-def _race(values: list) -> Column:
-    return _pick(values, F.floor(F.col("o_custkey") / 20) % 18)
+    return orders.join(customers, F.expr("o_custkey = c_custkey"))
 
 
 def death_records(spark: SparkSession, sf_dir: str, homicides_only: bool = True) -> DataFrame:
     """Death records of state residents; all causes, or the homicides among them.
 
     Returned lines stand for homicides. The flag is tested on the line table
-    itself, so it reaches the Parquet scan.
+    itself, so it reaches the Parquet scan. Orders meet customers first, which
+    keeps the wider line table out of the second shuffle when none is broadcast.
     """
     lines = table(spark, sf_dir, "lineitem")
     if homicides_only:
-        lines = lines.filter(F.col("l_returnflag") == "R")
-    joined = lines.join(_people(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    no_age = F.col("l_linenumber") == 7
-    age = ((F.col("l_quantity") - 1) * 2).cast("int")
-    other_cause = F.lpad((1 + F.col("l_partkey") % 127).cast("string"), 3, "0")
-    homicide = F.when(F.col("l_linestatus") == "F", "128").otherwise("129")
-    priority = F.substring("o_orderpriority", 1, 1).cast("int")
-    records = joined.select(
+        lines = lines.filter("l_returnflag = 'R'")
+    joined = lines.join(_people(spark, sf_dir), F.expr("l_orderkey = o_orderkey"))
+    no_age = "l_linenumber = 7"
+    age = "CAST((l_quantity - 1) * 2 AS INT)"
+    records = joined.selectExpr(
         "l_orderkey",
         "l_linenumber",
-        _data_year().cast("string").alias("data_year"),
-        _pick(STATE_OF_NATION, F.col("c_nationkey")).alias("state_res_fips"),
-        _pick(STATE_OF_NATION, F.col("l_suppkey") % 25).alias("state_occ_fips"),
-        _birth(BIRTH_CODES).alias("state_country_birth_recode"),
-        F.when(no_age, "9").otherwise("1").alias("detail_age_type"),
-        F.when(no_age, "999").otherwise(F.lpad(age.cast("string"), 3, "0")).alias("detail_age"),
-        F.when(no_age, codes.AGE_UNKNOWN).otherwise(recodes.age_band(age)).alias("age_recode12"),
-        F.when(F.col("o_orderstatus") == "F", "F")
-        .when(F.col("o_orderstatus") == "O", "M")
-        .alias("sex"),
-        _race(RACE_CODES).alias("race_recode40"),
-        (100 + F.col("o_orderkey") % 300).cast("string").alias("hispanic_origin"),
-        _pick(["S", "M", "W", "D", "U"], priority - 1).alias("marital_status"),
-        _pick(["0", "1", None], F.col("o_orderkey") % 3).alias("education_flag"),
-        F.when(F.col("l_returnflag") == "R", homicide).otherwise(other_cause).alias("cause_recode113"),
+        f"CAST({DATA_YEAR} AS STRING) AS data_year",
+        f"{pick(STATE_OF_NATION, 'c_nationkey')} AS state_res_fips",
+        f"{pick(STATE_OF_NATION, 'l_suppkey % 25')} AS state_occ_fips",
+        f"{pick(BIRTH_CODES, BIRTH)} AS state_country_birth_recode",
+        f"CASE WHEN {no_age} THEN '9' ELSE '1' END AS detail_age_type",
+        f"CASE WHEN {no_age} THEN '999' ELSE lpad(CAST({age} AS STRING), 3, '0') END AS detail_age",
+        f"CASE WHEN {no_age} THEN {literal(codes.AGE_UNKNOWN)} ELSE {age_band(age)} END AS age_recode12",
+        "CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'M' END AS sex",
+        f"{pick(RACE_CODES, RACE)} AS race_recode40",
+        "CAST(100 + o_orderkey % 300 AS STRING) AS hispanic_origin",
+        f"{pick(MARITAL_CODES, PRIORITY + ' - 1')} AS marital_status",
+        f"{pick(['0', '1', None], 'o_orderkey % 3')} AS education_flag",
+        "CASE WHEN l_returnflag = 'R' THEN CASE l_linestatus WHEN 'F' THEN '128' ELSE '129' END "
+        "ELSE lpad(CAST(1 + l_partkey % 127 AS STRING), 3, '0') END AS cause_recode113",
     )
-    return records.filter(F.col("state_res_fips").isin(codes.STATES))
+    return records.filter(is_in("state_res_fips", codes.STATES))
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey persons with their weight."""
-    band = (F.col("o_orderkey") + F.col("o_custkey")) % 11
-    within = F.when(band == 0, 0).otherwise((F.col("o_orderkey") % 4).cast("int"))
-    marital = F.substring("o_orderpriority", 1, 1).cast("int")
-    group = F.col("o_orderkey") % 300
-    return _people(spark, sf_dir).select(
-        _data_year().alias("year"),
-        _pick(FIPS_OF_NATION, F.col("c_nationkey")).alias("statefip"),
-        (1 + F.col("o_orderkey") % 200).cast("double").alias("perwt"),
-        F.when(F.col("o_orderstatus") == "F", 2)
-        .when(F.col("o_orderstatus") == "O", 1)
-        .otherwise(9)
-        .alias("sex"),
-        F.when(F.col("o_orderkey") % 97 != 0, _pick(BAND_STARTS, band) + within).alias("age"),
-        F.when(marital == 2, 1 + (F.col("o_orderkey") % 3).cast("int"))
-        .otherwise(_pick([6, 1, 5, 4, 7], marital - 1))
-        .alias("marst"),
-        _race(RACE_NUMBERS).alias("race"),
-        F.when(group < 100, 0)
-        .when(group < 200, 1 + (F.col("o_orderkey") % 4).cast("int"))
-        .otherwise(9)
-        .alias("hispan"),
-        _birth(BIRTH_BPL).alias("bpl"),
+    return _people(spark, sf_dir).selectExpr(
+        f"{DATA_YEAR} AS year",
+        f"{pick(FIPS_OF_NATION, 'c_nationkey')} AS statefip",
+        "CAST(1 + o_orderkey % 200 AS DOUBLE) AS perwt",
+        "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 9 END AS sex",
+        f"CASE WHEN o_orderkey % 97 <> 0 THEN {pick(BAND_STARTS, BAND)} "
+        f"+ CASE WHEN {BAND} = 0 THEN 0 ELSE CAST(o_orderkey % 4 AS INT) END END AS age",
+        f"CASE WHEN {PRIORITY} = 2 THEN 1 + CAST(o_orderkey % 3 AS INT) "
+        f"ELSE {pick(MARITAL_NUMBERS, PRIORITY + ' - 1')} END AS marst",
+        f"{pick(RACE_NUMBERS, RACE)} AS race",
+        "CASE WHEN o_orderkey % 300 < 100 THEN 0 "
+        "WHEN o_orderkey % 300 < 200 THEN 1 + CAST(o_orderkey % 4 AS INT) ELSE 9 END AS hispan",
+        f"{pick(BIRTH_BPL, BIRTH)} AS bpl",
     )
 
 
 def status_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as a table of state population by status."""
-    suppliers = table(spark, sf_dir, "supplier")
-    return suppliers.groupBy(
-        _pick(STATE_OF_NATION, F.col("s_nationkey")).alias("state_abb"),
-        F.when(F.col("s_acctbal") < 2500, "low").otherwise("other").alias("immig_status"),
-    ).agg(
-        F.sum(F.abs("s_acctbal")).alias("population"), F.count(F.lit(1)).alias("n")
+    return (
+        table(spark, sf_dir, "supplier")
+        .selectExpr(
+            f"{pick(STATE_OF_NATION, 's_nationkey')} AS state_abb",
+            "CASE WHEN s_acctbal < 2500 THEN 'low' ELSE 'other' END AS immig_status",
+            "abs(s_acctbal) AS population",
+        )
+        .groupBy("state_abb", "immig_status")
+        .agg(F.sum("population").alias("population"), F.count(F.lit(1)).alias("n"))
     )
 
 
-def _line(fields: dict[str, Column], layout: list[Field]) -> Column:
-    """A record line: each field at its position, blanks elsewhere."""
+def _line(filled: set[str], layout: list[Field]) -> str:
+    """A record line: each filled field at its position, blanks elsewhere."""
     parts, at = [], 1
     for field in sorted(layout, key=lambda f: f.start):
-        if field.name not in fields:
+        if field.name not in filled:
             continue
-        parts.append(F.lit(" " * (field.start - at)))
         width = field.end - field.start + 1
-        parts.append(F.rpad(F.coalesce(fields[field.name], F.lit("")), width, " "))
+        parts.append(literal(" " * (field.start - at)))
+        parts.append(f"rpad(coalesce({field.name}, ''), {width}, ' ')")
         at = field.end + 1
-    parts.append(F.lit(" " * (max(f.end for f in layout) + 1 - at)))
-    return F.concat(*parts)
+    parts.append(literal(" " * (max(f.end for f in layout) + 1 - at)))
+    return f"concat({', '.join(parts)})"
 
 
-def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-cause death records written out as fixed-width lines, one layout per year."""
+def record_lines(
+    spark: SparkSession, sf_dir: str, old_layout: list[Field], new_layout: list[Field]
+) -> tuple[DataFrame, DataFrame]:
+    """All-cause death records as fixed-width lines: those of the years of the old
+    layout, and those of the new."""
     records = death_records(spark, sf_dir, homicides_only=False)
-    fields = {
-        name: F.col(name)
-        for name in records.columns
-        if name not in ("l_orderkey", "l_linenumber")
-    }
-    old, new = layout_for(BRIDGED_RACE_YEARS[0]), layout_for(LAST_YEAR)
-    year = F.col("data_year").cast("int")
-    return records.select(
-        "l_orderkey",
-        "l_linenumber",
-        year.alias("file_year"),
-        F.when(year <= BRIDGED_RACE_YEARS[1], _line(fields, old)).otherwise(_line(fields, new)).alias("value"),
+    filled = {name for name in records.columns if not name.startswith("l_")}
+
+    def written(years: str, layout: list[Field]) -> DataFrame:
+        return records.filter(years).selectExpr(
+            "l_orderkey", "l_linenumber", f"{_line(filled, layout)} AS value"
+        )
+
+    last_old = BRIDGED_RACE_YEARS[1]
+    return (
+        written(f"CAST(data_year AS INT) <= {last_old}", old_layout),
+        written(f"CAST(data_year AS INT) > {last_old}", new_layout),
     )
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a record line (doc_id, line_no, value)."""
-    documents = table(spark, sf_dir, "documents")
-    return documents.select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value")
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "posexplode(split(text, '\\n', -1)) AS (line_no, value)"
     )

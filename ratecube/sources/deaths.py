@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections import defaultdict
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.functions import codes
+from ratecube.functions.recodes import is_in
 from ratecube.sources.fixed_width import (
-    field_value,
     parse_fixed_width,
     read_lines,
+    trimmed_slice,
     union_by_name,
 )
 from ratecube.sources.layouts import ALL_CAUSE_FIELDS, Field, layout_for, narrow
@@ -25,9 +26,9 @@ class DeathFile(NamedTuple):
     path: str | None
 
 
-def _line_is(layout: list[Field], name: str, values: list[str], line: str) -> Column:
+def _line_is(layout: list[Field], name: str, values: list[str], line: str) -> str:
     (field,) = narrow(layout, [name])
-    return field_value(field, line).isin(values)
+    return is_in(trimmed_slice(field, line), values)
 
 
 def homicide_records(
@@ -38,9 +39,8 @@ def homicide_records(
     The two filters read their slices off the line, below the wide projection:
     the other fields are cut only from the lines that pass.
     """
-    wanted = lines.filter(
-        _line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, line)
-        & _line_is(layout, "state_res_fips", codes.STATES, line)
+    wanted = lines.filter(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, line)).filter(
+        _line_is(layout, "state_res_fips", codes.STATES, line)
     )
     return parse_fixed_width(wanted, layout, keep, line)
 

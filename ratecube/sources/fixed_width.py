@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratecube.functions.recodes import is_in, literal
 from ratecube.sources.layouts import Field
 
 LINE = "value"
@@ -14,23 +15,20 @@ MISSING = ["", "NA"]  # fixed values: field contents read as null
 BLANKS = " \t"
 
 
-def raw_slice(field: Field, line: str | Column = LINE) -> Column:
-    """The characters of a field, blanks included."""
-    line = F.col(line) if isinstance(line, str) else line
-    return F.substring(line, field.start, field.end - field.start + 1)
+def trimmed_slice(field: Field, line: str = LINE) -> str:
+    """SQL text of the characters of a field. Packed fields keep their leading
+    blanks, so that a blank first slot does not shift the others."""
+    cut = f"substring({line}, {field.start}, {field.end - field.start + 1})"
+    return f"rtrim({cut})" if field.packed else f"btrim({cut}, {literal(BLANKS)})"
 
 
-def field_value(field: Field, line: str | Column = LINE) -> Column:
-    """Trimmed field, null when empty. Packed fields keep their leading blanks,
-    so that a blank first slot does not shift the others."""
-    text = raw_slice(field, line)
-    trimmed = F.rtrim(text) if field.packed else F.btrim(text, F.lit(BLANKS))
-    value = F.when(~trimmed.isin(MISSING), trimmed)
+def _typed(field: Field) -> str:
+    value = f"CASE WHEN NOT {is_in(field.name, MISSING)} THEN {field.name} END"
     if field.type == "string":
         return value
     if field.scale:
-        value = value.try_cast("double") / F.lit(float(10**field.scale))
-    return value.try_cast(field.type)
+        return f"CAST(try_cast({value} AS DOUBLE) / {10**field.scale} AS {field.type})"
+    return f"try_cast({value} AS {field.type})"
 
 
 def parse_fixed_width(
@@ -39,11 +37,12 @@ def parse_fixed_width(
     """Slice `line` into the fields of `layout`, next to the columns in `keep`.
 
     Every field is an independent expression, so fields that are not used
-    further on are pruned from the plan.
+    further on are pruned. Slices are cut in one projection and turned into
+    values in the next: each is cut once although its value reads it twice.
     """
-    return lines.select(
-        *(keep or []), *[field_value(field, line).alias(field.name) for field in layout]
-    )
+    keep = keep or []
+    cut = lines.selectExpr(*keep, *[f"{trimmed_slice(f, line)} AS {f.name}" for f in layout])
+    return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in layout])
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
