@@ -394,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
         _crude("data_year, nativity", KNOWN),
         *_standardised("data_year, nativity", KNOWN),
     )
+    sql["crude_vs_adjusted_from_cubes"] = sql["crude_vs_adjusted"]
     sql["subtotal_rates"] = _with(
         "SELECT data_year, birthplace, n, pop, round(rate, 6) AS rate, CAST(list_position(['Foreign total', 'Canada', 'Cuba', 'Mexico', 'Rest of world'], birthplace) AS BIGINT) AS sort_order FROM crude",
         _with_total_birthplace(),

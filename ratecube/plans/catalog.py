@@ -17,6 +17,7 @@ from ratecube.operators import packed, panel
 from ratecube.operators.cells import count_events
 from ratecube.plans import reports, star
 from ratecube.plans.labels import label_events, label_persons
+from ratecube.session import settle
 from ratecube.sources import deaths as death_source
 from ratecube.sources import fixed_width
 from ratecube.sources.layouts import ALL_CAUSE_FIELDS, layout_for, narrow
@@ -24,6 +25,7 @@ from ratecube.sources.layouts import ALL_CAUSE_FIELDS, layout_for, narrow
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 FIRST, LAST = star.FIRST_YEAR, star.LAST_YEAR
+ONE_YEAR = (LAST, LAST)
 OLD_LAYOUT, NEW_LAYOUT = layout_for(2014), layout_for(2024)
 # Fields that `star.record_lines` fills in.
 EXTRACT_FIELDS = [
@@ -48,20 +50,20 @@ def tidy(table: DataFrame) -> DataFrame:
     )
 
 
-def _homicides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_events(star.death_records(spark, sf_dir))
+def _homicides(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> DataFrame:
+    return label_events(star.death_records(spark, sf_dir, years=years))
 
 
 def _all_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_events(star.death_records(spark, sf_dir, homicides_only=False))
 
 
-def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_persons(star.persons(spark, sf_dir))
+def _persons(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> DataFrame:
+    return label_persons(star.persons(spark, sf_dir, years))
 
 
-def _of_events(report: Callable, *args, **kwargs) -> Query:
-    return lambda spark, sf_dir: report(_homicides(spark, sf_dir), *args, **kwargs)
+def _of_events(report: Callable, *args, years: tuple | None = None, **kwargs) -> Query:
+    return lambda spark, sf_dir: report(_homicides(spark, sf_dir, years), *args, **kwargs)
 
 
 def _of_deaths(report: Callable, *args, **kwargs) -> Query:
@@ -72,9 +74,9 @@ def _of_persons(report: Callable, *args, **kwargs) -> Query:
     return lambda spark, sf_dir: report(_persons(spark, sf_dir), *args, **kwargs)
 
 
-def _of_both(report: Callable, *args, **kwargs) -> Query:
+def _of_both(report: Callable, *args, years: tuple | None = None, **kwargs) -> Query:
     return lambda spark, sf_dir: report(
-        _homicides(spark, sf_dir), _persons(spark, sf_dir), *args, **kwargs
+        _homicides(spark, sf_dir, years), _persons(spark, sf_dir, years), *args, **kwargs
     )
 
 
@@ -95,8 +97,8 @@ COUNTS: dict[str, Query] = {
     "events_by_year_nativity": _of_events(reports.events_by, ["data_year", "nativity"]),
     "events_by_birthplace": _of_events(reports.events_by_known, ["data_year", "birthplace"]),
     "events_by_birthplace_rollup": _of_events(reports.foreign_events_with_total),
-    "events_by_state_of_occurrence": _of_events(reports.events_by, ["state_occ"], LAST),
-    "events_by_state_of_residence": _of_events(reports.events_by, ["state"], LAST),
+    "events_by_state_of_occurrence": _of_events(reports.events_by, ["state_occ"], LAST, years=ONE_YEAR),
+    "events_by_state_of_residence": _of_events(reports.events_by, ["state"], LAST, years=ONE_YEAR),
     "events_by_sex_nativity": _of_events(
         lambda e: reports.events_by(e.filter(F.col("nativity").isNotNull()), ["data_year", "sex", "nativity"])
     ),
@@ -123,30 +125,35 @@ RATES: dict[str, Query] = {
     "age_adjusted_exposure_anchor": _of_both(reports.adjusted_by_nativity, anchor="exposure"),
     "age_adjusted_total": _of_both(reports.adjusted_total),
     "crude_vs_adjusted": _of_both(reports.crude_and_adjusted_stacked),
+    "crude_vs_adjusted_from_cubes": _of_both(
+        lambda events, persons: reports.crude_and_adjusted_stacked(
+            settle(reports.event_cube(events)), settle(reports.person_cube(persons))
+        )
+    ),
     "subtotal_rates": _of_both(reports.crude_by_birthplace),
     "subtotal_adjusted": _of_both(reports.adjusted_by_birthplace),
     "age_specific_birthplace": _of_both(reports.age_specific_by_birthplace),
     "pooled_rate": _of_both(reports.pooled_age_specific),
     "age_specific_rate_wide": _of_both(reports.pooled_age_specific_wide),
-    "age_specific_rate_wide_one_year": _of_both(reports.pooled_age_specific_wide, LAST),
+    "age_specific_rate_wide_one_year": _of_both(reports.pooled_age_specific_wide, LAST, years=ONE_YEAR),
     "population_by_state": _of_persons(reports.population_by_state),
     "state_pooled_suppressed": _of_both(reports.pooled_by_state),
     "state_rate_suppressed": _of_both(reports.state_age_year_suppressed),
-    "state_rates_one_year": _of_both(reports.state_rates, LAST),
-    "state_nativity_rates": _of_both(reports.state_nativity_rates, LAST),
-    "state_nativity_age_specific": _of_both(reports.state_nativity_age_specific, LAST),
-    "state_map_foreign": _of_both(reports.state_map, LAST, "foreign"),
-    "state_adjusted_exposure": _of_both(reports.adjusted_by_state, "native", LAST),
+    "state_rates_one_year": _of_both(reports.state_rates, LAST, years=ONE_YEAR),
+    "state_nativity_rates": _of_both(reports.state_nativity_rates, LAST, years=ONE_YEAR),
+    "state_nativity_age_specific": _of_both(reports.state_nativity_age_specific, LAST, years=ONE_YEAR),
+    "state_map_foreign": _of_both(reports.state_map, LAST, "foreign", years=ONE_YEAR),
+    "state_adjusted_exposure": _of_both(reports.adjusted_by_state, "native", LAST, years=ONE_YEAR),
     "state_year_wide": _of_both(reports.state_year_rates, [FIRST, LAST]),
     "population_series": _of_persons(reports.population_series),
     "population_share": _of_persons(reports.foreign_share, ["data_year"]),
     "pct_change_summary": _of_both(reports.change_summary, FIRST, LAST),
     "race_ethnicity_rates": _of_both(reports.race_ethnicity_rates),
-    "white_ethnicity_rates": _of_both(reports.white_ethnicity_rates, LAST),
+    "white_ethnicity_rates": _of_both(reports.white_ethnicity_rates, LAST, years=ONE_YEAR),
     "group_gap": _of_both(reports.group_gap),
-    "demographic_rates_stacked": _of_both(reports.demographic_rates, LAST),
-    "marital_sex_rates": _of_both(reports.marital_sex_rates, LAST),
-    "marital_age_cells": _of_both(reports.marital_age_cells, LAST),
+    "demographic_rates_stacked": _of_both(reports.demographic_rates, LAST, years=ONE_YEAR),
+    "marital_sex_rates": _of_both(reports.marital_sex_rates, LAST, years=ONE_YEAR),
+    "marital_age_cells": _of_both(reports.marital_age_cells, LAST, years=ONE_YEAR),
 }
 
 # --- distributions and causes -------------------------------------------------------
@@ -158,8 +165,8 @@ DISTRIBUTIONS: dict[str, Query] = {
         reports.method_shares, ["ethnicity", "nativity"], "White"
     ),
     "marital_pct": _of_events(reports.marital_shares),
-    "age_mean_median": _of_events(reports.age_mean_median, ["nativity"], LAST),
-    "age_median_by_sex": _of_events(reports.age_mean_median, ["sex", "nativity"], LAST),
+    "age_mean_median": _of_events(reports.age_mean_median, ["nativity"], LAST, years=ONE_YEAR),
+    "age_median_by_sex": _of_events(reports.age_mean_median, ["sex", "nativity"], LAST, years=ONE_YEAR),
     "grouped_density": _of_events(reports.age_density),
     "event_share_of_all": _of_deaths(reports.homicide_share),
     "top_causes_ties": _of_deaths(reports.top_causes),
@@ -226,7 +233,7 @@ SCANS: dict[str, Query] = {
 
 _PANEL = _of_both(reports.state_year_panel)
 _PANEL_CRUDE = _of_both(reports.state_year_panel, "crude_rate")
-_RATE_AND_SHARE = _of_both(reports.native_rate_by_foreign_share, LAST)
+_RATE_AND_SHARE = _of_both(reports.native_rate_by_foreign_share, LAST, years=ONE_YEAR)
 
 PANELS: dict[str, Query] = {
     "panel": _PANEL,
@@ -249,13 +256,13 @@ PANELS: dict[str, Query] = {
         star.status_population(spark, sf_dir), WANTED_STATUS
     ),
     "native_rate_by_external_share": lambda spark, sf_dir: reports.native_rate_by_external_share(
-        _homicides(spark, sf_dir),
-        _persons(spark, sf_dir),
+        _homicides(spark, sf_dir, ONE_YEAR),
+        _persons(spark, sf_dir, ONE_YEAR),
         star.status_population(spark, sf_dir),
         WANTED_STATUS,
         LAST,
     ),
-    "two_group_compare": _of_both(reports.compare_groups, LAST),
+    "two_group_compare": _of_both(reports.compare_groups, LAST, years=ONE_YEAR),
 }
 
 
