@@ -271,6 +271,40 @@ def _fit(variance: str, df: str) -> str:
     )
 
 
+def _fit_unbalanced() -> str:
+    """Clustered fit of the adjusted panel; effects removed by alternating projections."""
+    variance = "g / (g - 1.0) * (n - 1.0) / (n - 1 - t) * (SELECT sum(u * u) FROM scores) / (sxx * sxx)"
+    return _with(
+        "SELECT round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS t_value, "
+        f"round({_t_tail('(b / se)', 'df')}, 6) AS p_value, n AS n_obs, g AS n_units, df FROM fit",
+        PANEL_CRUDE[1],
+        *_standardised("state, data_year", "nativity = 'native'"),
+        "panel AS MATERIALIZED (SELECT s.state, s.data_year, age_adjusted_rate AS native_rate, foreign_share FROM std s JOIN share h "
+        "ON s.state = h.state AND s.data_year = h.data_year WHERE age_adjusted_rate IS NOT NULL)",
+        "rounds AS (SELECT 0 AS i, state, data_year, native_rate AS ry, foreign_share AS rx FROM panel UNION ALL "
+        "SELECT i + 1, state, data_year, ry - avg(ry) OVER (PARTITION BY data_year), rx - avg(rx) OVER (PARTITION BY data_year) FROM "
+        "(SELECT i, state, data_year, ry - avg(ry) OVER (PARTITION BY state) AS ry, rx - avg(rx) OVER (PARTITION BY state) AS rx FROM rounds WHERE i < 100))",
+        "clean AS (SELECT * FROM rounds WHERE i = 100)",
+        *FIT,
+        f"fit AS (SELECT b, n, g, sqrt({variance}) AS se, CAST(g - 1 AS BIGINT) AS df FROM slope)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _linear_band(pair: tuple[str, ...]) -> str:
+    """Line and 95 % band; the t quantile by bisection of its tail."""
+    half = "t * sd * sqrt(1.0 / n + pow(gx - xm, 2) / sxx)"
+    return _with(
+        f"SELECT round(gx, 6) AS x, round(a + b * gx, 6) AS fit, round(a + b * gx - {half}, 6) AS low, round(a + b * gx + {half}, 6) AS high FROM grid",
+        *pair,
+        "line AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS xm, regr_sxx(y, x) AS sxx, min(x) AS x0, max(x) AS x1, "
+        "sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)) AS sd FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)",
+        "halving AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(100 AS DOUBLE) AS hi, n - 2 AS df FROM line UNION ALL "
+        f"SELECT i + 1, CASE WHEN p > 0.05 THEN m ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE m END, df FROM (SELECT *, {_t_tail('m', 'df')} AS p FROM "
+        "(SELECT *, (lo + hi) / 2 AS m FROM halving WHERE i < 60)))",
+        "grid AS (SELECT line.*, (SELECT lo FROM halving WHERE i = 60) AS t, x0 + (x1 - x0) / 79.0 * k AS gx FROM line, range(80) r(k))",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ADJ_STATE = "n, pop, round(CASE WHEN n >= 10 THEN crude_rate END, 6) AS crude_rate, round(CASE WHEN n >= 10 THEN age_adjusted_rate END, 6) AS age_adjusted_rate"
 
 
@@ -370,6 +404,8 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["events_by_state_of_occurrence"] = _with("SELECT state_occ, count(*) AS n FROM ev WHERE data_year = 2024 GROUP BY ALL")
     sql["events_by_state_of_residence"] = _with("SELECT state, count(*) AS n FROM ev WHERE data_year = 2024 GROUP BY ALL")
+    sql["events_by_nativity_one_year"] = _with("SELECT nativity, count(*) AS n FROM ev WHERE data_year = 2024 GROUP BY ALL")
+    sql["events_by_birthplace_one_year"] = _with("SELECT birthplace, count(*) AS n FROM ev WHERE data_year = 2024 GROUP BY ALL")
     sql["events_by_sex_nativity"] = _with(f"SELECT data_year, sex, nativity, count(*) AS n FROM ev WHERE {KNOWN} GROUP BY ALL")
     sql["events_by_race_nativity"] = _with(f"SELECT data_year, race, nativity, count(*) AS n FROM ev WHERE {KNOWN} AND race IS NOT NULL GROUP BY ALL")
     sql["events_by_ethnicity_nativity"] = _with(f"SELECT data_year, ethnicity, nativity, count(*) AS n FROM ev WHERE {KNOWN} AND ethnicity IS NOT NULL GROUP BY ALL")
@@ -439,10 +475,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT state, round(CASE WHEN n >= 10 THEN age_adjusted_rate END, 6) AS age_adjusted_rate FROM std",
         *_standardised("state", "nativity = 'foreign' AND data_year = 2024"),
     )
+    sql["state_map_native"] = sql["state_map_foreign"].replace("nativity = 'foreign'", "nativity = 'native'")
     sql["state_adjusted_exposure"] = _with(
         f"SELECT state, {ADJ_STATE}, n < 10 AS suppressed FROM std",
         *_standardised("state", "nativity = 'native' AND data_year = 2024", "exposure"),
     )
+    sql["state_adjusted_exposure_foreign"] = sql["state_adjusted_exposure"].replace("nativity = 'native'", "nativity = 'foreign'")
     sql["state_year_wide"] = _state_year_wide()
 
     # population
@@ -514,6 +552,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {SLOTS} SELECT condition_code, count(*) AS n, (SELECT count(*) FROM documents) AS total_records, "
         "round(count(*) / (SELECT count(*) FROM documents) * 100, 6) AS pct_of_records FROM pieces WHERE condition_code <> '' GROUP BY ALL"
     )
+    sql["code_frequency_head"] = sql["code_frequency"] + " ORDER BY n DESC, condition_code LIMIT 30"
     sql["code_prevalence_by_group"] = (
         f"WITH {SLOTS} SELECT lang, condition_code, count(DISTINCT doc_id) AS n, total AS total_records, round(count(DISTINCT doc_id) / total * 100, 6) AS pct_of_group "
         "FROM pieces JOIN (SELECT lang, count(*) AS total FROM documents GROUP BY ALL) USING (lang) WHERE condition_code <> '' GROUP BY lang, condition_code, total"
@@ -562,6 +601,8 @@ def oracle_sql() -> dict[str, str]:
         "round(sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)), 6) AS residual_sd FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL",
         *pair,
     )
+    sql["twfe_unbalanced"] = _fit_unbalanced()
+    sql["linear_band"] = _linear_band(pair)
     sql["external_share"] = _with(
         "SELECT state, round(status_pop, 6) AS status_pop, status_n, round(total_pop, 6) AS total_pop, round(status_pop / total_pop * 100, 6) AS status_share FROM ext WHERE status_pop IS NOT NULL", *EXT
     )
@@ -571,6 +612,12 @@ def oracle_sql() -> dict[str, str]:
         *EXT,
         *_standardised("state", "nativity = 'native' AND data_year = 2024"),
     )
+    sql["native_crude_by_external_share"] = _with(
+        "SELECT c.state, c.n, c.pop, round(c.rate, 6) AS rate, round(status_pop, 6) AS status_pop, status_n, round(total_pop, 6) AS total_pop, round(status_pop / total_pop * 100, 6) AS status_share "
+        "FROM crude c LEFT JOIN (SELECT * FROM ext WHERE status_pop IS NOT NULL) x ON x.state = c.state",
+        *EXT,
+        _crude("state", "nativity = 'native' AND data_year = 2024"),
+    )
     sql["two_group_compare"] = _with(
         "SELECT a.state, round(a.age_adjusted_rate, 6) AS native_rate, round(b.age_adjusted_rate, 6) AS foreign_rate FROM std a JOIN std b ON a.state = b.state "
         "WHERE a.nativity = 'native' AND b.nativity = 'foreign' AND a.n >= 10 AND b.n >= 10 AND a.age_adjusted_rate IS NOT NULL AND b.age_adjusted_rate IS NOT NULL",

@@ -59,6 +59,12 @@ def top_k(cells: DataFrame, group: list[str], k: int, value: str = "n") -> DataF
     return ranked.filter(F.col("rank") <= k)
 
 
+def first_rows(table: DataFrame, order: dict[str, str], k: int) -> DataFrame:
+    """The first k rows by `order` (column -> "asc" or "desc"): each task keeps its own k."""
+    sort = [F.desc(c) if direction == "desc" else F.asc(c) for c, direction in order.items()]
+    return table.orderBy(*sort).limit(k)
+
+
 def part_of_all(events: DataFrame, keys: list[str], condition: Column) -> DataFrame:
     """(keys, total, part, pct): events that meet a condition, out of all events."""
     return (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratecube.functions import recodes
-from ratecube.operators import packed, panel
+from ratecube.operators import packed, panel, shares
 from ratecube.operators.cells import count_events
 from ratecube.plans import reports, star
 from ratecube.plans.labels import label_events, label_persons
@@ -99,6 +99,10 @@ COUNTS: dict[str, Query] = {
     "events_by_birthplace_rollup": _of_events(reports.foreign_events_with_total),
     "events_by_state_of_occurrence": _of_events(reports.events_by, ["state_occ"], LAST, years=ONE_YEAR),
     "events_by_state_of_residence": _of_events(reports.events_by, ["state"], LAST, years=ONE_YEAR),
+    "events_by_nativity_one_year": _of_events(reports.events_by, ["nativity"], LAST, years=ONE_YEAR),
+    "events_by_birthplace_one_year": _of_events(
+        reports.events_by, ["birthplace"], LAST, years=ONE_YEAR
+    ),
     "events_by_sex_nativity": _of_events(
         lambda e: reports.events_by(e.filter(F.col("nativity").isNotNull()), ["data_year", "sex", "nativity"])
     ),
@@ -143,6 +147,10 @@ RATES: dict[str, Query] = {
     "state_nativity_rates": _of_both(reports.state_nativity_rates, LAST, years=ONE_YEAR),
     "state_nativity_age_specific": _of_both(reports.state_nativity_age_specific, LAST, years=ONE_YEAR),
     "state_map_foreign": _of_both(reports.state_map, LAST, "foreign", years=ONE_YEAR),
+    "state_map_native": _of_both(reports.state_map, LAST, "native", years=ONE_YEAR),
+    "state_adjusted_exposure_foreign": _of_both(
+        reports.adjusted_by_state, "foreign", LAST, years=ONE_YEAR
+    ),
     "state_adjusted_exposure": _of_both(reports.adjusted_by_state, "native", LAST, years=ONE_YEAR),
     "state_year_wide": _of_both(reports.state_year_rates, [FIRST, LAST]),
     "population_series": _of_persons(reports.population_series),
@@ -186,6 +194,11 @@ CODES: dict[str, Query] = {
     "code_frequency": lambda spark, sf_dir: packed.code_frequency(
         star.table(spark, sf_dir, "documents"), "text"
     ),
+    "code_frequency_head": lambda spark, sf_dir: shares.first_rows(
+        packed.code_frequency(star.table(spark, sf_dir, "documents"), "text"),
+        {"n": "desc", "condition_code": "asc"},
+        30,
+    ),
     "code_prevalence_by_group": lambda spark, sf_dir: packed.code_prevalence(
         star.table(spark, sf_dir, "documents"), "text", ["lang"]
     ),
@@ -231,6 +244,18 @@ SCANS: dict[str, Query] = {
 
 # --- panels -------------------------------------------------------------------------------
 
+
+
+def _with_status(report: Callable) -> Query:
+    return lambda spark, sf_dir: report(
+        _homicides(spark, sf_dir, ONE_YEAR),
+        _persons(spark, sf_dir, ONE_YEAR),
+        star.status_population(spark, sf_dir),
+        WANTED_STATUS,
+        LAST,
+    )
+
+
 _PANEL = _of_both(reports.state_year_panel)
 _PANEL_CRUDE = _of_both(reports.state_year_panel, "crude_rate")
 _RATE_AND_SHARE = _of_both(reports.native_rate_by_foreign_share, LAST, years=ONE_YEAR)
@@ -255,13 +280,8 @@ PANELS: dict[str, Query] = {
     "external_share": lambda spark, sf_dir: reports.external_share(
         star.status_population(spark, sf_dir), WANTED_STATUS
     ),
-    "native_rate_by_external_share": lambda spark, sf_dir: reports.native_rate_by_external_share(
-        _homicides(spark, sf_dir, ONE_YEAR),
-        _persons(spark, sf_dir, ONE_YEAR),
-        star.status_population(spark, sf_dir),
-        WANTED_STATUS,
-        LAST,
-    ),
+    "native_crude_by_external_share": _with_status(reports.native_crude_by_external_share),
+    "native_rate_by_external_share": _with_status(reports.native_rate_by_external_share),
     "two_group_compare": _of_both(reports.compare_groups, LAST, years=ONE_YEAR),
 }
 

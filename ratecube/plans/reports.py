@@ -518,6 +518,15 @@ def native_rate_by_external_share(
     return joined.withColumn("share_of_native", percent(F.col("status_pop"), F.col("pop")))
 
 
+def native_crude_by_external_share(
+    events: DataFrame, persons: DataFrame, status: DataFrame, wanted: str, year: int
+) -> DataFrame:
+    """Crude native rate of each state, all ages, next to its population of one status."""
+    one = lambda df: df.filter(F.col("nativity") == "native")
+    crude = rates.crude_rate(_cells(one(events), one(persons), ["state"], [], year), ["state"])
+    return crude.join(external_share(status, wanted), "state", "left")
+
+
 def native_rate_by_foreign_share(events: DataFrame, persons: DataFrame, year: int) -> DataFrame:
     share = foreign_share(persons, ["state"], year)
     return adjusted_by_state(events, persons, "native", year).join(share, "state", "left")

@@ -162,13 +162,17 @@ def record_lines(
     spark: SparkSession, sf_dir: str, old_layout: list[Field], new_layout: list[Field]
 ) -> tuple[DataFrame, DataFrame]:
     """All-cause death records as fixed-width lines: those of the years of the old
-    layout, and those of the new."""
+    layout, and those of the new.
+
+    A line passes through a one-element explode so that it is built once per
+    record: as a plain expression it would be built anew in every test on it.
+    """
     records = death_records(spark, sf_dir, homicides_only=False)
     filled = {name for name in records.columns if not name.startswith("l_")}
 
     def written(years: str, layout: list[Field]) -> DataFrame:
         return records.filter(years).selectExpr(
-            "l_orderkey", "l_linenumber", f"{_line(filled, layout)} AS value"
+            "l_orderkey", "l_linenumber", f"explode(array({_line(filled, layout)})) AS value"
         )
 
     last_old = BRIDGED_RACE_YEARS[1]

@@ -19,16 +19,25 @@ def text_schema(names: list[str]) -> str:
 
 
 def write_result(table: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One sorted CSV file for a result table. Result tables are a few rows per
-    reported group; record-level output belongs in `write_extract`."""
+    """Sorted CSV of a result table, nulls last and written as NA.
+
+    The sort is by range, so the part files are in order; adaptive execution
+    merges small ranges, which leaves one file for a small table.
+    """
     if order:
         table = table.orderBy(*[F.asc_nulls_last(name) for name in order])
-    table.coalesce(1).write.csv(path, header=True, mode="overwrite", nullValue="NA")
+    table.write.csv(path, header=True, mode="overwrite", nullValue="NA")
 
 
 def write_extract(records: DataFrame, path: str) -> None:
-    """Record-level extract, one directory per year, so that later reads prune years."""
-    records.write.partitionBy("data_year").parquet(path, mode="overwrite")
+    """Record-level extract, one directory per year, so that later reads prune years.
+
+    Rows are first gathered by year in pieces of even size: a large year is split
+    over several tasks and a small one does not end up in one file per scan task.
+    """
+    records.hint("rebalance", "data_year").write.partitionBy("data_year").parquet(
+        path, mode="overwrite"
+    )
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
