@@ -233,14 +233,20 @@ PANEL_CRUDE = (
     "share AS (SELECT state, data_year, coalesce(sum(perwt) FILTER (nativity = 'foreign'), 0) / sum(perwt) * 100 AS foreign_share FROM xp GROUP BY ALL)",
     "panel AS (SELECT c.state, c.data_year, c.rate AS native_rate, foreign_share FROM crude c LEFT JOIN share s ON s.state = c.state AND s.data_year = c.data_year)",
 )
-# Exact for a balanced panel, which the crude panel is at the checked scale.
+PANEL_ADJUSTED = (
+    PANEL_CRUDE[1],
+    *_standardised("state, data_year", "nativity = 'native'"),
+    "panel AS MATERIALIZED (SELECT s.state, s.data_year, age_adjusted_rate AS native_rate, foreign_share FROM std s LEFT JOIN share h ON s.state = h.state AND s.data_year = h.data_year)",
+)
+# Unit and time effects removed by alternating projections, for any panel.
 RESIDUALS = (
-    "clean AS (SELECT *, native_rate - avg(native_rate) OVER (PARTITION BY state) - avg(native_rate) OVER (PARTITION BY data_year) + avg(native_rate) OVER () AS ry, "
-    "foreign_share - avg(foreign_share) OVER (PARTITION BY state) - avg(foreign_share) OVER (PARTITION BY data_year) + avg(foreign_share) OVER () AS rx "
-    "FROM panel WHERE native_rate IS NOT NULL AND foreign_share IS NOT NULL)"
+    "rounds AS (SELECT 0 AS i, *, native_rate AS ry, foreign_share AS rx FROM panel WHERE native_rate IS NOT NULL AND foreign_share IS NOT NULL UNION ALL "
+    "SELECT i + 1, state, data_year, native_rate, foreign_share, ry - avg(ry) OVER (PARTITION BY data_year), rx - avg(rx) OVER (PARTITION BY data_year) FROM "
+    "(SELECT * REPLACE (ry - avg(ry) OVER (PARTITION BY state) AS ry, rx - avg(rx) OVER (PARTITION BY state) AS rx) FROM rounds WHERE i < 300))",
+    "clean AS MATERIALIZED (SELECT * FROM rounds WHERE i = 300)",
 )
 FIT = (
-    "slope AS (SELECT sum(rx * ry) / sum(rx * rx) AS b, sum(rx * rx) AS sxx, count(*) AS n, count(DISTINCT state) AS g, count(DISTINCT data_year) AS t FROM clean)",
+    "slope AS (SELECT sum(rx * ry) / nullif(sum(rx * rx), 0) AS b, nullif(sum(rx * rx), 0) AS sxx, count(*) AS n, count(DISTINCT state) AS g, count(DISTINCT data_year) AS t FROM clean)",
     "scores AS (SELECT state, sum(rx * (ry - b * rx)) AS u FROM clean, slope GROUP BY state)",
 )
 
@@ -260,40 +266,34 @@ def _t_tail(t: str, df: str) -> str:
     return f"1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END"
 
 
-def _fit(variance: str, df: str) -> str:
-    return _with(
-        "SELECT round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS t_value, "
-        f"round({_t_tail('(b / se)', 'df')}, 6) AS p_value, n AS n_obs, g AS n_units, df FROM fit",
-        *PANEL_CRUDE,
-        RESIDUALS,
-        *FIT,
-        f"fit AS (SELECT b, n, g, sqrt({variance}) AS se, CAST({df} AS BIGINT) AS df FROM slope)",
-    )
+IID = ("(SELECT sum(pow(ry - b * rx, 2)) FROM clean) / (n - g - t) / sxx", "n - g - t")
+CLUSTERED = (
+    "g / (g - 1.0) * (n - 1.0) / (n - 1 - t) * (SELECT sum(u * u) FROM scores) / (sxx * sxx)",
+    "g - 1",
+)
 
 
-def _fit_unbalanced() -> str:
-    """Clustered fit of the adjusted panel; effects removed by alternating projections."""
-    variance = "g / (g - 1.0) * (n - 1.0) / (n - 1 - t) * (SELECT sum(u * u) FROM scores) / (sxx * sxx)"
-    return _with(
-        "SELECT round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS t_value, "
-        f"round({_t_tail('(b / se)', 'df')}, 6) AS p_value, n AS n_obs, g AS n_units, df FROM fit",
-        PANEL_CRUDE[1],
-        *_standardised("state, data_year", "nativity = 'native'"),
-        "panel AS MATERIALIZED (SELECT s.state, s.data_year, age_adjusted_rate AS native_rate, foreign_share FROM std s JOIN share h "
-        "ON s.state = h.state AND s.data_year = h.data_year WHERE age_adjusted_rate IS NOT NULL)",
-        "rounds AS (SELECT 0 AS i, state, data_year, native_rate AS ry, foreign_share AS rx FROM panel UNION ALL "
-        "SELECT i + 1, state, data_year, ry - avg(ry) OVER (PARTITION BY data_year), rx - avg(rx) OVER (PARTITION BY data_year) FROM "
-        "(SELECT i, state, data_year, ry - avg(ry) OVER (PARTITION BY state) AS ry, rx - avg(rx) OVER (PARTITION BY state) AS rx FROM rounds WHERE i < 100))",
-        "clean AS (SELECT * FROM rounds WHERE i = 100)",
-        *FIT,
-        f"fit AS (SELECT b, n, g, sqrt({variance}) AS se, CAST(g - 1 AS BIGINT) AS df FROM slope)",
-    ).replace("WITH ", "WITH RECURSIVE ", 1)
+def _recursive(statement: str) -> str:
+    return statement.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _fit(panel: tuple[str, ...], variance: str, df: str) -> str:
+    return _recursive(
+        _with(
+            "SELECT round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS t_value, "
+            f"round({_t_tail('(b / se)', 'df')}, 6) AS p_value, n AS n_obs, g AS n_units, df FROM fit",
+            *panel,
+            *RESIDUALS,
+            *FIT,
+            f"fit AS (SELECT b, n, g, sqrt({variance}) AS se, CAST({df} AS BIGINT) AS df FROM slope)",
+        )
+    )
 
 
 def _linear_band(pair: tuple[str, ...]) -> str:
     """Line and 95 % band; the t quantile by bisection of its tail."""
     half = "t * sd * sqrt(1.0 / n + pow(gx - xm, 2) / sxx)"
-    return _with(
+    statement = _with(
         f"SELECT round(gx, 6) AS x, round(a + b * gx, 6) AS fit, round(a + b * gx - {half}, 6) AS low, round(a + b * gx + {half}, 6) AS high FROM grid",
         *pair,
         "line AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS xm, regr_sxx(y, x) AS sxx, min(x) AS x0, max(x) AS x1, "
@@ -302,7 +302,8 @@ def _linear_band(pair: tuple[str, ...]) -> str:
         f"SELECT i + 1, CASE WHEN p > 0.05 THEN m ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE m END, df FROM (SELECT *, {_t_tail('m', 'df')} AS p FROM "
         "(SELECT *, (lo + hi) / 2 AS m FROM halving WHERE i < 60)))",
         "grid AS (SELECT line.*, (SELECT lo FROM halving WHERE i = 60) AS t, x0 + (x1 - x0) / 79.0 * k AS gx FROM line, range(80) r(k))",
-    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    )
+    return _recursive(statement)
 
 
 ADJ_STATE = "n, pop, round(CASE WHEN n >= 10 THEN crude_rate END, 6) AS crude_rate, round(CASE WHEN n >= 10 THEN age_adjusted_rate END, 6) AS age_adjusted_rate"
@@ -569,22 +570,18 @@ def oracle_sql() -> dict[str, str]:
     sql["all_cause_extract"] = _with("SELECT CAST(data_year AS VARCHAR) AS data_year, count(*) AS n FROM deaths GROUP BY ALL")
 
     # panels
-    sql["panel"] = _with(
-        "SELECT s.state, s.data_year, round(age_adjusted_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share FROM std s LEFT JOIN share h ON s.state = h.state AND s.data_year = h.data_year",
-        PANEL_CRUDE[1],
-        *_standardised("state, data_year", "nativity = 'native'"),
-    )
-    sql["panel_crude"] = _with("SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share FROM panel", *PANEL_CRUDE)
-    sql["twfe_slope"] = _fit(
-        "(SELECT sum(pow(ry - b * rx, 2)) FROM clean) / (n - g - t) / sxx", "n - g - t"
-    )
-    sql["twfe_cluster_se"] = _fit(
-        "g / (g - 1.0) * (n - 1.0) / (n - 1 - t) * (SELECT sum(u * u) FROM scores) / (sxx * sxx)", "g - 1"
-    )
-    sql["twfe_residuals"] = _with(
-        "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share, round(ry, 6) AS resid_native_rate, round(rx, 6) AS resid_foreign_share FROM clean",
-        *PANEL_CRUDE,
-        RESIDUALS,
+    panel = "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share FROM panel"
+    sql["panel"] = _with(panel, *PANEL_ADJUSTED)
+    sql["panel_crude"] = _with(panel, *PANEL_CRUDE)
+    sql["twfe_slope"] = _fit(PANEL_CRUDE, *IID)
+    sql["twfe_cluster_se"] = _fit(PANEL_CRUDE, *CLUSTERED)
+    sql["twfe_unbalanced"] = _fit(PANEL_ADJUSTED, *CLUSTERED)
+    sql["twfe_residuals"] = _recursive(
+        _with(
+            "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share, round(ry, 6) AS resid_native_rate, round(rx, 6) AS resid_foreign_share FROM clean",
+            *PANEL_CRUDE,
+            *RESIDUALS,
+        )
     )
     pair = (
         *_standardised("state", "nativity = 'native' AND data_year = 2024", "exposure"),
@@ -601,7 +598,6 @@ def oracle_sql() -> dict[str, str]:
         "round(sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)), 6) AS residual_sd FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL",
         *pair,
     )
-    sql["twfe_unbalanced"] = _fit_unbalanced()
     sql["linear_band"] = _linear_band(pair)
     sql["external_share"] = _with(
         "SELECT state, round(status_pop, 6) AS status_pop, status_n, round(total_pop, 6) AS total_pop, round(status_pop / total_pop * 100, 6) AS status_share FROM ext WHERE status_pop IS NOT NULL", *EXT

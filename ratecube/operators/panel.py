@@ -144,17 +144,19 @@ def two_way_fit(
     }[counted]
     if errors == "iid":
         df = n - parameters
-        variance = (F.col("syy") - b * F.col("sxy")) / df / F.col("sxx")
+        residual = F.col("syy") - b * F.col("sxy")
+        variance = F.try_divide(residual, df * F.col("sxx"))
     else:
         df = groups - 1
-        small_sample = groups / (groups - 1) * (n - 1) / (n - parameters)
+        small_sample = F.try_divide(groups * (n - 1), (groups - 1) * (n - parameters))
         score = F.col("gyy") - 2 * b * F.col("gxy") + b * b * F.col("gxx")
-        variance = small_sample * score / (F.col("sxx") * F.col("sxx"))
+        variance = small_sample * F.try_divide(score, F.col("sxx") * F.col("sxx"))
+    # A panel too small for its effects has no variance left: null, not an error.
     return (
         sums.withColumn("n_times", n_times)
-        .withColumn("estimate", F.col("sxy") / F.col("sxx"))
-        .withColumns({"df": df.cast("long"), "std_error": F.sqrt(variance)})
-        .withColumn("t_value", F.col("estimate") / F.col("std_error"))
+        .withColumn("estimate", F.try_divide(F.col("sxy"), F.col("sxx")))
+        .withColumns({"df": df.cast("long"), "std_error": F.sqrt(F.when(variance >= 0, variance))})
+        .withColumn("t_value", F.try_divide(F.col("estimate"), F.col("std_error")))
         .select(
             "estimate", "std_error", "t_value",
             two_sided_p_of(F.col("t_value"), F.col("df")).alias("p_value"),
@@ -184,8 +186,8 @@ def linear_fit(table: DataFrame, x: str, y: str) -> DataFrame:
         F.min("x").alias("x_min"),
         F.max("x").alias("x_max"),
     )
-    residual = (F.col("syy") - F.col("slope") * F.col("sxy")) / (F.col("n") - 2)
-    return sums.withColumn("residual_sd", F.sqrt(residual)).drop("syy", "sxy")
+    residual = F.try_divide(F.col("syy") - F.col("slope") * F.col("sxy"), F.col("n") - 2)
+    return sums.withColumn("residual_sd", F.sqrt(F.when(residual >= 0, residual))).drop("syy", "sxy")
 
 
 def evenly_spaced(low: Column, high: Column, points: int) -> Column:
@@ -208,7 +210,7 @@ def confidence_band(
     half = (
         F.col("t")
         * F.col("residual_sd")
-        * F.sqrt(1.0 / F.col("n") + distance * distance / F.col("sxx"))
+        * F.sqrt(1.0 / F.col("n") + F.try_divide(distance * distance, F.col("sxx")))
     )
     line = F.col("intercept") + F.col("slope") * F.col("at")
     return grid.select(

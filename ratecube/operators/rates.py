@@ -126,8 +126,9 @@ def crude_and_adjusted(
 ) -> DataFrame:
     """Crude rate over all ages next to the standardised rate over known ages.
 
-    (keys, n, pop, crude_rate, age_adjusted_rate), events-anchored; one grouping
-    serves both rates, each with the cells that its definition takes in.
+    (keys, n, pop, crude_rate, age_adjusted_rate, n_known_age), events-anchored;
+    one grouping serves both rates, each with the cells that its definition takes
+    in. `n_known_age` is null where the standardised rate has no cell at all.
     `groups_without_events` keeps groups that have population only.
     """
     check_weights(weights)
@@ -137,12 +138,13 @@ def crude_and_adjusted(
         F.sum("n").alias("n"),
         known(F.sum("pop")).alias("pop"),
         known(F.sum(F.when(standard_cell, or_unknown(weighted)))).alias("age_adjusted_rate"),
+        F.sum(F.when(standard_cell, F.col("n"))).alias("n_known_age"),
     )
     if not groups_without_events:
         rates = rates.filter(F.col("n").isNotNull())
     return (
         rates.withColumn("crude_rate", ratio(F.col("n"), F.col("pop"), per))
-        .select(*keys, "n", "pop", "crude_rate", "age_adjusted_rate")
+        .select(*keys, "n", "pop", "crude_rate", "age_adjusted_rate", "n_known_age")
     )
 
 

@@ -122,12 +122,16 @@ def crude_and_adjusted_stacked(events: DataFrame, persons: DataFrame) -> DataFra
     """Long table (data_year, nativity, rate_type, rate, sort_order)."""
     order = ["Crude", "Age-adjusted"]
     both = rates.crude_and_adjusted(nativity_age_cells(events, persons), ["data_year", "nativity"])
+    keys = ["data_year", "nativity", "n_known_age"]
     named = both.select(
-        "data_year", "nativity",
-        F.col("crude_rate").alias(order[0]), F.col("age_adjusted_rate").alias(order[1]),
-    )
-    return named.unpivot(["data_year", "nativity"], order, "rate_type", "rate").withColumn(
-        "sort_order", F.expr(recodes.sort_order("rate_type", order))
+        *keys, F.col("crude_rate").alias(order[0]), F.col("age_adjusted_rate").alias(order[1])
+    )
+    stacked = named.unpivot(keys, order, "rate_type", "rate")
+    has_rate = (F.col("rate_type") == order[0]) | F.col("n_known_age").isNotNull()
+    return (
+        stacked.filter(has_rate)
+        .drop("n_known_age")
+        .withColumn("sort_order", F.expr(recodes.sort_order("rate_type", order)))
     )
 
 
@@ -202,7 +206,7 @@ def pooled_by_state(events: DataFrame, persons: DataFrame) -> DataFrame:
 def state_rates(events: DataFrame, persons: DataFrame, year: int) -> DataFrame:
     """All residents of a state in one year, small states suppressed."""
     cells = _cells(events, persons, ["state", "age_group"], [], year)
-    table = rates.crude_and_adjusted(cells, ["state"])
+    table = rates.crude_and_adjusted(cells, ["state"]).drop("n_known_age")
     return rates.suppress(table, ["crude_rate", "age_adjusted_rate"])
 
 
@@ -468,9 +472,11 @@ def top_causes(deaths: DataFrame, k: int = codes.TOP_CAUSES) -> DataFrame:
 def state_year_panel(events: DataFrame, persons: DataFrame, rate: str = "age_adjusted_rate") -> DataFrame:
     """(state, data_year, native_rate, foreign_share) of every state-year with native events.
 
-    `rate` is "age_adjusted_rate" or "crude_rate". Rate and share are read off the
-    same cells; the share counts everyone, unknown nativity and age included.
+    `rate` is "age_adjusted_rate" (of the state-years with native events of known
+    age) or "crude_rate". Rate and share are read off the same cells; the share
+    counts everyone, unknown nativity and age included.
     """
+    counted = {"age_adjusted_rate": "n_known_age", "crude_rate": "n"}[rate]
     keys = ["state", "data_year"]
     fine = merge_cells(events, persons, [*keys, "nativity", "age_group"])
     table = rates.crude_and_adjusted(fine, [*keys, "nativity"], groups_without_events=True)
@@ -478,7 +484,7 @@ def state_year_panel(events: DataFrame, persons: DataFrame, rate: str = "age_adj
     return (
         table.groupBy(*keys)
         .agg(
-            of("native", "n").alias("native_n"),
+            of("native", counted).alias("native_n"),
             of("native", rate).alias("native_rate"),
             F.coalesce(of("foreign", "pop"), F.lit(0.0)).alias("foreign_pop"),
             F.sum("pop").alias("total_pop"),
