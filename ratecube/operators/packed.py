@@ -12,29 +12,30 @@ from ratecube.operators.shares import with_group_total
 BLANKS = " \t\r\n"
 
 
-def slots(packed: Column, width: int = codes.CODE_WIDTH) -> Column:
-    """All slots of the field, in order and trimmed, blank ones as empty strings.
+def pieces(packed: str, width: int = codes.CODE_WIDTH) -> Column:
+    """All slots of a field in order, untrimmed; none for a null field.
 
     One pass over the string cuts every slot, however many there are; cutting
     them one by one would walk a long string from its start for each slot.
     """
-    pieces = F.regexp_extract_all(packed, F.lit("(?s).{1,%d}" % width), F.lit(0))
-    return F.transform(pieces, lambda piece: F.btrim(piece, F.lit(BLANKS)))
+    cut = F.regexp_extract_all(F.col(packed), F.lit("(?s).{1,%d}" % width), F.lit(0))
+    return F.coalesce(cut, F.array().cast("array<string>"))
 
 
-def condition_codes(packed: Column, width: int = codes.CODE_WIDTH) -> Column:
-    """The codes of one record, blanks dropped, repeats kept."""
-    return F.filter(slots(packed, width), lambda code: code != "")
+def _trimmed(piece: Column) -> Column:
+    return F.btrim(piece, F.lit(BLANKS))
 
 
 def unpack_codes(
     records: DataFrame, packed: str, keep: list[str], width: int = codes.CODE_WIDTH
 ) -> DataFrame:
-    """Long form: (keep, condition_slot, condition_code), slots counted from 1."""
-    long = records.select(*keep, F.posexplode(slots(F.col(packed), width)).alias("slot", "condition_code"))
-    return long.filter(F.col("condition_code") != "").select(
-        *keep, (F.col("slot") + 1).alias("condition_slot"), "condition_code"
-    )
+    """Long form: (keep, condition_slot, condition_code), slots counted from 1, blanks dropped."""
+    long = records.select(*keep, F.posexplode(pieces(packed, width)).alias("slot", "piece"))
+    return long.select(
+        *keep,
+        (F.col("slot") + 1).alias("condition_slot"),
+        _trimmed(F.col("piece")).alias("condition_code"),
+    ).filter(F.col("condition_code") != "")
 
 
 def _code_counts(
@@ -47,7 +48,7 @@ def _code_counts(
     test on the key, so that filtering on it stays above the shuffle, and codes
     and totals read the same shuffle.
     """
-    found = F.coalesce(condition_codes(F.col(packed), width), F.array().cast("array<string>"))
+    found = F.filter(F.transform(pieces(packed, width), _trimmed), lambda code: code != "")
     if once_per_record:
         found = F.array_distinct(found)
     marked = F.array_append(found, F.lit(None).cast("string"))
