@@ -50,12 +50,6 @@ def merge_cells(events: DataFrame, exposure: DataFrame, keys: list[str]) -> Data
     return stacked.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pop").alias("pop"))
 
 
-def add_up(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of fewer keys."""
-    measures = [name for name in ("n", "pop") if name in cells.columns]
-    return cells.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures])
-
-
 def with_subtotal(cells: DataFrame, keys: list[str], over: str, label: str) -> DataFrame:
     """Cells by `keys`, and their sum over the key `over` as one more value `label`.
 
@@ -90,8 +84,3 @@ def stack_groupings(
         *[F.col(f"{key}__label").alias(key) if key in replace else F.col(key) for key in keys],
         *measures,
     )
-
-
-def conditional_sum(measure: str, condition: Column) -> Column:
-    """Sum over the rows that meet a condition; zero when none does."""
-    return F.coalesce(F.sum(F.when(condition, F.col(measure))), F.lit(0).cast("long"))

@@ -20,20 +20,20 @@ from ratecube.operators.cells import count_events, merge_cells, sum_exposure, wi
 
 NATIVITY = ["native", "foreign"]
 FOREIGN_PLACES = [label for _, label in codes.FOREIGN_BIRTH_CODES]
-EVENT_CUBE_KEYS = [
-    "data_year", "state", "state_occ", "nativity", "birthplace", "age_group", "sex", "race_code",
-    "race", "race_detail", "ethnicity", "ethnicity_detail", "marital", "education_flag",
-    "cause", "method",
-]
+# Keys of the cubes: those that rates and shares group by. Their combinations are
+# bounded by the code tables, whatever the number of records.
 PERSON_CUBE_KEYS = [
     "data_year", "state", "nativity", "birthplace", "age_group", "sex", "race", "ethnicity", "marital",
 ]
+EVENT_CUBE_KEYS = [*PERSON_CUBE_KEYS, "method"]
 # Series of the wide state table: the subtotal and the two groups.
 SERIES = ["total", *NATIVITY]
 
 
 def event_cube(events: DataFrame, keys: list[str] = EVENT_CUBE_KEYS) -> DataFrame:
-    return count_events(events, [key for key in keys if key in events.columns])
+    """Counts by all keys at once. Reports on other keys (detailed race, cause, place
+    of occurrence, age in years) take the records or a cube of their own keys."""
+    return count_events(events, keys)
 
 
 def person_cube(persons: DataFrame, keys: list[str] = PERSON_CUBE_KEYS) -> DataFrame:
