@@ -482,6 +482,12 @@ def oracle_sql() -> dict[str, str]:
         *_standardised("state", "nativity = 'native' AND data_year = 2024", "exposure"),
     )
     sql["state_adjusted_exposure_foreign"] = sql["state_adjusted_exposure"].replace("nativity = 'native'", "nativity = 'foreign'")
+    sql["state_year_nativity"] = _with(
+        "SELECT c.state, c.data_year, c.nativity, c.n, c.pop, round(c.rate, 6) AS crude_rate, round(s.age_adjusted_rate, 6) AS age_adjusted_rate "
+        "FROM crude c LEFT JOIN std s ON s.state = c.state AND s.data_year = c.data_year AND s.nativity = c.nativity",
+        _crude("state, data_year, nativity", KNOWN),
+        *_standardised("state, data_year, nativity", KNOWN),
+    )
     sql["state_year_wide"] = _state_year_wide()
 
     # population
@@ -586,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
     pair = (
         *_standardised("state", "nativity = 'native' AND data_year = 2024", "exposure"),
         "share24 AS (SELECT state, coalesce(sum(perwt) FILTER (nativity = 'foreign'), 0) AS foreign_pop, sum(perwt) AS total_pop FROM xp WHERE data_year = 2024 GROUP BY ALL)",
-        f"pairs AS (SELECT s.state, {ADJ_STATE}, n < 10 AS suppressed, CASE WHEN n >= 10 THEN age_adjusted_rate END AS y, foreign_pop, total_pop, foreign_pop / total_pop * 100 AS x FROM std s LEFT JOIN share24 h ON s.state = h.state)",
+        f"pairs AS (SELECT s.state, {ADJ_STATE}, n < 10 AS suppressed, CASE WHEN n >= 10 THEN age_adjusted_rate END AS y, foreign_pop, total_pop, foreign_pop / total_pop * 100 AS x FROM std s LEFT JOIN share24 h ON s.state IS NOT DISTINCT FROM h.state)",
     )
     sql["native_rate_by_foreign_share"] = _with(
         "SELECT state, n, pop, crude_rate, age_adjusted_rate, suppressed, foreign_pop, total_pop, round(x, 6) AS foreign_share FROM pairs", *pair

@@ -88,11 +88,14 @@ def standardise(
     weights: list[tuple[str, float]] = codes.STANDARD_WEIGHTS,
     per: float = codes.PER_100K,
     age: str = AGE,
+    whole_pop: str | None = None,
 ) -> DataFrame:
     """(keys, n, pop, crude_rate, age_adjusted_rate) over the cells of known age.
 
     Ages are tested inside the sums: as a filter the test would move below the
-    cells and be evaluated for every record and person.
+    cells and be evaluated for every record and person. `whole_pop` names one
+    more column, the population of all ages (NaN if unknown), and keeps the
+    groups that have nothing else.
     """
     check_weights(weights)
     if anchor == "events":
@@ -103,16 +106,17 @@ def standardise(
     else:
         raise ValueError(f"anchor must be 'events' or 'exposure', not {anchor!r}")
     weighted = _weighted_rate(weights, per, age)
-    return (
-        cells.groupBy(*keys)
-        .agg(
-            F.sum(F.when(used, F.col("n"))).alias("n"),
-            known(F.sum(F.when(used, or_unknown(F.col("pop"))))).alias("pop"),
-            known(F.sum(F.when(used, or_unknown(weighted)))).alias("age_adjusted_rate"),
-        )
-        .filter(F.col("n").isNotNull())
-        .withColumn("crude_rate", ratio(F.col("n"), F.col("pop"), per))
-        .select(*keys, "n", "pop", "crude_rate", "age_adjusted_rate")
+    extra = [whole_pop] if whole_pop else []
+    table = cells.groupBy(*keys).agg(
+        F.sum(F.when(used, F.col("n"))).alias("n"),
+        known(F.sum(F.when(used, or_unknown(F.col("pop"))))).alias("pop"),
+        known(F.sum(F.when(used, or_unknown(weighted)))).alias("age_adjusted_rate"),
+        *[F.sum("pop").alias(name) for name in extra],
+    )
+    if not extra:
+        table = table.filter(F.col("n").isNotNull())
+    return table.withColumn("crude_rate", ratio(F.col("n"), F.col("pop"), per)).select(
+        *keys, "n", "pop", "crude_rate", "age_adjusted_rate", *extra
     )
 
 

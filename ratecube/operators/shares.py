@@ -59,10 +59,17 @@ def top_k(cells: DataFrame, group: list[str], k: int, value: str = "n") -> DataF
     return ranked.filter(F.col("rank") <= k)
 
 
-def first_rows(table: DataFrame, order: dict[str, str], k: int) -> DataFrame:
-    """The first k rows by `order` (column -> "asc" or "desc"): each task keeps its own k."""
-    sort = [F.desc(c) if direction == "desc" else F.asc(c) for c, direction in order.items()]
-    return table.orderBy(*sort).limit(k)
+def sort_keys(order: list[str]) -> list[Column]:
+    """Sort columns from names; a leading "-" sorts downwards. Nulls come last."""
+    return [
+        F.desc_nulls_last(name[1:]) if name.startswith("-") else F.asc_nulls_last(name)
+        for name in order
+    ]
+
+
+def first_rows(table: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first k rows by `order` (see `sort_keys`): each task keeps its own k."""
+    return table.orderBy(*sort_keys(order)).limit(k)
 
 
 def part_of_all(events: DataFrame, keys: list[str], condition: Column) -> DataFrame:

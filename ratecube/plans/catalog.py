@@ -152,6 +152,7 @@ RATES: dict[str, Query] = {
         reports.adjusted_by_state, "foreign", LAST, years=ONE_YEAR
     ),
     "state_adjusted_exposure": _of_both(reports.adjusted_by_state, "native", LAST, years=ONE_YEAR),
+    "state_year_nativity": _of_both(reports.state_year_nativity),
     "state_year_wide": _of_both(reports.state_year_rates, [FIRST, LAST]),
     "population_series": _of_persons(reports.population_series),
     "population_share": _of_persons(reports.foreign_share, ["data_year"]),
@@ -196,7 +197,7 @@ CODES: dict[str, Query] = {
     ),
     "code_frequency_head": lambda spark, sf_dir: shares.first_rows(
         packed.code_frequency(star.table(spark, sf_dir, "documents"), "text"),
-        {"n": "desc", "condition_code": "asc"},
+        ["-n", "condition_code"],
         30,
     ),
     "code_prevalence_by_group": lambda spark, sf_dir: packed.code_prevalence(

@@ -244,6 +244,13 @@ def adjusted_by_state(events: DataFrame, persons: DataFrame, nativity: str, year
     return rates.suppress(table, ["crude_rate", "age_adjusted_rate"], flag="suppressed")
 
 
+def state_year_nativity(events: DataFrame, persons: DataFrame) -> DataFrame:
+    """Crude and adjusted rates of every state, year and group with events."""
+    keys = ["state", "data_year", "nativity"]
+    cells = _cells(events, persons, [*keys, "age_group"], ["nativity"])
+    return rates.crude_and_adjusted(cells, keys).drop("n_known_age")
+
+
 def state_year_rates(events: DataFrame, persons: DataFrame, years: list[int]) -> DataFrame:
     """Crude and adjusted rates of everyone and of both groups, one row per state and year.
 
@@ -534,8 +541,30 @@ def native_crude_by_external_share(
 
 
 def native_rate_by_foreign_share(events: DataFrame, persons: DataFrame, year: int) -> DataFrame:
-    share = foreign_share(persons, ["state"], year)
-    return adjusted_by_state(events, persons, "native", year).join(share, "state", "left")
+    """Native rates of each state (see `adjusted_by_state`) next to its foreign share.
+
+    Rates and population shares come off one set of cells by group.
+    """
+    keys = ["state", "nativity"]
+    values = ["n", "pop", "crude_rate", "age_adjusted_rate"]
+    cells = _cells(events, persons, [*keys, "age_group"], [], year)
+    table = rates.standardise(cells, keys, "exposure", whole_pop="everyone")
+    is_group = lambda group: F.col("nativity") == group
+    joined = (
+        table.groupBy("state")
+        .agg(
+            F.max(F.when(is_group("native"), F.struct(*values))).alias("native"),
+            F.sum(F.when(is_group("foreign"), F.col("everyone")).otherwise(0.0)).alias("foreign_pop"),
+            F.sum("everyone").alias("total_pop"),
+        )
+        .filter(F.col("native.n").isNotNull())
+        .select(
+            "state", "native.*", rates.known(F.col("foreign_pop")).alias("foreign_pop"),
+            rates.known(F.col("total_pop")).alias("total_pop"),
+        )
+    )
+    shown = rates.suppress(joined, ["crude_rate", "age_adjusted_rate"], flag="suppressed")
+    return shown.withColumn("foreign_share", percent(F.col("foreign_pop"), F.col("total_pop")))
 
 
 def compare_groups(events: DataFrame, persons: DataFrame, year: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratecube.functions import codes
 from ratecube.functions.recodes import is_in
 from ratecube.sources.fixed_width import (
+    length_profile,
     parse_fixed_width,
     read_lines,
     trimmed_slice,
@@ -74,6 +75,24 @@ def read_all_deaths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
     )
 
 
+def record_lengths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
+    """(year, path, record_length, n): how long the lines of each file are.
+
+    A missing file gives one row with null length and no lines.
+    """
+    schema = "year int, path string, record_length int, n long"
+    absent = [(file.year, None, None, 0) for file in files if file.path is None]
+    parts = [
+        read_lines(spark, [file.path]).select(
+            F.lit(file.year).alias("year"), F.lit(file.path).alias("path"), "value"
+        )
+        for file in files
+        if file.path is not None
+    ]
+    profile = length_profile(union_by_name(parts), ["year", "path"])
+    return profile.unionByName(spark.createDataFrame(absent, schema)) if absent else profile
+
+
 def rows_by_year(records: DataFrame) -> DataFrame:
     """Record count per data year, the audit after a scan."""
     return records.groupBy("data_year").agg(F.count(F.lit(1)).alias("n"))

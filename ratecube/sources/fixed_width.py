@@ -63,8 +63,3 @@ def length_profile(lines: DataFrame, keys: list[str], line: str = LINE) -> DataF
     return lines.groupBy(*keys, F.length(line).alias("record_length")).agg(
         F.count(F.lit(1)).alias("n")
     )
-
-
-def record_length_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = read_lines(spark, paths).select(F.input_file_name().alias("path"), LINE)
-    return length_profile(lines, ["path"])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ratecube.operators.shares import sort_keys
 
 # State population by immigration status.
 STATUS_SCHEMA = "state_abb string, immig_status string, population double, n long"
@@ -19,13 +20,13 @@ def text_schema(names: list[str]) -> str:
 
 
 def write_result(table: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Sorted CSV of a result table, nulls last and written as NA.
+    """CSV of a result table sorted by `order` (see `sort_keys`), nulls written as NA.
 
     The sort is by range, so the part files are in order; adaptive execution
     merges small ranges, which leaves one file for a small table.
     """
     if order:
-        table = table.orderBy(*[F.asc_nulls_last(name) for name in order])
+        table = table.orderBy(*sort_keys(order))
     table.write.csv(path, header=True, mode="overwrite", nullValue="NA")
 
 

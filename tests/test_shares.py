@@ -60,3 +60,9 @@ def test_part_of_all_counts_null_codes_as_outside(spark):
     table = spark.createDataFrame([("g", "128", 2), ("g", None, 3), ("g", "001", 5)], "g string, c string, n long")
     row = shares.part_of_all(table, ["g"], F.col("c").isin("128", "129")).first()
     assert tuple(row) == ("g", 10, 2, pytest.approx(20.0))
+
+
+def test_first_rows_sorts_nulls_last_in_both_directions(spark):
+    table = spark.createDataFrame([("b", 2), ("a", 2), (None, 3), ("c", None)], "k string, n long")
+    assert [tuple(r) for r in shares.first_rows(table, ["-n", "k"], 3).collect()] == [(None, 3), ("a", 2), ("b", 2)]
+    assert [r["k"] for r in shares.first_rows(table, ["k"], 4).collect()] == ["a", "b", "c", None]

@@ -89,10 +89,12 @@ def test_unused_fields_are_pruned(spark):
     assert plan.count("substring") == 1
 
 
-def test_record_length_profile_sees_every_line(spark, tmp_path, rows):
+def test_record_lengths_see_every_line_and_missing_files(spark, tmp_path, rows):
     path = write(tmp_path / "a.txt", [line(OLD), line(OLD), line(OLD)[:100]])
-    profile = fixed_width.record_length_profile(spark, [path])
-    assert rows(profile, "record_length", "n") == [(100, 1), (490, 2)]
+    files = [DeathFile(2014, path), DeathFile(2019, None)]
+    assert rows(deaths.record_lengths(spark, files), "year", "record_length", "n") == [
+        (2014, 100, 1), (2014, 490, 2), (2019, None, 0),
+    ]
 
 
 def test_codebook_microdata_with_implied_decimals(spark, tmp_path):
