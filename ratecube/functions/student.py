@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Send these functions along with the plan: workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction (Lentz)."""
