@@ -164,7 +164,7 @@ def method(cause: str) -> str:
 
 def cause_label(cause: str) -> str:
     before, after = codes.CAUSE_FALLBACK
-    fallback = f"concat({literal(before)}, {cause}, {literal(after)})"
+    fallback = f"concat({literal(before)}, coalesce({cause}, 'NA'), {literal(after)})"
     return f"coalesce({label_of(cause, codes.CAUSE_LABELS)}, {fallback})"
 
 

@@ -88,11 +88,14 @@ def first_to_last(
     table: DataFrame, keys: list[str], year: str, value: str, first: int, last: int
 ) -> DataFrame:
     """(keys, value_first, value_last, pct_change) between two years."""
-    at = lambda y: F.max(F.when(F.col(year) == y, F.col(value)))
+    picked = [
+        F.max(F.when(F.col(year) == each, F.col(value))).alias(name)
+        for each, name in ((first, "value_first"), (last, "value_last"))
+    ]
     return (
         table.filter(F.col(year).isin(first, last))
         .groupBy(*keys)
-        .agg(at(first).alias("value_first"), at(last).alias("value_last"))
+        .agg(*picked)
         .withColumn("pct_change", percent_change(F.col("value_first"), F.col("value_last")))
     )
 

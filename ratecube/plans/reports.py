@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratecube.functions import codes, recodes
@@ -45,8 +45,17 @@ def _known(table: DataFrame, *keys: str) -> DataFrame:
     return reduce(lambda df, key: df.filter(F.col(key).isNotNull()), keys, table)
 
 
+def _only(table: DataFrame, key: str, *values) -> DataFrame:
+    return table.filter(F.col(key).isin(*values))
+
+
 def _in_year(table: DataFrame, year: int | None) -> DataFrame:
-    return table if year is None else table.filter(F.col("data_year") == year)
+    return table if year is None else _only(table, "data_year", year)
+
+
+def _of(key: str, group: str, value: str) -> Column:
+    """The value of one group among the rows that are being aggregated."""
+    return F.max(F.when(F.col(key) == group, F.col(value)))
 
 
 def _cells(
@@ -58,6 +67,15 @@ def _cells(
     )
 
 
+def _group_cells(
+    events: DataFrame, persons: DataFrame, nativity: str, keys: list[str], year: int
+) -> DataFrame:
+    """Merged cells of one nativity in one year."""
+    return _cells(
+        _only(events, "nativity", nativity), _only(persons, "nativity", nativity), keys, [], year
+    )
+
+
 # --- counts ----------------------------------------------------------------------
 
 
@@ -225,8 +243,9 @@ def state_nativity_rates(
 
 def state_map(events: DataFrame, persons: DataFrame, year: int, nativity: str) -> DataFrame:
     """(state, age_adjusted_rate) of one group, suppressed: the table behind a map."""
-    one = lambda df: df.filter(F.col("nativity") == nativity)
-    table = state_nativity_rates(one(events), one(persons), year)
+    table = state_nativity_rates(
+        _only(events, "nativity", nativity), _only(persons, "nativity", nativity), year
+    )
     return rates.suppress(table, ["age_adjusted_rate"]).select("state", "age_adjusted_rate")
 
 
@@ -238,8 +257,7 @@ def state_age_year_suppressed(events: DataFrame, persons: DataFrame) -> DataFram
 
 def adjusted_by_state(events: DataFrame, persons: DataFrame, nativity: str, year: int) -> DataFrame:
     """One group by state, anchored on the population, suppressed with a flag."""
-    one = lambda df: df.filter(F.col("nativity") == nativity)
-    cells = _cells(one(events), one(persons), ["state", "age_group"], [], year)
+    cells = _group_cells(events, persons, nativity, ["state", "age_group"], year)
     table = rates.standardise(cells, ["state"], "exposure")
     return rates.suppress(table, ["crude_rate", "age_adjusted_rate"], flag="suppressed")
 
@@ -258,18 +276,18 @@ def state_year_rates(events: DataFrame, persons: DataFrame, years: list[int]) ->
     the table come from one pass over each side.
     """
     keys = ["state", "data_year", "nativity"]
-    wanted = lambda df: df.filter(F.col("data_year").isin(years))
-    fine = merge_cells(wanted(events), wanted(persons), [*keys, "age_group"])
+    fine = merge_cells(
+        _only(events, "data_year", *years), _only(persons, "data_year", *years), [*keys, "age_group"]
+    )
     series = with_subtotal(fine, [*keys, "age_group"], "nativity", SERIES[0])
     table = rates.crude_and_adjusted(series, keys)
-    wide = shares.widen(
+    return shares.widen(
         table,
         ["state", "data_year"],
         "nativity",
         SERIES,
         {"crude_rate": "crude_rate_", "age_adjusted_rate": "adjusted_rate_"},
     )
-    return wide
 
 
 # --- population --------------------------------------------------------------------------
@@ -298,7 +316,9 @@ def foreign_share(persons: DataFrame, keys: list[str], year: int | None = None)
     return (
         people.groupBy(*keys)
         .agg(
-            rates.known(F.sum(F.when(F.col("nativity") == "foreign", F.col("pop")).otherwise(0.0))).alias("foreign_pop"),
+            rates.known(
+                F.sum(F.when(F.col("nativity") == "foreign", F.col("pop")).otherwise(0.0))
+            ).alias("foreign_pop"),
             rates.known(F.sum("pop")).alias("total_pop"),
         )
         .withColumn("foreign_share", percent(F.col("foreign_pop"), F.col("total_pop")))
@@ -316,8 +336,10 @@ def change_summary(
     Only the two years are read; all eight metrics come from one set of cells.
     """
     keys = ["data_year", "nativity"]
-    wanted = lambda df: df.filter(F.col("data_year").isin(first, last))
-    fine = merge_cells(wanted(events), wanted(persons), [*keys, "age_group"])
+    years = [first, last]
+    fine = merge_cells(
+        _only(events, "data_year", *years), _only(persons, "data_year", *years), [*keys, "age_group"]
+    )
     series = with_subtotal(fine, [*keys, "age_group"], "nativity", SERIES[0])
     table = rates.crude_and_adjusted(series, keys, groups_without_events=True)
     wide = shares.widen(
@@ -357,10 +379,10 @@ def race_ethnicity_rates(
 
 
 def white_ethnicity_rates(events: DataFrame, persons: DataFrame, year: int) -> DataFrame:
-    white = lambda df: df.filter(F.col("race") == "White")
-    return race_ethnicity_rates(white(events), white(persons), year).drop(
-        "race", "ethnicity", "nativity"
+    table = race_ethnicity_rates(
+        _only(events, "race", "White"), _only(persons, "race", "White"), year
     )
+    return table.drop("race", "ethnicity", "nativity")
 
 
 def group_gap(events: DataFrame, persons: DataFrame) -> DataFrame:
@@ -415,8 +437,9 @@ def marital_age_cells(
     events: DataFrame, persons: DataFrame, year: int, marital: str = "Widowed"
 ) -> DataFrame:
     """Rates by age of one marital group, to be listed from the highest."""
-    one = lambda df: df.filter(F.col("marital") == marital)
-    cells = _marital_cells(one(events), one(persons), year)
+    cells = _marital_cells(
+        _only(events, "marital", marital), _only(persons, "marital", marital), year
+    )
     return rates.age_specific_rate(cells).drop("weight", "weighted_rate")
 
 
@@ -487,13 +510,12 @@ def state_year_panel(events: DataFrame, persons: DataFrame, rate: str = "age_adj
     keys = ["state", "data_year"]
     fine = merge_cells(events, persons, [*keys, "nativity", "age_group"])
     table = rates.crude_and_adjusted(fine, [*keys, "nativity"], groups_without_events=True)
-    of = lambda group, value: F.max(F.when(F.col("nativity") == group, F.col(value)))
     return (
         table.groupBy(*keys)
         .agg(
-            of("native", counted).alias("native_n"),
-            of("native", rate).alias("native_rate"),
-            F.coalesce(of("foreign", "pop"), F.lit(0.0)).alias("foreign_pop"),
+            _of("nativity", "native", counted).alias("native_n"),
+            _of("nativity", "native", rate).alias("native_rate"),
+            F.coalesce(_of("nativity", "foreign", "pop"), F.lit(0.0)).alias("foreign_pop"),
             F.sum("pop").alias("total_pop"),
         )
         .filter(F.col("native_n").isNotNull())
@@ -524,8 +546,7 @@ def native_rate_by_external_share(
     `status_share` is of the whole status table, `share_of_native` of the native
     population in the rate.
     """
-    one = lambda df: df.filter(F.col("nativity") == "native")
-    cells = _cells(one(events), one(persons), ["state", "age_group"], [], year)
+    cells = _group_cells(events, persons, "native", ["state", "age_group"], year)
     native = rates.standardise(cells, ["state"], "events")
     joined = native.join(external_share(status, wanted), "state", "left")
     return joined.withColumn("share_of_native", percent(F.col("status_pop"), F.col("pop")))
@@ -535,8 +556,7 @@ def native_crude_by_external_share(
     events: DataFrame, persons: DataFrame, status: DataFrame, wanted: str, year: int
 ) -> DataFrame:
     """Crude native rate of each state, all ages, next to its population of one status."""
-    one = lambda df: df.filter(F.col("nativity") == "native")
-    crude = rates.crude_rate(_cells(one(events), one(persons), ["state"], [], year), ["state"])
+    crude = rates.crude_rate(_group_cells(events, persons, "native", ["state"], year), ["state"])
     return crude.join(external_share(status, wanted), "state", "left")
 
 
@@ -549,12 +569,12 @@ def native_rate_by_foreign_share(events: DataFrame, persons: DataFrame, year: in
     values = ["n", "pop", "crude_rate", "age_adjusted_rate"]
     cells = _cells(events, persons, [*keys, "age_group"], [], year)
     table = rates.standardise(cells, keys, "exposure", whole_pop="everyone")
-    is_group = lambda group: F.col("nativity") == group
     joined = (
-        table.groupBy("state")
+        table.withColumn("rates", F.struct(*values))
+        .groupBy("state")
         .agg(
-            F.max(F.when(is_group("native"), F.struct(*values))).alias("native"),
-            F.sum(F.when(is_group("foreign"), F.col("everyone")).otherwise(0.0)).alias("foreign_pop"),
+            _of("nativity", "native", "rates").alias("native"),
+            F.coalesce(_of("nativity", "foreign", "everyone"), F.lit(0.0)).alias("foreign_pop"),
             F.sum("everyone").alias("total_pop"),
         )
         .filter(F.col("native.n").isNotNull())

@@ -30,15 +30,14 @@ def write_result(table: DataFrame, path: str, order: list[str] | None = None) ->
     table.write.csv(path, header=True, mode="overwrite", nullValue="NA")
 
 
-def write_extract(records: DataFrame, path: str) -> None:
+def write_extract(records: DataFrame, path: str, format: str = "parquet") -> None:
     """Record-level extract, one directory per year, so that later reads prune years.
 
     Rows are first gathered by year in pieces of even size: a large year is split
     over several tasks and a small one does not end up in one file per scan task.
     """
-    records.hint("rebalance", "data_year").write.partitionBy("data_year").parquet(
-        path, mode="overwrite"
-    )
+    pieces = records.hint("rebalance", "data_year").write.partitionBy("data_year")
+    pieces.format(format).option("header", True).mode("overwrite").save(path)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:

@@ -93,7 +93,11 @@ def test_sex_marital_method(spark):
 
 def test_cause_label_falls_back_to_the_code(spark):
     got = recode(spark, recodes.cause_label, ["128", "004", None], "string")
-    assert got == ["Homicide by discharge of firearms", "Code 004 (not in lookup - check codebook)", None]
+    assert got == [
+        "Homicide by discharge of firearms",
+        "Code 004 (not in lookup - check codebook)",
+        "Code NA (not in lookup - check codebook)",
+    ]
     assert len(codes.CAUSE_LABELS) == len(dict(codes.CAUSE_LABELS)) == 114
 
 
