@@ -22,7 +22,7 @@ STATE_SET = "(" + ", ".join(f"'{s}'" for s in STATES) + ")"
 NATIVE_SET = "(" + ", ".join(f"'{s}'" for s in [*STATES, "PR", "VI", "GU", "AS", "MP"]) + ")"
 
 BASE = f"""
-people AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
+people AS (SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 raw_deaths AS (
   SELECT l_orderkey, l_linenumber, l_suppkey, year(o_orderdate) + 23 AS data_year,
     {_list([*STATES[:24], "PR"])}[c_nationkey + 1] AS state,

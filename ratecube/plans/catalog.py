@@ -58,8 +58,10 @@ def _all_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_events(star.death_records(spark, sf_dir, homicides_only=False))
 
 
-def _persons(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> DataFrame:
-    return label_persons(star.persons(spark, sf_dir, years))
+def _persons(
+    spark: SparkSession, sf_dir: str, years: tuple | None = None, with_state: bool = True
+) -> DataFrame:
+    return label_persons(star.persons(spark, sf_dir, years, with_state))
 
 
 def _of_events(report: Callable, *args, years: tuple | None = None, **kwargs) -> Query:
@@ -70,16 +72,28 @@ def _of_deaths(report: Callable, *args, **kwargs) -> Query:
     return lambda spark, sf_dir: report(_all_deaths(spark, sf_dir), *args, **kwargs)
 
 
-def _of_persons(report: Callable, *args, **kwargs) -> Query:
-    return lambda spark, sf_dir: report(_persons(spark, sf_dir), *args, **kwargs)
+def _of_persons(report: Callable, *args, with_state: bool = True, **kwargs) -> Query:
+    return lambda spark, sf_dir: report(
+        _persons(spark, sf_dir, with_state=with_state), *args, **kwargs
+    )
 
 
-def _of_both(report: Callable, *args, years: tuple | None = None, **kwargs) -> Query:
+def _of_both(
+    report: Callable, *args, years: tuple | None = None, with_state: bool = True, **kwargs
+) -> Query:
     return lambda spark, sf_dir: report(
-        _homicides(spark, sf_dir, years), _persons(spark, sf_dir, years), *args, **kwargs
+        _homicides(spark, sf_dir, years),
+        _persons(spark, sf_dir, years, with_state),
+        *args,
+        **kwargs,
     )
 
 
+def _nationwide(report: Callable, *args, **kwargs) -> Query:
+    """A report over both sides that does not group persons by state."""
+    return _of_both(report, *args, with_state=False, **kwargs)
+
+
 def _then(query: Query, *steps: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = query(spark, sf_dir)
@@ -123,23 +137,23 @@ COUNTS: dict[str, Query] = {
 # --- rates ------------------------------------------------------------------------
 
 RATES: dict[str, Query] = {
-    "crude_rate": _of_both(reports.crude_by_nativity),
-    "age_specific_rate": _of_both(reports.age_specific_by_nativity),
-    "age_adjusted_rate": _of_both(reports.adjusted_by_nativity),
-    "age_adjusted_exposure_anchor": _of_both(reports.adjusted_by_nativity, anchor="exposure"),
-    "age_adjusted_total": _of_both(reports.adjusted_total),
-    "crude_vs_adjusted": _of_both(reports.crude_and_adjusted_stacked),
+    "crude_rate": _nationwide(reports.crude_by_nativity),
+    "age_specific_rate": _nationwide(reports.age_specific_by_nativity),
+    "age_adjusted_rate": _nationwide(reports.adjusted_by_nativity),
+    "age_adjusted_exposure_anchor": _nationwide(reports.adjusted_by_nativity, anchor="exposure"),
+    "age_adjusted_total": _nationwide(reports.adjusted_total),
+    "crude_vs_adjusted": _nationwide(reports.crude_and_adjusted_stacked),
     "crude_vs_adjusted_from_cubes": _of_both(
         lambda events, persons: reports.crude_and_adjusted_stacked(
             settle(reports.event_cube(events)), settle(reports.person_cube(persons))
         )
     ),
-    "subtotal_rates": _of_both(reports.crude_by_birthplace),
-    "subtotal_adjusted": _of_both(reports.adjusted_by_birthplace),
-    "age_specific_birthplace": _of_both(reports.age_specific_by_birthplace),
-    "pooled_rate": _of_both(reports.pooled_age_specific),
-    "age_specific_rate_wide": _of_both(reports.pooled_age_specific_wide),
-    "age_specific_rate_wide_one_year": _of_both(reports.pooled_age_specific_wide, LAST, years=ONE_YEAR),
+    "subtotal_rates": _nationwide(reports.crude_by_birthplace),
+    "subtotal_adjusted": _nationwide(reports.adjusted_by_birthplace),
+    "age_specific_birthplace": _nationwide(reports.age_specific_by_birthplace),
+    "pooled_rate": _nationwide(reports.pooled_age_specific),
+    "age_specific_rate_wide": _nationwide(reports.pooled_age_specific_wide),
+    "age_specific_rate_wide_one_year": _nationwide(reports.pooled_age_specific_wide, LAST, years=ONE_YEAR),
     "population_by_state": _of_persons(reports.population_by_state),
     "state_pooled_suppressed": _of_both(reports.pooled_by_state),
     "state_rate_suppressed": _of_both(reports.state_age_year_suppressed),
@@ -154,15 +168,15 @@ RATES: dict[str, Query] = {
     "state_adjusted_exposure": _of_both(reports.adjusted_by_state, "native", LAST, years=ONE_YEAR),
     "state_year_nativity": _of_both(reports.state_year_nativity),
     "state_year_wide": _of_both(reports.state_year_rates, [FIRST, LAST]),
-    "population_series": _of_persons(reports.population_series),
-    "population_share": _of_persons(reports.foreign_share, ["data_year"]),
-    "pct_change_summary": _of_both(reports.change_summary, FIRST, LAST),
-    "race_ethnicity_rates": _of_both(reports.race_ethnicity_rates),
-    "white_ethnicity_rates": _of_both(reports.white_ethnicity_rates, LAST, years=ONE_YEAR),
-    "group_gap": _of_both(reports.group_gap),
-    "demographic_rates_stacked": _of_both(reports.demographic_rates, LAST, years=ONE_YEAR),
-    "marital_sex_rates": _of_both(reports.marital_sex_rates, LAST, years=ONE_YEAR),
-    "marital_age_cells": _of_both(reports.marital_age_cells, LAST, years=ONE_YEAR),
+    "population_series": _of_persons(reports.population_series, with_state=False),
+    "population_share": _of_persons(reports.foreign_share, ["data_year"], with_state=False),
+    "pct_change_summary": _nationwide(reports.change_summary, FIRST, LAST),
+    "race_ethnicity_rates": _nationwide(reports.race_ethnicity_rates),
+    "white_ethnicity_rates": _nationwide(reports.white_ethnicity_rates, LAST, years=ONE_YEAR),
+    "group_gap": _nationwide(reports.group_gap),
+    "demographic_rates_stacked": _nationwide(reports.demographic_rates, LAST, years=ONE_YEAR),
+    "marital_sex_rates": _nationwide(reports.marital_sex_rates, LAST, years=ONE_YEAR),
+    "marital_age_cells": _nationwide(reports.marital_age_cells, LAST, years=ONE_YEAR),
 }
 
 # --- distributions and causes -------------------------------------------------------

@@ -19,8 +19,10 @@ from ratecube.sources.layouts import BRIDGED_RACE_YEARS, Field
 SCHEMAS = {
     "customer": "c_custkey long, c_nationkey int",
     "supplier": "s_suppkey long, s_nationkey int, s_acctbal double",
-    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_returnflag string, l_linestatus string",
     "documents": "doc_id long, text string, lang string",
 }
 # Order years 1995-2001 become data years 2018-2024, on both sides of the layout change.
@@ -57,20 +59,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _people(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None) -> DataFrame:
-    """Orders with their customer, of all years or of the data years from first to last.
+def _orders(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None) -> DataFrame:
+    """Orders of all years, or of the data years from first to last.
 
     The years become a range of order dates, which the Parquet scan can skip by;
     a test on the computed data year alone could not be pushed down.
     """
     orders = table(spark, sf_dir, "orders")
-    if years:
-        first, last = (year - YEAR_SHIFT for year in years)
-        orders = orders.filter(
-            f"o_orderdate >= TIMESTAMP_NTZ '{first}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{last + 1}-01-01'"
-        )
-    customers = table(spark, sf_dir, "customer")
-    return orders.join(customers, F.expr("o_custkey = c_custkey"))
+    if not years:
+        return orders
+    first, last = (year - YEAR_SHIFT for year in years)
+    return orders.filter(
+        f"o_orderdate >= TIMESTAMP_NTZ '{first}-01-01' "
+        f"AND o_orderdate < TIMESTAMP_NTZ '{last + 1}-01-01'"
+    )
 
 
 def death_records(
@@ -83,12 +85,14 @@ def death_records(
 
     Returned lines stand for homicides. The flag is tested on the line table
     itself, so it reaches the Parquet scan. Orders meet customers first, which
-    keeps the wider line table out of the second shuffle when none is broadcast.
+    keeps the larger line table out of the second shuffle when none is broadcast.
     """
     lines = table(spark, sf_dir, "lineitem")
     if homicides_only:
         lines = lines.filter("l_returnflag = 'R'")
-    joined = lines.join(_people(spark, sf_dir, years), F.expr("l_orderkey = o_orderkey"))
+    customers = table(spark, sf_dir, "customer")
+    people = _orders(spark, sf_dir, years).join(customers, F.expr("o_custkey = c_custkey"))
+    joined = lines.join(people, F.expr("l_orderkey = o_orderkey"))
     no_age = "l_linenumber = 7"
     age = "CAST((l_quantity - 1) * 2 AS INT)"
     records = joined.selectExpr(
@@ -112,11 +116,26 @@ def death_records(
     return records.filter(is_in("state_res_fips", codes.STATES))
 
 
-def persons(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
-    """Survey persons with their weight."""
-    return _people(spark, sf_dir, years).selectExpr(
+def persons(
+    spark: SparkSession,
+    sf_dir: str,
+    years: tuple[int, int] | None = None,
+    with_state: bool = True,
+) -> DataFrame:
+    """Survey persons with their weight.
+
+    Only the state needs the customer; a person without one has no state, but
+    counts in the nation. Without the state the orders are read alone, and
+    neither they nor the customers are shuffled.
+    """
+    orders, state = _orders(spark, sf_dir, years), []
+    if with_state:
+        customers = table(spark, sf_dir, "customer")
+        orders = orders.join(customers, F.expr("o_custkey = c_custkey"), "left")
+        state = [f"{pick(FIPS_OF_NATION, 'c_nationkey')} AS statefip"]
+    return orders.selectExpr(
         f"{DATA_YEAR} AS year",
-        f"{pick(FIPS_OF_NATION, 'c_nationkey')} AS statefip",
+        *state,
         "CAST(1 + o_orderkey % 200 AS DOUBLE) AS perwt",
         "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 9 END AS sex",
         f"CASE WHEN o_orderkey % 97 <> 0 THEN {pick(BAND_STARTS, BAND)} "
