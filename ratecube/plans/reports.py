@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ratecube.functions import codes, recodes
 from ratecube.functions.measures import percent
 from ratecube.operators import cells as cell_ops
-from ratecube.operators import distribution, panel, rates, shares
+from ratecube.operators import distribution, packed, panel, rates, shares
 from ratecube.operators.cells import count_events, merge_cells, sum_exposure, with_subtotal
 
 NATIVITY = ["native", "foreign"]
@@ -475,7 +475,15 @@ def age_density(events: DataFrame, year: int | None = None) -> DataFrame:
     return distribution.density(_numeric_ages(events, ["nativity"], year), ["nativity"], "age_years")
 
 
-# --- all causes ------------------------------------------------------------------------------------
+def condition_prevalence(records: DataFrame, field: str = "record_axis_raw") -> DataFrame:
+    """Share of the raw records of each nativity that carry each packed code."""
+    grouped = records.selectExpr(
+        f"{recodes.event_nativity('state_country_birth_recode')} AS nativity", field
+    )
+    return packed.code_prevalence(_known(grouped, "nativity"), field, ["nativity"])
+
+
+# --- all causes -------------------------------------------------------------------
 
 
 def homicide_share(deaths: DataFrame) -> DataFrame:
