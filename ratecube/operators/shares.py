@@ -31,13 +31,22 @@ def with_group_total(
 
 
 def share_within(
-    cells: DataFrame, group: list[str], value: str = "n", name: str = "pct"
+    cells: DataFrame,
+    group: list[str],
+    value: str = "n",
+    name: str = "pct",
+    shown: DataFrame | None = None,
 ) -> DataFrame:
-    """Percent of each row in its group. Null groups take their own total."""
+    """Percent of each row in its group. Null groups take their own total.
+
+    `shown` are the rows to report, when they are fewer than the `cells` that the
+    totals are taken over.
+    """
     total = f"{value}__total"
     totals = cells.groupBy(*group).agg(F.sum(value).alias(total))
-    joined = with_group_total(cells, totals, group, total)
-    return joined.select(*cells.columns, percent(F.col(value), F.col(total)).alias(name))
+    rows = cells if shown is None else shown
+    joined = with_group_total(rows, totals, group, total)
+    return joined.select(*rows.columns, percent(F.col(value), F.col(total)).alias(name))
 
 
 def distribution(
@@ -50,13 +59,15 @@ def distribution(
 def top_k(cells: DataFrame, group: list[str], k: int, value: str = "n") -> DataFrame:
     """The k largest rows of each group, with all rows that tie for the last place.
 
-    The filter stands directly on the rank, so each task keeps its own leaders
-    and only those are shuffled.
+    The k-th largest value of each group is found first, from k rows per group
+    and task; then every row that reaches it is kept. So ties, of which there may
+    be any number, are never gathered in one task as a ranked window would do.
     """
-    ranked = cells.withColumn(
-        "rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc(value)))
-    )
-    return ranked.filter(F.col("rank") <= k)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value)))
+    leaders = cells.select(*group, value, place.alias("place")).filter(F.col("place") <= k)
+    least = leaders.groupBy(*group).agg(F.min(value).alias("least"))
+    reached = with_group_total(cells, least, group, "least").filter(F.col(value) >= F.col("least"))
+    return reached.select(*cells.columns)
 
 
 def sort_keys(order: list[str]) -> list[Column]:

@@ -497,8 +497,9 @@ def homicide_share(deaths: DataFrame) -> DataFrame:
 
 def top_causes(deaths: DataFrame, k: int = codes.TOP_CAUSES) -> DataFrame:
     """The k leading causes of each group with ties; percentages are of all causes."""
-    table = shares.distribution(_known(deaths, "nativity"), ["nativity"], ["cause"])
-    leading = shares.top_k(table, ["nativity"], k)
+    cells = count_events(_known(deaths, "nativity"), ["nativity", "cause"])
+    leading = shares.top_k(cells, ["nativity"], k)
+    leading = shares.share_within(cells, ["nativity"], shown=leading)
     return leading.select(
         "nativity", "cause", F.expr(recodes.cause_label("cause")).alias("cause_label"), "n", "pct"
     )

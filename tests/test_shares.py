@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratecube.operators import shares
@@ -14,10 +17,27 @@ def test_top_k_keeps_ties_at_the_last_rank(spark):
     assert top.filter("g = 'h'").count() == 1
 
 
-def test_top_k_cuts_before_the_shuffle(spark):
-    cells = spark.createDataFrame([("g", "c", 1)], "g string, c string, n long")
-    plan = shares.top_k(cells, ["g"], 10)._jdf.queryExecution().executedPlan().toString()
-    assert "Partial" in plan and "WindowGroupLimit" in plan
+def test_top_k_equals_the_rank_on_random_counts(spark, rows):
+    draw = random.Random(5)
+    cells = spark.createDataFrame(
+        [(draw.choice(["a", "b", None]), f"c{i}", draw.randrange(6)) for i in range(80)],
+        "g string, c string, n long",
+    )
+    rank = F.rank().over(Window.partitionBy("g").orderBy(F.desc("n")))
+    for k in (1, 3, 10, 100):
+        want = cells.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+        assert rows(shares.top_k(cells, ["g"], k)) == rows(want)
+
+
+def test_top_k_cuts_before_the_shuffle_and_reads_the_cells_once(spark):
+    cells = (
+        spark.range(200).selectExpr("id % 3 AS g", "id % 31 AS c").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    )
+    table = shares.top_k(cells, ["g"], 10)
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "ReusedExchange" in plan and plan.count("Range (") == 1
 
 
 def test_shares_add_up_and_null_groups_have_their_own_total(spark, rows):
