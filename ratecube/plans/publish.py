@@ -1,8 +1,9 @@
 """All result tables of a study, written in one go.
 
-The big inputs are read into cubes once and stored; rates, shares and panels come
-off the cubes, and only the tables that need single records (ages in years, packed
-codes, detailed codes, place of occurrence) read the records again.
+Each big input is read once: the homicides into an extract by year, and all three
+into cubes. Rates, shares and panels come off the cubes; the tables that need single
+records (ages in years, packed codes, detailed codes, place of occurrence) read the
+extract, a small part of the death records, by column.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ratecube.functions import codes
 from ratecube.operators import packed, panel
 from ratecube.plans import reports
 from ratecube.plans.labels import label_events, label_persons
-from ratecube.sources.tables import read_cells, write_cells, write_result
+from ratecube.sources.tables import read_cells, write_cells, write_extract, write_result
 
 DEATH_CUBE_KEYS = ["data_year", "nativity", "cause"]
 RATE, SHARE = "age_adjusted_rate", "foreign_share"
@@ -24,7 +25,7 @@ RATE, SHARE = "age_adjusted_rate", "foreign_share"
 
 @dataclass
 class Study:
-    """Inputs of the reports: raw homicides, labelled records, and stored cubes."""
+    """Inputs of the reports: the extract, its labelled form, and the cubes."""
 
     homicides: DataFrame
     records: DataFrame
@@ -248,10 +249,12 @@ def _stored(cells: DataFrame, path: str) -> DataFrame:
 def study(
     homicides: DataFrame, persons: DataFrame, all_deaths: DataFrame, out: str, **options
 ) -> Study:
-    """Cubes under ``out/cells`` from raw records and microdata."""
-    records = label_events(homicides)
+    """Extract under ``out/extract`` and cubes under ``out/cells`` from the raw inputs."""
+    write_extract(homicides, f"{out}/extract")
+    extract = read_cells(homicides.sparkSession, f"{out}/extract")
+    records = label_events(extract)
     return Study(
-        homicides=homicides,
+        homicides=extract,
         records=records,
         events=_stored(reports.event_cube(records), f"{out}/cells/events"),
         persons=_stored(reports.person_cube(label_persons(persons)), f"{out}/cells/persons"),
