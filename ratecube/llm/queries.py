@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, decontaminate, licenses, quality, sql
+from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, quality, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(n: int):
+    """crc32 of the id, written as text, modulo n; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    table = toxicity.scores(documents_of(spark, sf_dir), labels, _remainder(3) != 1)
+    return table.select(
+        "doc_id",
+        F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents_of(spark, sf_dir), ["doc_id"])
 
@@ -33,16 +50,38 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents_of(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents_of(spark, sf_dir), ["doc_id"])
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = sharding.plan(documents_of(spark, sf_dir))
+    return table.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_of(spark, sf_dir)
+    model = language_id.labeller(docs.filter(_remainder(4) != 2))
+    table = language_id.label(docs, model, ["doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")])
+    return table.select("doc_id", "held_out", "lang_pred", "score", "runs")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_toxicity": op2_toxicity,
         "op3_license_scan": op3_license_scan,
         "op4_decontaminate": op4_decontaminate,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_sharding": op7_sharding,
+        "op8_language_id": op8_language_id,
     }
 
 
