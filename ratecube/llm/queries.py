@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, quality, sharding, sql, suffix_dedup, toxicity
+from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "held_out", "lang_pred", "score", "runs")
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.report(documents_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
+        "op9_phrase_dedup": op9_phrase_dedup,
     }
 
 

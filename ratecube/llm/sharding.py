@@ -2,7 +2,7 @@
 
 Groups are equal texts. A group that holds more than 1/(PARTS * shards) of the bytes, tokens or rows
 is packed on its own; the others are packed in LIGHT_UNITS lots by hash. So the packing sees a number
-of units that doesn't grow with the input. Only a group of more than 1/(64 * shards) of a total is
+of units that doesn't grow with the input. Only a group of more than 1/(SPLIT * shards) of a total is
 split, by the hash of its ids, into parts of about that size. Units are placed from the largest down,
 each on the shard where the dot product with the residual capacity is highest.
 
@@ -22,7 +22,7 @@ from ratecube.llm.common import stored
 SHARDS = 8
 PARTS = 1024
 LIGHT_UNITS = 4096
-SPLIT = 64
+SPLIT = 4
 #: Rows of one shard are numbered in lots of about so many.
 SLOT_ROWS = 50_000
 #: How far over the mean a shard may go while others can still take a unit.
