@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
+from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.report(documents_of(spark, sf_dir))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -87,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
         "op9_phrase_dedup": op9_phrase_dedup,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
