@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, decontaminate, quality
+from ratecube.llm import byte_bpe, decontaminate, ngram_join, quality, suffix_dedup
 from ratecube.llm.common import stored
 
 
@@ -13,20 +14,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join, that with the smallest id."""
+    return ngram_join.deduplicated(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that a smaller doc_id has too, n_chars anew; documents that lose all bytes go.
+
+    A character of which only some bytes are left goes whole.
+    """
+    return suffix_dedup.shortened(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark window."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def byte_bpe_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_pieces, ids_sha256 and decoded_sha256 of every document."""
     return byte_bpe.digests(docs, ["doc_id"])
 
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
     ("benchmark decontamination", benchmark_decontamination),
-    ("byte-level BPE", byte_bpe_digests),
+    ("byte-level BPE", byte_level_bpe),
 ]
 
 
@@ -40,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: SQL has no byte-level BPE; tests/llm/test_pipeline.py runs the stages by brute force.
 ORACLE_SQL = None

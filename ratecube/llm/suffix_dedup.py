@@ -435,3 +435,20 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     table, found = dedup(documents.select(doc_id, text), doc_id, text)
     return table.select(F.col(doc_id), *[F.col(found)[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+@F.arrow_udf(STRING)
+def whole_characters(kept: pa.Array) -> pa.Array:
+    return pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())
+
+
+def shortened(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with what is left of their texts; those that lose all of their bytes go.
+
+    A character of which only some bytes are left goes whole. A text that loses nothing stays as it is.
+    """
+    table, found = dedup(documents, doc_id, text, with_text=True)
+    cut = F.col(found)
+    left = table.filter((cut["n_removed"] < cut["n_bytes"]) | (cut["n_bytes"] == 0))
+    own = F.when(cut["n_removed"] > 0, whole_characters(cut["kept"])).otherwise(F.col(text))
+    return left.select(*[own.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns])
