@@ -238,6 +238,19 @@ PANEL_ADJUSTED = (
     *_standardised("state, data_year", "nativity = 'native'"),
     "panel AS MATERIALIZED (SELECT s.state, s.data_year, age_adjusted_rate AS native_rate, foreign_share FROM std s LEFT JOIN share h ON s.state = h.state AND s.data_year = h.data_year)",
 )
+# Persons of unknown age have no weight: sums over them are unknown.
+UNKNOWN_SHARE = (
+    "share AS (SELECT state, data_year, CASE WHEN count(age_group) = count(*) THEN coalesce(sum(perwt) FILTER (nativity = 'foreign'), 0) / sum(perwt) * 100 END AS foreign_share "
+    "FROM xp GROUP BY ALL)"
+)
+PANEL_UNKNOWN = (UNKNOWN_SHARE, *PANEL_ADJUSTED[1:])
+PANEL_CRUDE_UNKNOWN = (
+    UNKNOWN_SHARE,
+    "pops AS (SELECT state, data_year, CASE WHEN count(age_group) = count(*) THEN sum(perwt) END AS pop FROM xp WHERE nativity = 'native' GROUP BY ALL)",
+    "counts AS (SELECT state, data_year, count(*) AS n FROM ev WHERE nativity = 'native' GROUP BY ALL)",
+    "panel AS (SELECT c.state, c.data_year, n / pop * 100000 AS native_rate, foreign_share FROM counts c "
+    "LEFT JOIN pops p ON p.state = c.state AND p.data_year = c.data_year LEFT JOIN share s ON s.state = c.state AND s.data_year = c.data_year)",
+)
 # Unit and time effects removed by alternating projections, for any panel.
 RESIDUALS = (
     "rounds AS (SELECT 0 AS i, *, native_rate AS ry, foreign_share AS rx FROM panel WHERE native_rate IS NOT NULL AND foreign_share IS NOT NULL UNION ALL "
@@ -369,11 +382,11 @@ def _demographic() -> str:
     return _with(" UNION ALL ".join(parts), *ctes)
 
 
-def _density() -> str:
+def _density(where: str = "TRUE") -> str:
     return _with(
         "SELECT nativity, round(x, 6) AS x, round(sum(k.n * exp(-0.5 * pow((x - k.age_years) / bw, 2))) / (any_value(total) * any_value(bw) * sqrt(2 * pi())), 6) AS density "
         "FROM grid JOIN ages k USING (nativity) GROUP BY nativity, x",
-        f"rows_ AS (SELECT nativity, age_years FROM ev WHERE {KNOWN} AND age_type = '1')",
+        f"rows_ AS (SELECT nativity, age_years FROM ev WHERE {KNOWN} AND age_type = '1' AND {where})",
         "ages AS (SELECT nativity, age_years, count(*) AS n FROM rows_ GROUP BY ALL)",
         "widths AS (SELECT nativity, count(*) AS total, 0.9 * least(stddev_samp(age_years), (quantile_cont(CAST(age_years AS DOUBLE), 0.75) - quantile_cont(CAST(age_years AS DOUBLE), 0.25)) / 1.34) * pow(count(*), -0.2) AS bw FROM rows_ GROUP BY ALL)",
         "limits AS (SELECT min(age_years) AS lo, max(age_years) AS hi FROM rows_)",
@@ -381,6 +394,28 @@ def _density() -> str:
     )
 
 
+def _record_fields(table: str) -> str:
+    """All fields of both layouts; those that stand for nothing are digits of the line's keys."""
+    known = {
+        "data_year": "CAST(data_year AS VARCHAR)", "state_res_fips": "state", "state_occ_fips": "state_occ",
+        "state_country_birth_recode": "birth", "sex": "sex", "detail_age_type": "age_type",
+        "detail_age": "lpad(CAST(age_years AS VARCHAR), 3, '0')", "age_recode12": "age_group", "race_recode40": "race_code",
+        "hispanic_origin": "CAST(origin AS VARCHAR)", "cause_recode113": "cause", "education_flag": "education_flag",
+        "marital_status": "CASE priority WHEN '1' THEN 'S' WHEN '2' THEN 'M' WHEN '3' THEN 'W' WHEN '4' THEN 'D' WHEN '5' THEN 'U' END",
+    }
+    old, new = ({f.name: f for f in layout_for(year)} for year in (2014, 2024))
+    columns = []
+    for name, f in (old | new).items():
+        digits = min(9, f.end - f.start + 1)
+        value = known.get(name, f"lpad(CAST((l_orderkey * {f.start} + l_linenumber) % {10**digits} AS VARCHAR), {digits}, '0')")
+        if name not in new:
+            value = f"CASE WHEN data_year <= 2020 THEN {value} END"
+        if name not in old:
+            value = f"CASE WHEN data_year > 2020 THEN {value} END"
+        columns.append(f"{value} AS {name}")
+    return f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {', '.join(columns)} FROM {table}"
+
+
 CAUSES = "labels_ AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{code}', '{label}')" for code, label in CAUSE_LABELS
 ) + ") v(cause, label))"
@@ -414,6 +449,7 @@ def oracle_sql() -> dict[str, str]:
     sql["flag_audit"] = _with("SELECT data_year, education_flag, count(*) AS n FROM ev WHERE data_year < 2021 GROUP BY ALL")
     sql["subgroup_composition"] = _with(f"SELECT birthplace, race_detail, count(*) AS n FROM ev WHERE {ABROAD} GROUP BY ALL")
     sql["subgroup_ethnicity_composition"] = _with(f"SELECT birthplace, ethnicity_detail, count(*) AS n FROM ev WHERE {ABROAD} GROUP BY ALL")
+    sql["rest_of_world_ethnicity"] = _with("SELECT ethnicity_detail, count(*) AS n FROM ev WHERE birthplace = 'Rest of world' GROUP BY ALL")
     sql["rest_of_world_composition"] = _with("SELECT race_detail, count(*) AS n FROM ev WHERE birthplace = 'Rest of world' GROUP BY ALL")
 
     # rates by year
@@ -535,6 +571,7 @@ def oracle_sql() -> dict[str, str]:
     sql["age_mean_median"] = _with(f"SELECT nativity, {ages} AND data_year = 2024 GROUP BY ALL")
     sql["age_median_by_sex"] = _with(f"SELECT sex, nativity, {ages} AND data_year = 2024 GROUP BY ALL")
     sql["grouped_density"] = _density()
+    sql["grouped_density_one_year"] = _density("data_year = 2024")
 
     # all causes
     sql["event_share_of_all"] = _with(
@@ -569,25 +606,37 @@ def oracle_sql() -> dict[str, str]:
     sql["fixed_width_scan"] = f"WITH {DOC_LINES} SELECT doc_id, line_no, {_slices(layout_for(2014), 'line', ['state_res_fips', 'state_country_birth_recode', 'data_year', 'cause_recode113'])} FROM doc_lines"
     sql["layout_union"] = _union_layouts()
     sql["record_length_profile"] = f"WITH {DOC_LINES} SELECT doc_id % 2 = 0 AS old_layout, CAST(length(line) AS BIGINT) AS record_length, count(*) AS n FROM doc_lines GROUP BY ALL"
-    sql["event_extract"] = _with(
-        "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(data_year AS VARCHAR) AS data_year, state AS state_res_fips, state_occ AS state_occ_fips, birth AS state_country_birth_recode, sex, "
-        "age_type AS detail_age_type, lpad(CAST(age_years AS VARCHAR), 3, '0') AS detail_age, age_group AS age_recode12, race_code AS race_recode40, CAST(origin AS VARCHAR) AS hispanic_origin, cause AS cause_recode113 FROM ev"
+    sql["event_extract"] = _with(_record_fields("ev"))
+    all_cause = "data_year AS data_year, state AS state_res_fips, birth AS state_country_birth_recode, cause AS cause_recode113"
+    sql["all_cause_extract"] = _with(
+        f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {all_cause.replace('data_year AS', 'CAST(data_year AS VARCHAR) AS', 1)} FROM deaths"
     )
-    sql["all_cause_extract"] = _with("SELECT CAST(data_year AS VARCHAR) AS data_year, count(*) AS n FROM deaths GROUP BY ALL")
+    sql["all_cause_rows_by_year"] = _with("SELECT CAST(data_year AS VARCHAR) AS data_year, count(*) AS n FROM deaths GROUP BY ALL")
 
     # panels
     panel = "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share FROM panel"
     sql["panel"] = _with(panel, *PANEL_ADJUSTED)
     sql["panel_crude"] = _with(panel, *PANEL_CRUDE)
-    sql["twfe_slope"] = _fit(PANEL_CRUDE, *IID)
-    sql["twfe_cluster_se"] = _fit(PANEL_CRUDE, *CLUSTERED)
-    sql["twfe_unbalanced"] = _fit(PANEL_ADJUSTED, *CLUSTERED)
-    sql["twfe_residuals"] = _recursive(
-        _with(
-            "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share, round(ry, 6) AS resid_native_rate, round(rx, 6) AS resid_foreign_share FROM clean",
-            *PANEL_CRUDE,
-            *RESIDUALS,
+    for suffix, rows in (("", PANEL_ADJUSTED), ("_crude", PANEL_CRUDE)):
+        sql[f"twfe_slope{suffix}"] = _fit(rows, *IID)
+        sql[f"twfe_cluster_se{suffix}"] = _fit(rows, *CLUSTERED)
+        sql[f"twfe_residuals{suffix}"] = _recursive(
+            _with(
+                "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share, round(ry, 6) AS resid_native_rate, round(rx, 6) AS resid_foreign_share FROM clean",
+                *rows,
+                *RESIDUALS,
+            )
         )
+    sql["twfe_unbalanced"] = _fit(PANEL_UNKNOWN, *CLUSTERED)
+    sql["panel_unknown_weights"] = _with(panel, *PANEL_UNKNOWN)
+    sql["panel_crude_unknown_weights"] = _with(panel, *PANEL_CRUDE_UNKNOWN)
+    sql["foreign_share_unknown_weights"] = _with(
+        "SELECT state, data_year, CASE WHEN count(age_group) FILTER (nativity = 'foreign') = count(*) FILTER (nativity = 'foreign') THEN coalesce(sum(perwt) FILTER (nativity = 'foreign'), 0) END AS foreign_pop, "
+        "CASE WHEN count(age_group) = count(*) THEN sum(perwt) END AS total_pop, "
+        "CASE WHEN count(age_group) = count(*) THEN round(coalesce(sum(perwt) FILTER (nativity = 'foreign'), 0) / sum(perwt) * 100, 6) END AS foreign_share FROM xp GROUP BY ALL"
+    )
+    sql["twfe_residual_band"] = _linear_band(
+        (*PANEL_ADJUSTED, *RESIDUALS, "pairs AS (SELECT rx AS x, ry AS y FROM clean)")
     )
     pair = (
         *_standardised("state", "nativity = 'native' AND data_year = 2024", "exposure"),

@@ -1,0 +1,51 @@
+"""Period effects of a panel, solved from one row of sums."""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+# Send this function along with the plan: workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+EFFECTS = StructType([StructField(name, ArrayType(DoubleType())) for name in ("effect_y", "effect_x")])
+
+
+def period_effects(
+    times: list, diagonal: list, right_y: list, right_x: list, first: list, second: list, off: list
+) -> tuple[list[float], list[float]]:
+    """Least-squares effects of the periods once units are taken out.
+
+    The normal matrix has `diagonal` and the entries `off` at (first, second), which are
+    those with second >= first in the order of `times`. It is
+    singular, by one for each set of periods that units connect; the shortest
+    solution is taken, and residuals don't depend on that choice.
+    """
+    place = {t: i for i, t in enumerate(times)}
+    matrix = np.diag(np.asarray(diagonal, float))
+    rows, columns = ([place[t] for t in keys] for keys in (first, second))
+    upper = np.zeros_like(matrix)
+    upper[rows, columns] = off
+    matrix += upper + np.triu(upper, 1).T
+    found = np.linalg.lstsq(matrix, np.column_stack([right_y, right_x]).astype(float), rcond=1e-11)[0]
+    return found[:, 0].tolist(), found[:, 1].tolist()
+
+
+@F.pandas_udf(EFFECTS)
+def period_effects_of(
+    times: pd.Series,
+    diagonal: pd.Series,
+    right_y: pd.Series,
+    right_x: pd.Series,
+    first: pd.Series,
+    second: pd.Series,
+    off: pd.Series,
+) -> pd.DataFrame:
+    columns = (times, diagonal, right_y, right_x, first, second, off)
+    rows = [period_effects(*row) for row in zip(*columns, strict=True)]
+    return pd.DataFrame(rows, columns=["effect_y", "effect_x"])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratecube.operators.panel import evenly_spaced
+from ratecube.operators.shares import with_group_total
 
 # Fixed values of the default density estimate: grid size and bandwidth rule
 # 0.9 * min(sd, IQR / 1.34) * n^(-1/5).
@@ -40,9 +41,9 @@ def density(
 ) -> DataFrame:
     """(group, x, density): Gaussian kernel estimate per group.
 
-    The grid runs from the smallest to the largest value of all groups. Each group
-    keeps its histogram in one array, and every grid point sums over that array;
-    the value must be a whole-number code with a bounded domain.
+    The grid runs from the smallest to the largest value of all groups. Each bar of
+    the histogram becomes a row for each grid point, and points sum their rows;
+    sums begin where the bars are, so no group is gathered in one row.
     """
     present = counts.filter(F.col(value).isNotNull()).select(
         *group, F.col(value).cast("double").alias("at"), "n"
@@ -57,7 +58,6 @@ def density(
         ).alias("sd"),
         F.min("at").alias("least"),
         F.percentile("at", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("quartiles"),
-        F.collect_list(F.struct("at", "n")).alias("bars"),
     )
     robust = (F.col("quartiles")[1] - F.col("quartiles")[0]) / F.lit(IQR_PER_SD)
     spread = (
@@ -66,20 +66,16 @@ def density(
         .when(F.col("least") != 0, F.abs("least"))
         .otherwise(F.lit(1.0))
     )
-    smoothed = shape.withColumns(
-        {
-            "bandwidth": F.lit(BANDWIDTH_FACTOR) * spread * F.pow(F.col("total"), F.lit(-0.2)),
-            "limits": limits,
-        }
-    )
-    grid = smoothed.withColumn(
-        "x", F.explode(evenly_spaced(F.col("limits.low"), F.col("limits.high"), points))
-    )
-    weight_at_x = F.aggregate(
-        "bars",
-        F.lit(0.0),
-        lambda total, bar: total
-        + bar["n"] * F.exp(-0.5 * F.pow((F.col("x") - bar["at"]) / F.col("bandwidth"), F.lit(2.0))),
-    )
+    width = F.lit(BANDWIDTH_FACTOR) * spread * F.pow(F.col("total"), F.lit(-0.2))
+    widths = shape.select(*group, F.struct("total", width.alias("bandwidth")).alias("shape"))
+    bars = with_group_total(present, widths, group, "shape").withColumn("limits", limits)
+    points_of = bars.select(
+        *group, "at", "n", "shape.total", "shape.bandwidth",
+        F.posexplode(evenly_spaced(F.col("limits.low"), F.col("limits.high"), points)).alias("point", "x"),
+    )
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("at")) / F.col("bandwidth"), F.lit(2.0)))
     scale = F.col("total") * F.col("bandwidth") * F.lit(math.sqrt(2 * math.pi))
-    return grid.select(*group, "x", (weight_at_x / scale).alias("density"))
+    summed = points_of.groupBy(*group, "point").agg(
+        F.first("x").alias("x"), F.sum(F.col("n") * kernel / scale).alias("density")
+    )
+    return summed.select(*group, "x", "density")

@@ -44,16 +44,19 @@ def _code_counts(
     """(group, condition_code, n, is_total): counts per code, and the number of
     records under the null code, both from one pass.
 
-    Each record adds one null to its codes. `is_total` is an aggregate, not a
+    Each record adds one null to its slots, which are exploded before they are
+    trimmed, so that trimming is compiled code. `is_total` is an aggregate, not a
     test on the key, so that filtering on it stays above the shuffle, and codes
     and totals read the same shuffle.
     """
-    found = F.filter(F.transform(pieces(packed, width), _trimmed), lambda code: code != "")
+    slots = pieces(packed, width)
     if once_per_record:
-        found = F.array_distinct(found)
-    marked = F.array_append(found, F.lit(None).cast("string"))
+        slots = F.array_distinct(F.transform(slots, _trimmed))
+    marked = F.array_append(slots, F.lit(None).cast("string"))
+    long = records.select(*group, F.explode(marked).alias("piece"))
     return (
-        records.select(*group, F.explode(marked).alias("condition_code"))
+        long.select(*group, _trimmed(F.col("piece")).alias("condition_code"))
+        .filter(F.col("condition_code").isNull() | (F.col("condition_code") != ""))
         .groupBy(*group, "condition_code")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.col("condition_code").isNull()).alias("is_total"))
     )

@@ -7,16 +7,11 @@ cleaned columns.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratecube.functions.effects import period_effects_of
 from ratecube.functions.student import critical_t_of, two_sided_p_of
-from ratecube.session import settle
-
-# The normal-equation solver takes this many columns.
-MAX_PERIODS = 4096
 
 
 def complete_rows(panel: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
@@ -30,67 +25,67 @@ def _with_means(rows: DataFrame, key: str, values: list[str], suffix: str) -> Da
     return rows.join(means, key)
 
 
-def _demean_balanced(rows: DataFrame, unit: str, time: str, values: list[str]) -> DataFrame:
-    """value - unit mean - time mean + overall mean: exact when every unit has every time."""
-    centred = _with_means(_with_means(rows, unit, values, "unit"), time, values, "time")
-    overall = {v: rows.agg(F.avg(v)).scalar() for v in values}
-    return centred.select(
-        *rows.columns,
-        *[
-            (F.col(v) - F.col(f"{v}__unit") - F.col(f"{v}__time") + overall[v]).alias(f"resid_{v}")
-            for v in values
-        ],
-    )
+def _period_effects(rows: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
+    """One row (period, effect_y, effect_x): arrays with the effects of the periods.
 
+    Unit means are taken off by counts: with n(u, t) rows of unit u in period t, the
+    normal matrix of the periods is diag(n(t)) - sum over u of n(u, s) n(u, t) / n(u). Its
+    entries are added up over the executors from pairs of periods of one unit, as many
+    as the square of the periods of that unit; units may be any number. One task
+    solves the matrix, which takes 8 bytes for each pair of periods.
+    """
+    cells = rows.groupBy(F.col(unit).alias("unit"), F.col(time).cast("string").alias("period")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("y"), F.sum(x).alias("x")
+    )
+    units = cells.groupBy("unit").agg(
+        F.sum("n").alias("unit_n"), F.sum("y").alias("unit_y"), F.sum("x").alias("unit_x")
+    )
+    own = cells.join(units, "unit")
+    part = F.col("n") / F.col("unit_n")
+    periods = own.groupBy("period").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("y") - part * F.col("unit_y")).alias("y"),
+        F.sum(F.col("x") - part * F.col("unit_x")).alias("x"),
+    )
+    other = cells.select("unit", F.col("period").alias("second"), F.col("n").alias("other_n"))
+    pairs = (
+        own.join(other, "unit")
+        .filter("second >= period")  # the matrix is symmetric
+        .groupBy("period", "second")
+        .agg(F.sum(-F.col("n") * F.col("other_n") / F.col("unit_n")).alias("off"))
+    )
+    system = periods.agg(F.sort_array(F.collect_list(F.struct("period", "n", "y", "x"))).alias("p"))
+    matrix = pairs.agg(F.collect_list(F.struct("period", "second", "off")).alias("m"))
+    arrays = [F.col("p")[c] for c in ("period", "n", "y", "x")] + [F.col("m")[c] for c in ("period", "second", "off")]
+    solved = system.crossJoin(matrix).select(
+        F.col("p")["period"].alias("period"), period_effects_of(*arrays).alias("effects")
+    )
+    return solved.select("period", "effects.*")
 
-def _demean_unbalanced(
-    rows: DataFrame, unit: str, time: str, values: list[str], times: list
-) -> DataFrame:
-    """Unit means taken off values and time dummies, then the dummies regressed out.
 
-    The regression adds up one cross-product matrix of (times x times) over the
-    executors, so only the number of periods is bounded, not the number of units.
-    """
-    dummies = {t: f"time__{i}" for i, t in enumerate(times[1:])}
-    wide = rows.withColumns(
-        {name: F.when(F.col(time) == t, 1.0).otherwise(0.0) for t, name in dummies.items()}
+def _clean(rows: DataFrame, effects: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
+    """Values less period effects, less what is left of the unit means; and the number of periods."""
+    each = effects.select(
+        F.size("period").alias("n_times"), F.explode(F.arrays_zip("period", "effect_y", "effect_x")).alias("e")
     )
-    columns = [*values, *dummies.values()]
-    within = _with_means(wide, unit, columns, "unit").select(
-        *rows.columns, *[(F.col(c) - F.col(f"{c}__unit")).alias(f"within__{c}") for c in columns]
+    each = each.select("n_times", F.col("e.period").alias("period"), "e.effect_y", "e.effect_x")
+    moved = rows.join(each, F.col(time).cast("string") == F.col("period")).select(
+        *rows.columns,
+        "n_times",
+        (F.col(y) - F.col("effect_y")).alias(f"resid_{y}"),
+        (F.col(x) - F.col("effect_x")).alias(f"resid_{x}"),
     )
-    features = [f"within__{name}" for name in dummies.values()]
-    table = settle(VectorAssembler(inputCols=features, outputCol="features").transform(within))
-    for v in values:
-        fit = LinearRegression(
-            featuresCol="features",
-            labelCol=f"within__{v}",
-            predictionCol=f"fitted__{v}",
-            fitIntercept=False,
-            standardization=False,
-            solver="normal",
-        ).fit(table)
-        table = fit.transform(table)
-    return table.select(
-        *rows.columns, *[(F.col(f"within__{v}") - F.col(f"fitted__{v}")).alias(f"resid_{v}") for v in values]
+    found = [f"resid_{y}", f"resid_{x}"]
+    centred = _with_means(moved, unit, found, "unit")
+    return centred.select(
+        *rows.columns, "n_times", *[(F.col(c) - F.col(f"{c}__unit")).alias(c) for c in found]
     )
 
 
 def two_way_residuals(panel: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
-    """(unit, time, y, x, resid_y, resid_x): y and x free of unit and time effects."""
-    rows = settle(complete_rows(panel, unit, time, y, x))
-    shape = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.col(unit)).alias("units"),
-        F.count_distinct(F.col(time)).alias("times"),
-        F.count_distinct(F.col(unit), F.col(time)).alias("cells"),
-    ).first()
-    if shape["n"] == shape["cells"] == shape["units"] * shape["times"]:
-        return _demean_balanced(rows, unit, time, [y, x])
-    if shape["times"] > MAX_PERIODS:
-        raise ValueError(f"{shape['times']} periods exceed {MAX_PERIODS}")
-    times = sorted(row[0] for row in rows.select(time).distinct().collect())
-    return _demean_unbalanced(rows, unit, time, [y, x], times)
+    """(unit, time, y, x, resid_y, resid_x): y and x free of unit and time effects, for any panel."""
+    rows = complete_rows(panel, unit, time, y, x)
+    return _clean(rows, _period_effects(rows, unit, time, y, x), unit, time, y, x).drop("n_times")
 
 
 def two_way_fit(
@@ -112,9 +107,9 @@ def two_way_fit(
     if errors not in ("iid", "cluster"):
         raise ValueError(f"errors must be 'iid' or 'cluster', not {errors!r}")
     counted = counted_effects or ("full" if errors == "iid" else "nested")
-    clean = two_way_residuals(panel, unit, time, y, x)
-    clean = clean.select(
-        F.col(unit).alias("unit"), F.col(time).alias("time"),
+    rows = complete_rows(panel, unit, time, y, x)
+    clean = _clean(rows, _period_effects(rows, unit, time, y, x), unit, time, y, x).select(
+        "n_times", F.col(unit).alias("unit"), F.col(time).alias("time"),
         F.col(f"resid_{y}").alias("ry"), F.col(f"resid_{x}").alias("rx"),
     )
     # The score of unit g is sum(rx * (ry - b * rx)) = sxy_g - b * sxx_g, so unit
@@ -124,6 +119,7 @@ def two_way_fit(
         F.sum(F.col("rx") * F.col("ry")).alias("sxy"),
         F.sum(F.col("rx") * F.col("rx")).alias("sxx"),
         F.sum(F.col("ry") * F.col("ry")).alias("syy"),
+        F.max("n_times").alias("n_times"),
     )
     sums = units.agg(
         F.sum("n").alias("n_obs"),
@@ -134,8 +130,8 @@ def two_way_fit(
         F.sum(F.col("sxy") * F.col("sxy")).alias("gyy"),
         F.sum(F.col("sxy") * F.col("sxx")).alias("gxy"),
         F.sum(F.col("sxx") * F.col("sxx")).alias("gxx"),
+        F.max("n_times").cast("long").alias("n_times"),
     )
-    n_times = clean.agg(F.count_distinct("time")).scalar()
     n, groups, b = F.col("n_obs"), F.col("n_units"), F.col("estimate")
     parameters = {
         "none": F.lit(1),
@@ -153,8 +149,7 @@ def two_way_fit(
         variance = small_sample * F.try_divide(score, F.col("sxx") * F.col("sxx"))
     # A panel too small for its effects has no variance left: null, not an error.
     return (
-        sums.withColumn("n_times", n_times)
-        .withColumn("estimate", F.try_divide(F.col("sxy"), F.col("sxx")))
+        sums.withColumn("estimate", F.try_divide(F.col("sxy"), F.col("sxx")))
         .withColumns({"df": df.cast("long"), "std_error": F.sqrt(F.when(variance >= 0, variance))})
         .withColumn("t_value", F.try_divide(F.col("estimate"), F.col("std_error")))
         .select(

@@ -127,15 +127,19 @@ def crude_and_adjusted(
     per: float = codes.PER_100K,
     age: str = AGE,
     groups_without_events: bool = False,
+    whole_pop: str | None = None,
 ) -> DataFrame:
     """Crude rate over all ages next to the standardised rate over known ages.
 
     (keys, n, pop, crude_rate, age_adjusted_rate, n_known_age), events-anchored;
     one grouping serves both rates, each with the cells that its definition takes
     in. `n_known_age` is null where the standardised rate has no cell at all.
-    `groups_without_events` keeps groups that have population only.
+    `groups_without_events` keeps groups that have population only. `whole_pop`
+    names one more column, the population with NaN where it is unknown, for sums
+    over groups.
     """
     check_weights(weights)
+    extra = [whole_pop] if whole_pop else []
     standard_cell = _has_age(age) & F.col("n").isNotNull()
     weighted = _weighted_rate(weights, per, age)
     rates = cells.groupBy(*keys).agg(
@@ -143,12 +147,13 @@ def crude_and_adjusted(
         known(F.sum("pop")).alias("pop"),
         known(F.sum(F.when(standard_cell, or_unknown(weighted)))).alias("age_adjusted_rate"),
         F.sum(F.when(standard_cell, F.col("n"))).alias("n_known_age"),
+        *[F.sum("pop").alias(name) for name in extra],
     )
     if not groups_without_events:
         rates = rates.filter(F.col("n").isNotNull())
     return (
         rates.withColumn("crude_rate", ratio(F.col("n"), F.col("pop"), per))
-        .select(*keys, "n", "pop", "crude_rate", "age_adjusted_rate", "n_known_age")
+        .select(*keys, "n", "pop", "crude_rate", "age_adjusted_rate", "n_known_age", *extra)
     )
 
 

@@ -14,19 +14,32 @@ from pyspark.sql import functions as F
 from ratecube.functions.measures import percent, percent_change
 from ratecube.operators.cells import count_events
 
+#: Parts of a group when it meets its total.
+GROUP_PARTS = 32
+#: Parts of a group in the first round of `top_k`.
+TOP_K_PARTS = 64
+
 
 def with_group_total(
     table: DataFrame, totals: DataFrame, group: list[str], total: str
 ) -> DataFrame:
     """`table` with the column `total` of its group; null groups match each other.
 
-    Without group keys the total is one number, read as a scalar subquery.
+    Without group keys the total is one number, read as a scalar subquery. The
+    table's rows meet their totals by the group and a part of the rest of the row;
+    each total is there once for each part. So a group of any size is spread over
+    GROUP_PARTS tasks when the planner can't broadcast the totals.
     """
     if not group:
         return table.withColumn(total, totals.select(total).scalar())
     named = {key: f"{key}__group" for key in group}
     same = [F.col(key).eqNullSafe(F.col(other)) for key, other in named.items()]
-    joined = table.join(totals.select(*group, total).withColumnsRenamed(named), same, "left")
+    rest = [c for c in table.columns if c not in group]
+    dealt = table.withColumn("group__part", F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(GROUP_PARTS)))
+    spread = totals.select(*group, total, F.explode(F.sequence(F.lit(0), F.lit(GROUP_PARTS - 1))).alias("total__part"))
+    joined = dealt.join(
+        spread.withColumnsRenamed(named), [*same, F.col("group__part") == F.col("total__part")], "left"
+    )
     return joined.select(*table.columns, total)
 
 
@@ -59,13 +72,21 @@ def distribution(
 def top_k(cells: DataFrame, group: list[str], k: int, value: str = "n") -> DataFrame:
     """The k largest rows of each group, with all rows that tie for the last place.
 
-    The k-th largest value of each group is found first, from k rows per group
-    and task; then every row that reaches it is kept. So ties, of which there may
-    be any number, are never gathered in one task as a ranked window would do.
+    The k-th largest value of each group is found first: the hash of a row deals its
+    group into parts, of which each keeps k rows, and the k-th of those is the k-th
+    of all. For small k each task already keeps only k rows of a part; for any k no
+    task sorts more than a part of a group, or k rows of each part. Then every row
+    that reaches the value is kept. So ties, of which there may be any number, are
+    never gathered in one task as a ranked window would do.
     """
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value)))
-    leaders = cells.select(*group, value, place.alias("place")).filter(F.col("place") <= k)
-    least = leaders.groupBy(*group).agg(F.min(value).alias("least"))
+    part = F.pmod(F.xxhash64(*[c for c in cells.columns if c not in group]), F.lit(TOP_K_PARTS))
+
+    def largest(table: DataFrame, keys: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value)))
+        return table.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+    leaders = largest(cells.select(*group, value, part.alias("part")), [*group, "part"])
+    least = largest(leaders, group).groupBy(*group).agg(F.min(value).alias("least"))
     reached = with_group_total(cells, least, group, "least").filter(F.col(value) >= F.col("least"))
     return reached.select(*cells.columns)
 

@@ -17,7 +17,6 @@ from ratecube.operators import packed, panel, shares
 from ratecube.operators.cells import count_events
 from ratecube.plans import reports, star
 from ratecube.plans.labels import label_events, label_persons
-from ratecube.session import settle
 from ratecube.sources import deaths as death_source
 from ratecube.sources import fixed_width
 from ratecube.sources.layouts import ALL_CAUSE_FIELDS, layout_for, narrow
@@ -27,12 +26,8 @@ DIGITS = 6
 FIRST, LAST = star.FIRST_YEAR, star.LAST_YEAR
 ONE_YEAR = (LAST, LAST)
 OLD_LAYOUT, NEW_LAYOUT = layout_for(2014), layout_for(2024)
-# Fields that `star.record_lines` fills in.
-EXTRACT_FIELDS = [
-    "data_year", "state_res_fips", "state_occ_fips", "state_country_birth_recode", "sex",
-    "detail_age_type", "detail_age", "age_recode12", "race_recode40", "hispanic_origin",
-    "cause_recode113",
-]
+# Keys of the cubes that crude and adjusted rates by nativity need.
+RATE_KEYS = ["data_year", "nativity", "age_group"]
 WANTED_STATUS = "low"
 
 
@@ -128,6 +123,10 @@ COUNTS: dict[str, Query] = {
     "flag_audit": _of_events(reports.flag_by_year, before=2021),
     "subgroup_composition": _of_events(reports.composition, "race_detail"),
     "subgroup_ethnicity_composition": _of_events(reports.composition, "ethnicity_detail"),
+    "rest_of_world_ethnicity": _then(
+        _of_events(reports.composition, "ethnicity_detail", ["Rest of world"]),
+        lambda table: table.drop("birthplace"),
+    ),
     "rest_of_world_composition": _then(
         _of_events(reports.composition, "race_detail", ["Rest of world"]),
         lambda table: table.drop("birthplace"),
@@ -143,9 +142,9 @@ RATES: dict[str, Query] = {
     "age_adjusted_exposure_anchor": _nationwide(reports.adjusted_by_nativity, anchor="exposure"),
     "age_adjusted_total": _nationwide(reports.adjusted_total),
     "crude_vs_adjusted": _nationwide(reports.crude_and_adjusted_stacked),
-    "crude_vs_adjusted_from_cubes": _of_both(
+    "crude_vs_adjusted_from_cubes": _nationwide(
         lambda events, persons: reports.crude_and_adjusted_stacked(
-            settle(reports.event_cube(events)), settle(reports.person_cube(persons))
+            reports.event_cube(events, RATE_KEYS), reports.person_cube(persons, RATE_KEYS)
         )
     ),
     "subtotal_rates": _nationwide(reports.crude_by_birthplace),
@@ -191,6 +190,7 @@ DISTRIBUTIONS: dict[str, Query] = {
     "age_mean_median": _of_events(reports.age_mean_median, ["nativity"], LAST, years=ONE_YEAR),
     "age_median_by_sex": _of_events(reports.age_mean_median, ["sex", "nativity"], LAST, years=ONE_YEAR),
     "grouped_density": _of_events(reports.age_density),
+    "grouped_density_one_year": _of_events(reports.age_density, LAST, years=ONE_YEAR),
     "event_share_of_all": _of_deaths(reports.homicide_share),
     "top_causes_ties": _of_deaths(reports.top_causes),
     "cause_label_fallback": _of_deaths(
@@ -251,8 +251,11 @@ SCANS: dict[str, Query] = {
     ),
     "event_extract": lambda spark, sf_dir: _layout_parts(
         spark, sf_dir, death_source.homicide_records, ["l_orderkey", "l_linenumber"]
-    ).select("l_orderkey", "l_linenumber", *EXTRACT_FIELDS),
-    "all_cause_extract": lambda spark, sf_dir: death_source.rows_by_year(
+    ),
+    "all_cause_extract": lambda spark, sf_dir: _layout_parts(
+        spark, sf_dir, death_source.all_cause_records, ["l_orderkey", "l_linenumber"]
+    ),
+    "all_cause_rows_by_year": lambda spark, sf_dir: death_source.rows_by_year(
         _layout_parts(spark, sf_dir, death_source.all_cause_records, [])
     ),
 }
@@ -271,17 +274,44 @@ def _with_status(report: Callable) -> Query:
     )
 
 
+def _persons_with_unknown_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey persons, those of unknown age without a weight."""
+    people = star.persons(spark, sf_dir)
+    return label_persons(people.withColumn("perwt", F.when(F.col("age").isNotNull(), F.col("perwt"))))
+
+
+def _with_unknown_weights(report: Callable, *args) -> Query:
+    return lambda spark, sf_dir: report(
+        _homicides(spark, sf_dir), _persons_with_unknown_weights(spark, sf_dir), *args
+    )
+
+
 _PANEL = _of_both(reports.state_year_panel)
+# Its shares are null where a weight is unknown, so that no state has all years.
+_PANEL_UNKNOWN = _with_unknown_weights(reports.state_year_panel)
 _PANEL_CRUDE = _of_both(reports.state_year_panel, "crude_rate")
 _RATE_AND_SHARE = _of_both(reports.native_rate_by_foreign_share, LAST, years=ONE_YEAR)
 
 PANELS: dict[str, Query] = {
     "panel": _PANEL,
     "panel_crude": _PANEL_CRUDE,
-    "twfe_slope": _then(_PANEL_CRUDE, reports.panel_fit),
-    "twfe_cluster_se": _then(_PANEL_CRUDE, lambda table: reports.panel_fit(table, "cluster")),
-    "twfe_residuals": _then(_PANEL_CRUDE, reports.panel_residuals),
-    "twfe_unbalanced": _then(_PANEL, lambda table: reports.panel_fit(table, "cluster")),
+    "twfe_slope": _then(_PANEL, reports.panel_fit),
+    "twfe_cluster_se": _then(_PANEL, lambda table: reports.panel_fit(table, "cluster")),
+    "twfe_residuals": _then(_PANEL, reports.panel_residuals),
+    "twfe_slope_crude": _then(_PANEL_CRUDE, reports.panel_fit),
+    "twfe_cluster_se_crude": _then(_PANEL_CRUDE, lambda table: reports.panel_fit(table, "cluster")),
+    "twfe_residuals_crude": _then(_PANEL_CRUDE, reports.panel_residuals),
+    "twfe_unbalanced": _then(_PANEL_UNKNOWN, lambda table: reports.panel_fit(table, "cluster")),
+    "panel_unknown_weights": _PANEL_UNKNOWN,
+    "panel_crude_unknown_weights": _with_unknown_weights(reports.state_year_panel, "crude_rate"),
+    "foreign_share_unknown_weights": lambda spark, sf_dir: reports.foreign_share(
+        _persons_with_unknown_weights(spark, sf_dir), ["state", "data_year"]
+    ),
+    "twfe_residual_band": _then(
+        _PANEL,
+        reports.panel_residuals,
+        lambda table: panel.confidence_band(table, "resid_foreign_share", "resid_native_rate"),
+    ),
     "native_rate_by_foreign_share": _RATE_AND_SHARE,
     "pearson_corr": _then(
         _RATE_AND_SHARE, lambda table: panel.pearson(table, "foreign_share", "age_adjusted_rate")

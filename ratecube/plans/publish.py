@@ -1,7 +1,7 @@
 """All result tables of a study, written in one go.
 
-Each big input is read once: the homicides into an extract by year, and all three
-into cubes. Rates, shares and panels come off the cubes; the tables that need single
+Each big input is read once: the deaths into a Parquet table of the wanted fields,
+of which the homicides are a partition, and all into cubes. Rates, shares and panels come off the cubes; the tables that need single
 records (ages in years, packed codes, detailed codes, place of occurrence) read the
 extract, a small part of the death records, by column.
 """
@@ -12,12 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ratecube.functions import codes
 from ratecube.operators import packed, panel
 from ratecube.plans import reports
 from ratecube.plans.labels import label_events, label_persons
-from ratecube.sources.tables import read_cells, write_cells, write_extract, write_result
+from ratecube.sources.tables import read_cells, write_cells, write_result
 
 DEATH_CUBE_KEYS = ["data_year", "nativity", "cause"]
 RATE, SHARE = "age_adjusted_rate", "foreign_share"
@@ -36,6 +37,9 @@ class Study:
     wanted_status: str | None = None
     first: int = codes.FIRST_YEAR
     last: int = codes.LAST_YEAR
+    # Tables that several reports take; `publish` stores them once.
+    panel: DataFrame | None = None
+    rate_and_share: DataFrame | None = None
 
 
 # name -> (sort order, report)
@@ -188,35 +192,34 @@ TABLES: dict[str, Table] = {
     ),
     "panel_adjusted": (
         ["state", "data_year"],
-        lambda s: reports.state_year_panel(s.events, s.persons),
+        lambda s: s.panel,
     ),
     "panel_crude": (
         ["state", "data_year"],
         lambda s: reports.state_year_panel(s.events, s.persons, "crude_rate"),
     ),
-    "panel_fit": ([], lambda s: reports.panel_fit(reports.state_year_panel(s.events, s.persons))),
+    "panel_fit": ([], lambda s: reports.panel_fit(s.panel)),
     "panel_fit_clustered": (
         [],
-        lambda s: reports.panel_fit(reports.state_year_panel(s.events, s.persons), "cluster"),
+        lambda s: reports.panel_fit(s.panel, "cluster"),
     ),
     "panel_residuals": (
         ["state", "data_year"],
-        lambda s: reports.panel_residuals(reports.state_year_panel(s.events, s.persons)),
+        lambda s: reports.panel_residuals(s.panel),
     ),
     "native_rate_and_foreign_share": (
         ["state"],
-        lambda s: reports.native_rate_by_foreign_share(s.events, s.persons, s.last),
+        lambda s: s.rate_and_share,
     ),
     "rate_share_correlation": (
         [],
-        lambda s: panel.pearson(
-            reports.native_rate_by_foreign_share(s.events, s.persons, s.last), SHARE, RATE
-        ),
+        lambda s: panel.pearson(s.rate_and_share, SHARE, RATE),
     ),
-    "rate_share_line": (
+    "rate_share_line": (["x"], lambda s: panel.confidence_band(s.rate_and_share, SHARE, RATE)),
+    "panel_residual_line": (
         ["x"],
         lambda s: panel.confidence_band(
-            reports.native_rate_by_foreign_share(s.events, s.persons, s.last), SHARE, RATE
+            reports.panel_residuals(s.panel), "resid_foreign_share", "resid_native_rate"
         ),
     ),
     "native_and_foreign_rates": (
@@ -246,21 +249,25 @@ def _stored(cells: DataFrame, path: str) -> DataFrame:
     return read_cells(cells.sparkSession, path)
 
 
-def study(
-    homicides: DataFrame, persons: DataFrame, all_deaths: DataFrame, out: str, **options
-) -> Study:
-    """Extract under ``out/extract`` and cubes under ``out/cells`` from the raw inputs."""
-    write_extract(homicides, f"{out}/extract")
-    extract = read_cells(homicides.sparkSession, f"{out}/extract")
+def study(deaths: DataFrame, persons: DataFrame, out: str, **options) -> Study:
+    """Records under ``out/deaths`` and cubes under ``out/cells`` from the raw inputs.
+
+    `deaths` are all deaths with a homicide flag (`sources.deaths.read_deaths`). They
+    are scanned once; extract and all-cause cube come off what is written.
+    """
+    spark = deaths.sparkSession
+    pieces = deaths.hint("rebalance", "is_homicide", "data_year").write.partitionBy("is_homicide", "data_year")
+    pieces.mode("overwrite").parquet(f"{out}/deaths")
+    written = read_cells(spark, f"{out}/deaths")
+    written = written.withColumn("data_year", F.col("data_year").cast("string"))
+    extract = written.filter("is_homicide = 'true'").drop("is_homicide")
     records = label_events(extract)
     return Study(
         homicides=extract,
         records=records,
         events=_stored(reports.event_cube(records), f"{out}/cells/events"),
         persons=_stored(reports.person_cube(label_persons(persons)), f"{out}/cells/persons"),
-        deaths=_stored(
-            reports.event_cube(label_events(all_deaths), DEATH_CUBE_KEYS), f"{out}/cells/deaths"
-        ),
+        deaths=_stored(reports.event_cube(label_events(written), DEATH_CUBE_KEYS), f"{out}/cells/deaths"),
         **options,
     )
 
@@ -268,6 +275,11 @@ def study(
 def publish(inputs: Study, out: str, names: list[str] | None = None) -> list[str]:
     """Write the named result tables (or all) as CSV under ``out/tables``."""
     tables = TABLES | (STATUS_TABLES if inputs.status is not None else {})
+    inputs.panel = _stored(reports.state_year_panel(inputs.events, inputs.persons), f"{out}/cells/panel")
+    inputs.rate_and_share = _stored(
+        reports.native_rate_by_foreign_share(inputs.events, inputs.persons, inputs.last),
+        f"{out}/cells/rate_and_share",
+    )
     for name in names or tables:
         order, report = tables[name]
         write_result(report(inputs), f"{out}/tables/{name}", order)

@@ -513,22 +513,29 @@ def state_year_panel(events: DataFrame, persons: DataFrame, rate: str = "age_adj
 
     `rate` is "age_adjusted_rate" (of the state-years with native events of known
     age) or "crude_rate". Rate and share are read off the same cells; the share
-    counts everyone, unknown nativity and age included.
+    counts everyone, unknown nativity and age included, and is null where a weight
+    is unknown.
     """
     counted = {"age_adjusted_rate": "n_known_age", "crude_rate": "n"}[rate]
     keys = ["state", "data_year"]
     fine = merge_cells(events, persons, [*keys, "nativity", "age_group"])
-    table = rates.crude_and_adjusted(fine, [*keys, "nativity"], groups_without_events=True)
+    table = rates.crude_and_adjusted(
+        fine, [*keys, "nativity"], groups_without_events=True, whole_pop="everyone"
+    )
     return (
         table.groupBy(*keys)
         .agg(
             _of("nativity", "native", counted).alias("native_n"),
             _of("nativity", "native", rate).alias("native_rate"),
-            F.coalesce(_of("nativity", "foreign", "pop"), F.lit(0.0)).alias("foreign_pop"),
-            F.sum("pop").alias("total_pop"),
+            F.coalesce(_of("nativity", "foreign", "everyone"), F.lit(0.0)).alias("foreign_pop"),
+            F.sum("everyone").alias("total_pop"),
         )
         .filter(F.col("native_n").isNotNull())
-        .select(*keys, "native_rate", percent(F.col("foreign_pop"), F.col("total_pop")).alias("foreign_share"))
+        .select(
+            *keys,
+            "native_rate",
+            percent(rates.known(F.col("foreign_pop")), rates.known(F.col("total_pop"))).alias("foreign_share"),
+        )
     )
 
 

@@ -163,6 +163,13 @@ def status_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filler(field: Field) -> str:
+    """SQL text of the value of a field that stands for nothing: digits of the line's keys."""
+    digits = min(9, field.end - field.start + 1)
+    number = f"(l_orderkey * {field.start} + l_linenumber) % {10**digits}"
+    return f"lpad(CAST({number} AS STRING), {digits}, '0')"
+
+
 def _line(filled: set[str], layout: list[Field]) -> str:
     """A record line: each filled field at its position, blanks elsewhere."""
     parts, at = [], 1
@@ -180,25 +187,24 @@ def _line(filled: set[str], layout: list[Field]) -> str:
 def record_lines(
     spark: SparkSession, sf_dir: str, old_layout: list[Field], new_layout: list[Field]
 ) -> tuple[DataFrame, DataFrame]:
-    """All-cause death records as fixed-width lines: those of the years of the old
-    layout, and those of the new.
+    """All-cause death records as fixed-width lines, every field filled: those of the
+    years of the old layout, and those of the new.
 
-    A line passes through a one-element explode so that it is built once per
-    record: as a plain expression it would be built anew in every test on it.
+    Either part reads the orders of its own years. A line passes through a
+    one-element explode so that it is built once per record: as a plain expression
+    it would be built anew in every test on it.
     """
-    records = death_records(spark, sf_dir, homicides_only=False)
-    filled = {name for name in records.columns if not name.startswith("l_")}
 
-    def written(years: str, layout: list[Field]) -> DataFrame:
-        return records.filter(years).selectExpr(
+    def written(years: tuple[int, int], layout: list[Field]) -> DataFrame:
+        records = death_records(spark, sf_dir, homicides_only=False, years=years)
+        others = [f"{filler(f)} AS {f.name}" for f in layout if f.name not in records.columns]
+        filled = {f.name for f in layout}
+        return records.selectExpr("*", *others).selectExpr(
             "l_orderkey", "l_linenumber", f"explode(array({_line(filled, layout)})) AS value"
         )
 
     last_old = BRIDGED_RACE_YEARS[1]
-    return (
-        written(f"CAST(data_year AS INT) <= {last_old}", old_layout),
-        written(f"CAST(data_year AS INT) > {last_old}", new_layout),
-    )
+    return written((FIRST_YEAR, last_old), old_layout), written((last_old + 1, LAST_YEAR), new_layout)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from ratecube.functions import codes
 from ratecube.functions.recodes import is_in
 from ratecube.sources.fixed_width import (
+    empty_of,
     length_profile,
     parse_fixed_width,
     read_lines,
     trimmed_slice,
     union_by_name,
 )
-from ratecube.sources.layouts import ALL_CAUSE_FIELDS, Field, layout_for, narrow
+from ratecube.sources.layouts import ALL_CAUSE_FIELDS, ALL_YEARS, Field, layout_for, narrow
 
 
 class DeathFile(NamedTuple):
@@ -63,34 +65,71 @@ def _by_layout(files: list[DeathFile]) -> list[tuple[list[Field], list[str]]]:
     return [(list(layout), paths) for layout, paths in groups.items()]
 
 
+def _read(spark: SparkSession, files: list[DeathFile], records, wanted: list[str] | None) -> DataFrame:
+    parts = [records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
+    if parts:
+        return union_by_name(parts)
+    # No file at all: no rows, with the fields of the years asked for.
+    years = [file.year for file in files] or [ALL_YEARS[1]]
+    layouts = [layout_for(year) for year in years]
+    return union_by_name([empty_of(spark, narrow(x, wanted) if wanted else x) for x in layouts])
+
+
 def read_homicides(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
-    return union_by_name(
-        [homicide_records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
-    )
+    return _read(spark, files, homicide_records, None)
 
 
 def read_all_deaths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
-    return union_by_name(
-        [all_cause_records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
-    )
+    return _read(spark, files, all_cause_records, ALL_CAUSE_FIELDS)
+
+
+def flagged_records(lines: DataFrame, layout: list[Field]) -> DataFrame:
+    """Every death of a state resident with `is_homicide`: the four all-cause fields,
+    and the others where the flag is set, so that both extracts come off one scan."""
+    wanted = lines.filter(_line_is(layout, "state_res_fips", codes.STATES, "value"))
+    flagged = wanted.withColumn("is_homicide", F.expr(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, "value")))
+    table = parse_fixed_width(flagged, layout, ["is_homicide"])
+    always = {"is_homicide", *ALL_CAUSE_FIELDS}
+    return table.select(*[F.col(c) if c in always else F.when(F.col("is_homicide"), F.col(c)).alias(c) for c in table.columns])
+
+
+def read_deaths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
+    """All deaths with a homicide flag (see `flagged_records`), each file read once."""
+    parts = [flagged_records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
+    return union_by_name(parts) if parts else read_homicides(spark, files).withColumn("is_homicide", F.lit(True))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file metadata writes it, without the slashes of an empty host."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop).toUri().toString().replace(":///", ":/")
 
 
 def record_lengths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
     """(year, path, record_length, n): how long the lines of each file are.
 
-    A missing file gives one row with null length and no lines.
+    All files are one scan; a line's file comes from its metadata. A missing file
+    gives one row with null length and no lines.
     """
     schema = "year int, path string, record_length int, n long"
     absent = [(file.year, None, None, 0) for file in files if file.path is None]
-    parts = [
-        read_lines(spark, [file.path]).select(
-            F.lit(file.year).alias("year"), F.lit(file.path).alias("path"), "value"
-        )
-        for file in files
-        if file.path is not None
-    ]
-    profile = length_profile(union_by_name(parts), ["year", "path"])
-    return profile.unionByName(spark.createDataFrame(absent, schema)) if absent else profile
+    table = spark.createDataFrame(absent, schema)
+    present = [file for file in files if file.path is not None]
+    if not present:
+        return table
+    at = F.regexp_replace(F.col("_metadata.file_path"), ":///", ":/")
+    which = reduce(
+        lambda other, i: F.when(at == qualified(spark, present[i].path), F.lit(i)).otherwise(other),
+        range(len(present)),
+        F.lit(None).cast("int"),
+    )
+    lines = read_lines(spark, sorted({file.path for file in present})).select("value", which.alias("file"))
+    years, paths = (F.array(*[F.lit(file[k]) for file in present]) for k in (0, 1))
+    profile = length_profile(lines, ["file"]).select(
+        F.get(years, F.col("file")).alias("year"), F.get(paths, F.col("file")).alias("path"), "record_length", "n"
+    )
+    return profile.unionByName(table)
 
 
 def rows_by_year(records: DataFrame) -> DataFrame:

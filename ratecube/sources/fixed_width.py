@@ -53,6 +53,11 @@ def scan_fixed_width(spark: SparkSession, paths: list[str], layout: list[Field])
     return parse_fixed_width(read_lines(spark, paths), layout)
 
 
+def empty_of(spark: SparkSession, layout: list[Field]) -> DataFrame:
+    """No rows, with the columns of a layout."""
+    return spark.createDataFrame([], ", ".join(f"{f.name} {f.type}" for f in layout))
+
+
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
     """Stack tables by column name; a field that a part lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
