@@ -24,7 +24,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 HASH_BITS = 48
 #: Text for which one bucket is made, in bytes: the number of buckets follows the input.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Symbols looked at in one go.
 CHUNK = 1 << 20
 #: Packed entries that a task holds before it sends them on.
@@ -144,9 +144,9 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *keys]), np.concatenate([empty, *owners])
 
 
-def bucket_count(documents: DataFrame, text: str) -> int:
+def bucket_count(documents: DataFrame, text: str, size: int = BUCKET_BYTES) -> int:
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(12, -(-total // BUCKET_BYTES))
+    return max(12, -(-total // size))
 
 
 def recurring(entries: DataFrame, buckets: int, across: bool) -> DataFrame:
@@ -184,7 +184,7 @@ def recurring(entries: DataFrame, buckets: int, across: bool) -> DataFrame:
             }
         )
 
-    found = entries.groupBy("bucket").applyInArrow(matched, PACKED)
+    found = dealt(entries).groupBy("bucket").applyInArrow(matched, PACKED)
     return found.groupBy("bucket").applyInArrow(gathered, struct_of(owner=LONG, hashes=BINARY))
 
 
@@ -199,6 +199,11 @@ def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
+def dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows by bucket over all partitions of a shuffle: work on a bucket is more than its bytes tell."""
+    return packed.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+
+
 class Sender:
     """Collects (key, owner) entries and gives them out packed by the key's bucket."""
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecube.llm.anchors import MIX, PACKED, Sender, bucket_count, distinct_pairs, mixed, owner_bucket, packed_by, planes, unpacked, unplaned
+from ratecube.llm.anchors import MIX, PACKED, Sender, bucket_count, dealt, distinct_pairs, mixed, owner_bucket, packed_by, planes, unpacked, unplaned
 from ratecube.llm.common import BINARY, LONG, bounded_batches, free_name, list_of, stored, struct_of, utf8_buffer
 from ratecube.llm.words import LOWERED, word_hashes, words_of
 
@@ -129,7 +129,7 @@ def shared_counts(entries: DataFrame, buckets: int) -> DataFrame:
         owners, which = np.unique(owners, return_inverse=True)
         return pa.table({"owner": pa.array(owners, pa.int64()), "shared": pa.array(np.bincount(which, counts, len(owners)).astype(np.int64), pa.int64())})
 
-    found = entries.groupBy("bucket").applyInArrow(matched, PACKED)
+    found = dealt(entries).groupBy("bucket").applyInArrow(matched, PACKED)
     return found.groupBy("bucket").applyInArrow(added, struct_of(owner=LONG, shared=LONG))
 
 

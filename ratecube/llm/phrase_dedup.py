@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecube.llm.anchors import PACKED, Sender, anchored_runs, bucket_count, key_bucket, planes, recurring, unplaned, word_grams
+from ratecube.llm.anchors import PACKED, Sender, anchored_runs, bucket_count, dealt, key_bucket, planes, recurring, unplaned, word_grams
 from ratecube.llm.common import LONG, STRING, bounded_batches, free_name, stored, struct_of, utf8_buffer
 from ratecube.llm.suffix_dedup import SEGMENTS, SPANS, merged_spans, packed_spans, spans_by_row, unpacked_segments
 from ratecube.llm.words import word_hashes, words_of
 
 SIZE = 35
 GRAM = 8
-#: Windows in one automaton.
-SHARD_WINDOWS = 20_000
+#: An automaton takes anchors until they have so many windows.
+SHARD_WINDOWS = 5_000
 #: Letters for words: one each below this number of words, else two.
 LETTERS = 0x80000
 
@@ -61,7 +61,10 @@ def entries(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def segments(flagged: DataFrame, buckets: int) -> DataFrame:
-    """Segments of (row, text, hashes) rows around recurring anchors, packed by bucket; words joined by blanks."""
+    """Segments of (row, text, hashes) rows around recurring anchors, packed by bucket; words joined by blanks.
+
+    The packed `owners` are the anchors.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,15 +83,16 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
                     at = np.searchsorted(own, anchor[a:b])
                     again[a:b] = own[np.minimum(at, len(own) - 1)] == anchor[a:b]
                 bucket = key_bucket(anchor[again], buckets)
-                for k, t, f, p in zip(bucket.tolist(), text[again].tolist(), first[again].tolist(), past[again].tolist(), strict=True):
+                columns = (bucket, anchor[again], text[again], first[again], past[again])
+                for k, key, t, f, p in zip(*[c.tolist() for c in columns], strict=True):
                     content = b" ".join(raw[starts[f] : ends[p + SIZE - 2]].split())
                     known, places = out.setdefault(k, ({}, []))
-                    places.append((rows[t], f - first_word[t], known.setdefault(content, len(known))))
+                    places.append((key, rows[t], f - first_word[t], known.setdefault(content, len(known))))
             names, kinds, made = [f.name for f in SEGMENTS], [pa.int64(), *[pa.binary()] * 6], []
             for k, (known, places) in sorted(out.items()):
-                row, first, which = np.array(places, np.int64).T
+                key, row, first, which = np.array(places, np.int64).T
                 sizes = np.fromiter(map(len, known), np.int64, len(known))
-                made.append((k, b"".join(known), planes(sizes), planes(row), planes(row), planes(first), planes(which)))
+                made.append((k, b"".join(known), planes(sizes), planes(key), planes(row), planes(first), planes(which)))
             for i in range(0, len(made), 64):
                 columns = zip(*made[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -110,36 +114,51 @@ def spelled(contents: list[bytes]) -> tuple[list[str], int]:
     return [p.astype("<u4").tobytes().decode("utf-32-le") for p in pairs], 2
 
 
-def occurrences(contents: list[bytes], weights: list[int], size: int = SIZE) -> list[list[int]]:
-    """For each content the places of its windows that recur; a content is there `weights` times."""
+def occurrences(contents: list[bytes], weights: list[int], anchors: list[int], size: int = SIZE) -> list[list[int]]:
+    """For each content the places of its windows that recur; a content is there `weights` times.
+
+    Contents with one anchor share their windows with no others. So whole anchors are taken together
+    until they have enough windows for an automaton, which only their contents pass.
+    """
     texts, wide = spelled(contents)
-    step, length = wide, size * wide
-    counts: Counter = Counter()
-    for text, weight in zip(texts, weights, strict=True):
-        for i in range(0, len(text) - length + 1, step):
-            counts[text[i : i + length]] += weight
-    confirmed = [w for w, n in counts.items() if n > 1]
-    del counts
+    length = size * wide
     found: list[list[int]] = [[] for _ in contents]
-    for at in range(0, len(confirmed), SHARD_WINDOWS):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for window in confirmed[at : at + SHARD_WINDOWS]:
-            automaton.add_word(window)
-        automaton.make_automaton()
-        for own, text in zip(found, texts, strict=True):
-            own += [(end + 1 - length) // step for end, _ in automaton.iter(text)]
-    return [sorted(own) for own in found]
+    order = sorted(range(len(contents)), key=anchors.__getitem__)
+    shard: list[int] = []
+    windows = 0
+    for at, i in enumerate(order):
+        shard.append(i)
+        windows += len(texts[i]) // wide - size + 1
+        last = at + 1 == len(order)
+        if last or (windows >= SHARD_WINDOWS and anchors[order[at + 1]] != anchors[i]):
+            counts: Counter = Counter()
+            for j in shard:
+                text, weight = texts[j], weights[j]
+                for k in range(0, len(text) - length + 1, wide):
+                    counts[text[k : k + length]] += weight
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for window, n in counts.items():
+                if n > 1:
+                    automaton.add_word(window)
+            if len(automaton):
+                automaton.make_automaton()
+                for j in shard:
+                    found[j] = [(end + 1 - length) // wide for end, _ in automaton.iter(texts[j])]
+            shard, windows = [], 0
+    return found
 
 
 def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
     """Packed spans of words, by row, that a recurring window covers."""
 
     def judged(table: pa.Table) -> pa.Table:
-        contents, which, _, row, first = unpacked_segments(table)
+        contents, which, anchor, row, first = unpacked_segments(table)
         del table
         weights = np.bincount(which, minlength=len(contents)).tolist()
+        anchors = np.zeros(len(contents), np.int64)
+        anchors[which] = anchor
         spans = []
-        for places in occurrences(contents, weights):
+        for places in occurrences(contents, weights, anchors.tolist()):
             p = np.array(places, np.int64)
             spans.append(merged_spans(np.zeros(len(p), np.int64), p, p + SIZE)[1:])
         many = np.array([len(f) for f, _ in spans], np.int64)
@@ -151,7 +170,7 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
         base = np.repeat(first, times)
         return packed_spans(*merged_spans(np.repeat(row, times), firsts[at] + base, pasts[at] + base), buckets)
 
-    return packed.groupBy("bucket").applyInArrow(judged, SPANS)
+    return dealt(packed).groupBy("bucket").applyInArrow(judged, SPANS)
 
 
 CUT = struct_of(n_words=LONG, n_removed=LONG, kept_sha256=STRING, kept=STRING)
