@@ -29,6 +29,7 @@ from ratecube.llm.anchors import (
     anchored_runs,
     bucket_count,
     byte_grams,
+    dealt,
     distinct_pairs,
     key_bucket,
     owner_bucket,
@@ -62,15 +63,40 @@ def doubled(text: np.ndarray) -> np.ndarray:
         order = np.argsort(text)
 
 
+def smaller_than_next(text: np.ndarray) -> np.ndarray:
+    """S-type suffixes: those smaller than the suffix behind them."""
+    edges = np.flatnonzero(text[1:] != text[:-1]).astype(np.int32)
+    rises = text[edges] < text[edges + 1]
+    types = np.repeat(rises, np.diff(edges, prepend=-1))
+    return np.append(types, True)
+
+
+def named(text: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the leftmost-smaller substrings, in text order, from the order of the substrings; and how many."""
+    n = len(text)
+    length = np.zeros(n, np.int32)
+    length[starts[:-1]] = np.diff(starts)
+    a, b = ordered[:-1], ordered[1:]
+    differs = length[a] != length[b]
+    rest = np.flatnonzero(~differs)
+    step = 0
+    while len(rest):
+        x, y = a[rest], b[rest]
+        unequal = text[x + step] != text[y + step]
+        differs[rest[unequal]] = True
+        rest = rest[~unequal & (step < length[x])]
+        step += 1
+    names = length  # used again
+    names[ordered] = np.append(0, np.cumsum(differs, dtype=np.int32))
+    return names[starts], int(differs.sum()) + 1
+
+
 def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
     """Order of all suffixes of an array of symbols 0 to kinds - 1, of which only the last is 0."""
     n = len(text)
     if n <= SMALL:
         return doubled(text)
-    edges = np.flatnonzero(text[1:] != text[:-1])
-    after = edges[np.searchsorted(edges, np.arange(n - 1))]
-    smaller = np.ones(n, bool)  # S-type: smaller than the suffix behind it
-    smaller[:-1] = text[after] < text[after + 1]
+    smaller = smaller_than_next(text)
     leftmost = np.zeros(n, bool)
     leftmost[1:] = smaller[1:] & ~smaller[:-1]
     starts = np.flatnonzero(leftmost).astype(np.int32)
@@ -79,9 +105,8 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
     heads = tails - counts
     present = np.flatnonzero(counts)
     key = text.astype(np.uint16) if kinds <= 1 << 16 else text
-    places = np.arange(n)
 
-    def dealt(found: np.ndarray, larger: bool) -> tuple | None:
+    def preceding(found: np.ndarray, larger: bool) -> tuple | None:
         """What stands before the found places, if of the wanted type: in bucket order, with ranks and bucket ends."""
         before = found[found > 0] - 1
         before = before[smaller[before] != larger]
@@ -97,7 +122,7 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
         many = np.empty_like(first)
         np.subtract(first[1:], first[:-1], out=many[:-1])
         many[-1] = len(bucket) - first[-1]
-        rank = places[: len(bucket)] - first.repeat(many)
+        rank = np.arange(len(bucket), dtype=np.int32) - first.astype(np.int32).repeat(many)
         return before, bucket, rank, (bucket[first], many)
 
     def induced(order: np.ndarray) -> np.ndarray:
@@ -111,11 +136,11 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
             at = int(heads[c])
             while at < head[c]:
                 to = int(head[c])
-                if (d := dealt(array[at:to], True)) is not None:
+                if (d := preceding(array[at:to], True)) is not None:
                     array[head[d[1]] + d[2]] = d[0]
                     head[d[3][0]] += d[3][1]
                 at = to
-            if seed_edges[c] < seed_edges[c + 1] and (d := dealt(seeds[seed_edges[c] : seed_edges[c + 1]], True)) is not None:
+            if seed_edges[c] < seed_edges[c + 1] and (d := preceding(seeds[seed_edges[c] : seed_edges[c + 1]], True)) is not None:
                 array[head[d[1]] + d[2]] = d[0]
                 head[d[3][0]] += d[3][1]
         tail = tails.copy()
@@ -125,46 +150,29 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
             at = int(tails[c]) if c else 0
             while at > tail[c]:
                 to = int(tail[c])
-                if (d := dealt(array[to:at][::-1], False)) is not None:
+                if (d := preceding(array[to:at][::-1], False)) is not None:
                     array[tail[d[1]] - 1 - d[2]] = d[0]
                     tail[d[3][0]] -= d[3][1]
                 at = to
-            if heads[c] < head[c] and (d := dealt(array[heads[c] : head[c]][::-1], False)) is not None:
+            if heads[c] < head[c] and (d := preceding(array[heads[c] : head[c]][::-1], False)) is not None:
                 array[tail[d[1]] - 1 - d[2]] = d[0]
                 tail[d[3][0]] -= d[3][1]
         return array
 
     if len(starts) > 1:
-        array = induced(starts)
-        ordered = array[leftmost[array]]
-        # Neighbours get one name if their substrings, up to the next leftmost-smaller place, are equal.
-        length = np.zeros(n, np.int32)
-        length[starts[:-1]] = np.diff(starts)
-        a, b = ordered[:-1], ordered[1:]
-        differs = length[a] != length[b]
-        rest = np.flatnonzero(~differs)
-        step = 0
-        while len(rest):
-            x, y = a[rest], b[rest]
-            unequal = text[x + step] != text[y + step]
-            differs[rest[unequal]] = True
-            rest = rest[~unequal & (step < length[x])]
-            step += 1
-        names_in_order = np.append(0, np.cumsum(differs))
-        n_names = int(names_in_order[-1]) + 1
+        ordered = induced(starts)
+        ordered = ordered[leftmost[ordered]]
+        names, n_names = named(text, starts, ordered)
         if n_names < len(starts):
-            names = np.empty(n, np.int64)
-            names[ordered] = names_in_order
-            names = names[starts]
             if n_names <= FEW_NAMES:
-                inner = suffix_array(names.astype(np.int32), n_names)
+                inner = suffix_array(names, n_names)
             else:
                 base = int(np.ceil(np.sqrt(n_names)))
                 digits = np.zeros(2 * len(names) + 1, np.int32)
                 digits[:-1:2] = names // base + 1
                 digits[1::2] = names % base + 1
                 inner = suffix_array(digits, base + 2)
-                inner = inner[(inner % 2 == 0) & (inner < 2 * len(names))] // 2
+                inner = inner[(inner % 2 == 0) & (inner < 2 * len(starts))] // 2
             ordered = starts[inner]
         starts = ordered
     return induced(starts)
@@ -176,7 +184,7 @@ def permuted_common_prefixes(data: bytes, places: np.ndarray, array: np.ndarray,
     Each place's predecessor is written down in text order, the prefixes are compared in that order,
     eight bytes at a time, and read back in the array's order. `data` has `most` + 8 more bytes.
     """
-    before = np.full(len(data), -1, np.int64)
+    before = np.full(len(data), -1, np.int32)
     before[array[1:]] = array[:-1]
     here = places[before[places] >= 0]
     there = before[here]
@@ -189,32 +197,34 @@ def permuted_common_prefixes(data: bytes, places: np.ndarray, array: np.ndarray,
         same = np.where(odd == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
         common[rest] += same
         rest = rest[odd == 0]
-    out = np.zeros(len(data), np.int64)
+    out = np.zeros(len(data), np.int32)
     out[here] = np.minimum(common, most)
     return out[array]
 
 
-def least_owner(contents: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each content, and each of its strings of SIZE bytes, the least owner of a content that has it."""
+def covered_by_smaller(contents: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, first, past): runs of bytes covered by a string of SIZE bytes of a content with a smaller owner."""
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    joined = np.frombuffer(b"".join(c + b"\0" for c in contents), np.uint8)
+    joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    symbols = joined.astype(np.int32) + 2
+    symbols = np.zeros(len(joined) + 1, np.int32)
+    symbols[:-1] = joined
+    symbols[:-1] += 2
     symbols[ends] = 1
-    array = suffix_array(np.append(symbols, 0).astype(np.int32), 258)
-    content = np.repeat(np.arange(len(contents)), sizes + 1)
+    array = suffix_array(symbols, 258)
+    del symbols
+    content = np.repeat(np.arange(len(contents), dtype=np.int32), sizes + 1)
     full = np.zeros(len(joined) + 1, bool)
-    full[:-1] = np.arange(len(joined)) + SIZE <= ends[content]
-    array = array[full[array]].astype(np.int64)
-    data = joined.tobytes() + bytes(SIZE + 8)
-    prefix = permuted_common_prefixes(data, np.sort(array), array, SIZE)
-    heads = np.flatnonzero(np.append(True, prefix[1:] < SIZE)) if len(array) else np.empty(0, int)
-    least = np.empty(len(joined), np.int64)
-    if len(array):
-        own = np.minimum.reduceat(owners[content[array]], heads)
-        least[array] = np.repeat(own, np.diff(np.append(heads, len(array))))
-    begins = ends - sizes
-    return [least[b : b + s - SIZE + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
+    full[:-1] = np.arange(len(joined), dtype=np.int32) + SIZE <= ends[content]
+    array = array[full[array]]
+    prefix = permuted_common_prefixes(joined.tobytes() + bytes(SIZE + 8), np.sort(array), array, SIZE)
+    heads = np.flatnonzero(np.append(True, prefix[1:] < SIZE))
+    own = owners[content[array]]
+    least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(array))))
+    places = np.sort(array[least < own])
+    whose = content[places].astype(np.int64)
+    first = places - (ends - sizes)[whose]
+    return merged_spans(whose, first, first + SIZE)
 
 
 def entries(documents: DataFrame, buckets: int) -> DataFrame:
@@ -351,17 +361,20 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
         least = np.full(len(contents), np.iinfo(np.int64).max)
         np.minimum.at(least, which, owner)
         sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-        known = least_owner(contents, least)
         # A content that a smaller id has too is removed whole; its least owner loses what is in other contents.
         whole = owner > least[which]
         out = [(row[whole], first[whole], first[whole] + sizes[which[whole]])]
-        partly = np.array([bool((k < o).any()) for k, o in zip(known, least.tolist(), strict=True)])
-        for i in np.flatnonzero(~whole & partly[which]).tolist():
-            places = np.flatnonzero(known[which[i]] < owner[i]) + first[i]
-            out.append((np.full(len(places), row[i]), places, places + SIZE))
+        content, begin, past = covered_by_smaller(contents, least)
+        many = np.bincount(content, minlength=len(contents))
+        start = np.cumsum(many) - many
+        others = np.flatnonzero(~whole)
+        times = many[which[others]]
+        at = np.repeat(start[which[others]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        base = np.repeat(first[others], times)
+        out.append((np.repeat(row[others], times), begin[at] + base, past[at] + base))
         return packed_spans(*merged_spans(*(np.concatenate(p) for p in zip(*out, strict=True))), buckets)
 
-    return packed.groupBy("bucket").applyInArrow(judged, SPANS)
+    return dealt(packed).groupBy("bucket").applyInArrow(judged, SPANS)
 
 
 def spans_by_row(packed: DataFrame) -> DataFrame:
