@@ -100,4 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": sql.QUALITY,
         "op3_license_scan": sql.license_scan(),
         "op4_decontaminate": sql.DECONTAMINATE,
+        "op5_suffix_dedup": sql.STRINGS,
+        "op9_phrase_dedup": sql.PHRASES,
+        "op10_ngram_join": sql.COMPONENTS,
     }

@@ -120,3 +120,62 @@ LEFT JOIN (
     FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
 ) USING (doc_id)
 """
+
+
+PHRASES = rf"""
+WITH plain AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{PLAIN_WORD}') AS words FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS win
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM plain)
+),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, (SELECT unnest(range(35)) AS j)),
+each AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM plain)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT p.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM plain p LEFT JOIN kept USING (doc_id)
+"""
+
+COMPONENTS = rf"""
+WITH RECURSIVE plain AS (
+    SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '{PLAIN_WORD}') AS words FROM documents
+),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM plain WHERE len(words) > 0)
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS MATERIALIZED (
+    SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common >= 85 * (s.n + t.n - common)
+),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT doc_id, CASE WHEN other = a THEN b ELSE a END FROM reached JOIN links ON other = a OR other = b
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+#: Bytes are pairs of hexadecimal digits here.
+STRINGS = """
+WITH plain AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM plain)
+),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM strings) WHERE least < doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, p + j AS p FROM hits, (SELECT unnest(range(50)) AS j)),
+each AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM plain)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY p) AS k FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+spans AS (
+    SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before <> p - 1) AS n_spans
+    FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM plain LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
