@@ -205,6 +205,8 @@ def scores(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str =
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(learn, F.lit(False)))
+    # Merged at every size: broadcast labels would hide what the join moves once they have grown.
+    known = known.hint("merge")
     labelled = rows.filter("learn").join(known, "doc_id")
     terms = vocabulary(labelled)
     vectors = stored(rows.select("doc_id", "learn", vector_udf(terms)(F.col("text")).alias("v")).select("doc_id", "learn", "v.*"), "vectors")
