@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecube.llm.common import BINARY, LONG, struct_of
+from ratecube.llm.common import BINARY, BOOLEAN, LONG, struct_of
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,11 +117,11 @@ def unplaned(data: bytes, width: int = 8) -> np.ndarray:
     return wide.view(np.int64)[:, 0]
 
 
-PACKED = struct_of(bucket=LONG, keys=BINARY, owners=BINARY)
+PACKED = struct_of(bucket=LONG, keys=BINARY, owners=BINARY, settled=BOOLEAN)
 
 
-def packed_by(buckets: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: its 48-bit keys and their owners."""
+def packed_by(buckets: np.ndarray, keys: np.ndarray, owners: np.ndarray, settled: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket: its 48-bit keys and their owners. Settled pairs are known to recur."""
     order = np.argsort(buckets, kind="stable")
     buckets, keys, owners = buckets[order], keys[order], owners[order]
     edges = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)) if len(buckets) else np.zeros(1, int)
@@ -132,12 +133,15 @@ def packed_by(buckets: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> Iter
                 pa.array([int(buckets[a]) for a, _ in some], pa.int64()),
                 pa.array([planes(keys[a:b], 6) for a, b in some], pa.binary()),
                 pa.array([planes(owners[a:b]) for a, b in some], pa.binary()),
+                pa.array([settled] * len(some), pa.bool_()),
             ],
-            ["bucket", "keys", "owners"],
+            ["bucket", "keys", "owners", "settled"],
         )
 
 
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(table: pa.Table, settled: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if settled is not None:
+        table = table.filter(pc.equal(table.column("settled"), settled))
     keys = [unplaned(x.as_py(), 6) for x in table.column("keys")]
     owners = [unplaned(x.as_py()) for x in table.column("owners")]
     empty = np.empty(0, np.int64)
@@ -157,7 +161,7 @@ def recurring(entries: DataFrame, buckets: int, across: bool) -> DataFrame:
     """
 
     def matched(table: pa.Table) -> pa.Table:
-        keys, owners = unpacked(table)
+        keys, owners = unpacked(table, settled=False)
         order = np.lexsort((owners, keys))
         keys, owners = keys[order], owners[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
@@ -168,7 +172,8 @@ def recurring(entries: DataFrame, buckets: int, across: bool) -> DataFrame:
         keys, owners = keys[keep], owners[keep]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-        keys, owners = keys[new], owners[new]
+        known = unpacked(table, settled=True)
+        keys, owners = np.concatenate([keys[new], known[0]]), np.concatenate([owners[new], known[1]])
         return pa.Table.from_batches(packed_by(owner_bucket(owners, buckets), keys, owners), SCHEMA)
 
     def gathered(table: pa.Table) -> pa.Table:
@@ -188,7 +193,7 @@ def recurring(entries: DataFrame, buckets: int, across: bool) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(gathered, struct_of(owner=LONG, hashes=BINARY))
 
 
-SCHEMA = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
+SCHEMA = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("settled", pa.bool_())])
 
 
 def owner_bucket(owners: np.ndarray, buckets: int) -> np.ndarray:
@@ -205,23 +210,42 @@ def dealt(packed: DataFrame) -> DataFrame:
 
 
 class Sender:
-    """Collects (key, owner) entries and gives them out packed by the key's bucket."""
+    """Collects (key, owner) entries and gives them out packed by the key's bucket.
+
+    Keys that recur among the entries held are settled here: their pairs go on as settled
+    ones, by owner, and one entry stands for them in the key's bucket. So a key that
+    everything has, such as a passage in a third of all documents, comes to its bucket once
+    for each million of entries.
+    """
 
-    def __init__(self, buckets: int):
-        self.buckets, self.keys, self.owners, self.size = buckets, [], [], 0
+    def __init__(self, buckets: int, across: bool):
+        self.buckets, self.across, self.keys, self.owners, self.size = buckets, across, [], [], 0
 
     def add(self, keys: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.keys.append(keys)
+        self.keys.append(keys.astype(np.int64))
         self.owners.append(owners)
         self.size += len(keys)
         if self.size >= HELD:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
-            self.keys, self.owners, self.size = [], [], 0
-            yield from packed_by(key_bucket(keys, self.buckets), keys, owners)
+        if not self.size:
+            return
+        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
+        self.keys, self.owners, self.size = [], [], 0
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(heads, len(keys)))
+        again = owners[heads] != owners[heads + sizes - 1] if self.across else sizes > 1
+        settled = np.repeat(again, sizes)
+        first = np.zeros(len(keys), bool)
+        first[heads] = True
+        new = first.copy()
+        new[1:] |= owners[1:] != owners[:-1]
+        open_, done = first, settled & new
+        yield from packed_by(key_bucket(keys[open_], self.buckets), keys[open_], owners[open_])
+        yield from packed_by(owner_bucket(owners[done], self.buckets), keys[done], owners[done], settled=True)
 
 
 def distinct_pairs(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

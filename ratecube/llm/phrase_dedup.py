@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ratecube.llm.anchors import PACKED, Sender, anchored_runs, bucket_count, dealt, key_bucket, planes, recurring, unplaned, word_grams
 from ratecube.llm.common import LONG, STRING, bounded_batches, free_name, stored, struct_of, utf8_buffer
-from ratecube.llm.suffix_dedup import SEGMENTS, SPANS, merged_spans, packed_spans, spans_by_row, unpacked_segments
+from ratecube.llm.suffix_dedup import SEGMENTS, SPANS, merged_spans, packed_spans, settled_spans, spans_by_row, unpacked_segments
 from ratecube.llm.words import word_hashes, words_of
 
 SIZE = 35
@@ -43,7 +43,7 @@ def entries(documents: DataFrame, buckets: int) -> DataFrame:
     """Packed (anchor, row) pairs of (row, text) rows, up to two of a kind from a batch."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets)
+        sender = Sender(buckets, across=False)
         for batch in batches:
             data, bounds = utf8_buffer(batch.column("text"))
             rows = np.asarray(batch.column("row"))
@@ -63,7 +63,8 @@ def entries(documents: DataFrame, buckets: int) -> DataFrame:
 def segments(flagged: DataFrame, buckets: int) -> DataFrame:
     """Segments of (row, text, hashes) rows around recurring anchors, packed by bucket; words joined by blanks.
 
-    The packed `owners` are the anchors.
+    The packed `owners` are the anchors. A content that a batch has twice recurs; what it has
+    beyond two occurrences is settled and goes on as spans.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +90,19 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
                     known, places = out.setdefault(k, ({}, []))
                     places.append((key, rows[t], f - first_word[t], known.setdefault(content, len(known))))
             names, kinds, made = [f.name for f in SEGMENTS], [pa.int64(), *[pa.binary()] * 6], []
+            spans = [(np.empty(0, np.int64),) * 3]
             for k, (known, places) in sorted(out.items()):
                 key, row, first, which = np.array(places, np.int64).T
+                order = np.argsort(which, kind="stable")
+                number = np.empty(len(which), np.int64)  # of the occurrence among those of its content
+                number[order] = np.arange(len(which)) - np.searchsorted(which[order], which[order])
+                done = number > 1
+                n_words = np.array([c.count(b" ") + 1 for c in known], np.int64)
+                spans.append((row[done], first[done], first[done] + n_words[which[done]]))
+                key, row, first, which = key[~done], row[~done], first[~done], which[~done]
                 sizes = np.fromiter(map(len, known), np.int64, len(known))
                 made.append((k, b"".join(known), planes(sizes), planes(key), planes(row), planes(first), planes(which)))
+            made += settled_spans(spans, buckets)
             for i in range(0, len(made), 64):
                 columns = zip(*made[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -152,7 +162,7 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
     """Packed spans of words, by row, that a recurring window covers."""
 
     def judged(table: pa.Table) -> pa.Table:
-        contents, which, anchor, row, first = unpacked_segments(table)
+        contents, (which, anchor, row, first), settled = unpacked_segments(table)
         del table
         weights = np.bincount(which, minlength=len(contents)).tolist()
         anchors = np.zeros(len(contents), np.int64)
@@ -168,7 +178,8 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
         times = many[which]
         at = np.repeat(begin[which] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         base = np.repeat(first, times)
-        return packed_spans(*merged_spans(np.repeat(row, times), firsts[at] + base, pasts[at] + base), buckets)
+        found = (np.repeat(row, times), firsts[at] + base, pasts[at] + base)
+        return packed_spans(*merged_spans(*(np.concatenate(p) for p in zip(found, settled, strict=True))), buckets)
 
     return dealt(packed).groupBy("bucket").applyInArrow(judged, SPANS)
 

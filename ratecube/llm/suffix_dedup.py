@@ -44,7 +44,10 @@ GRAM = 16
 #: Names go to the recursion undivided while there are at most so many.
 FEW_NAMES = 512
 #: The recursion ends at so many symbols.
-SMALL = 1 << 18
+SMALL = 1 << 20
+NO_BUCKET = np.uint16(0xFFFF)
+#: Text for one bucket of anchors.
+BUCKET_BYTES = 8 << 20
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
@@ -104,15 +107,20 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
     tails = np.cumsum(counts)
     heads = tails - counts
     present = np.flatnonzero(counts)
-    key = text.astype(np.uint16) if kinds <= 1 << 16 else text
+    key = text.astype(np.uint16)  # the largest number stands for no place
+    larger_before, smaller_before = np.full(n, NO_BUCKET), np.full(n, NO_BUCKET)
+    larger_before[1:] = np.where(smaller[:-1], NO_BUCKET, key[:-1])
+    smaller_before[1:] = np.where(smaller[:-1], key[:-1], NO_BUCKET)
 
-    def preceding(found: np.ndarray, larger: bool) -> tuple | None:
+    def preceding(found: np.ndarray, wanted: np.ndarray) -> tuple | None:
         """What stands before the found places, if of the wanted type: in bucket order, with ranks and bucket ends."""
-        before = found[found > 0] - 1
-        before = before[smaller[before] != larger]
-        if not len(before):
+        bucket = wanted[found]
+        some = bucket != NO_BUCKET
+        bucket = bucket[some]
+        if not len(bucket):
             return None
-        bucket = key[before]
+        before = found[some]
+        before -= 1
         order = bucket.argsort(kind="stable")
         before, bucket = before[order], bucket[order]
         new = np.empty(len(bucket), bool)
@@ -136,11 +144,11 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
             at = int(heads[c])
             while at < head[c]:
                 to = int(head[c])
-                if (d := preceding(array[at:to], True)) is not None:
+                if (d := preceding(array[at:to], larger_before)) is not None:
                     array[head[d[1]] + d[2]] = d[0]
                     head[d[3][0]] += d[3][1]
                 at = to
-            if seed_edges[c] < seed_edges[c + 1] and (d := preceding(seeds[seed_edges[c] : seed_edges[c + 1]], True)) is not None:
+            if seed_edges[c] < seed_edges[c + 1] and (d := preceding(seeds[seed_edges[c] : seed_edges[c + 1]], larger_before)) is not None:
                 array[head[d[1]] + d[2]] = d[0]
                 head[d[3][0]] += d[3][1]
         tail = tails.copy()
@@ -150,11 +158,11 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
             at = int(tails[c]) if c else 0
             while at > tail[c]:
                 to = int(tail[c])
-                if (d := preceding(array[to:at][::-1], False)) is not None:
+                if (d := preceding(array[to:at][::-1], smaller_before)) is not None:
                     array[tail[d[1]] - 1 - d[2]] = d[0]
                     tail[d[3][0]] -= d[3][1]
                 at = to
-            if heads[c] < head[c] and (d := preceding(array[heads[c] : head[c]][::-1], False)) is not None:
+            if heads[c] < head[c] and (d := preceding(array[heads[c] : head[c]][::-1], smaller_before)) is not None:
                 array[tail[d[1]] - 1 - d[2]] = d[0]
                 tail[d[3][0]] -= d[3][1]
         return array
@@ -231,7 +239,7 @@ def entries(documents: DataFrame, buckets: int) -> DataFrame:
     """Packed (anchor, doc_id) pairs of (doc_id, text) rows, each pair once a batch."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets)
+        sender = Sender(buckets, across=True)
         for batch in batches:
             data, bounds = utf8_buffer(batch.column("text"))
             ids = np.asarray(batch.column("doc_id"))
@@ -249,6 +257,7 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
     """Segments of (doc_id, row, text, hashes) rows around recurring anchors, packed by bucket.
 
     In a packed row each content is there once; an occurrence says which content, where, and of whom.
+    Occurrences of a content that a smaller id of the batch has too are settled: they go on as spans.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,23 +283,21 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
             text, first, past, bucket = text[order], first[order], past[order], bucket[order]
             raw = data.tobytes()
             heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, int)
-            out = []
+            out, spans = [], [(np.empty(0, np.int64),) * 3]
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
                 known: dict[bytes, int] = {}
                 ends = (past[a:b] + SIZE - 1).tolist()
                 which = [known.setdefault(raw[f:e], len(known)) for f, e in zip(first[a:b].tolist(), ends, strict=True)]
-                own = text[a:b]
-                out.append(
-                    (
-                        int(bucket[a]),
-                        b"".join(known),
-                        planes(np.fromiter(map(len, known), np.int64, len(known))),
-                        planes(ids[own]),
-                        planes(row[own]),
-                        planes(first[a:b] - bounds[own]),
-                        planes(np.array(which, np.int64)),
-                    )
-                )
+                which = np.array(which, np.int64)
+                own, sizes = text[a:b], np.fromiter(map(len, known), np.int64, len(known))
+                place = first[a:b] - bounds[own]
+                least = np.full(len(known), np.iinfo(np.int64).max)
+                np.minimum.at(least, which, ids[own])
+                done = ids[own] > least[which]
+                spans.append((row[own[done]], place[done], place[done] + sizes[which[done]]))
+                own, place, which = own[~done], place[~done], which[~done]
+                out.append((int(bucket[a]), b"".join(known), planes(sizes), planes(ids[own]), planes(row[own]), planes(place), planes(which)))
+            out += settled_spans(spans, buckets)
             names = [f.name for f in SEGMENTS]
             kinds = [pa.int64(), *[pa.binary()] * 6]
             for i in range(0, len(out), 64):
@@ -300,6 +307,12 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
     return flagged.select("doc_id", "row", "text", "hashes").mapInArrow(cut, SEGMENTS)
 
 
+def settled_spans(spans: list[tuple[np.ndarray, ...]], buckets: int) -> list[tuple]:
+    """Spans as packed rows without content, their ends in the place of the sizes."""
+    table = packed_spans(*merged_spans(*(np.concatenate(p) for p in zip(*spans, strict=True))), buckets)
+    return [(r["bucket"], b"", r["pasts"], b"", r["rows"], r["firsts"], b"") for r in table.to_pylist()]
+
+
 SPANS = struct_of(bucket=LONG, rows=BINARY, firsts=BINARY, pasts=BINARY)
 
 
@@ -335,35 +348,40 @@ def packed_spans(rows: np.ndarray, first: np.ndarray, past: np.ndarray, buckets:
     )
 
 
-def unpacked_segments(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct contents, and of each occurrence: content, owner, row, first)."""
+def unpacked_segments(table: pa.Table) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+    """(distinct contents; of each occurrence content, owner, row and first; of each settled span row, first and past)."""
     known: dict[bytes, int] = {}
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(7)]
     columns = [table.column(c) for c in ("content", "sizes", "owners", "rows", "firsts", "which")]
     for content, sizes, owners, rows, firsts, which in zip(*columns, strict=True):
-        raw, ends = content.as_py(), np.cumsum(unplaned(sizes.as_py())).tolist()
+        raw, numbers = content.as_py(), unplaned(sizes.as_py())
+        if not raw:
+            for part, values in zip(parts[4:], (unplaned(rows.as_py()), unplaned(firsts.as_py()), numbers), strict=True):
+                part.append(values)
+            continue
+        ends = np.cumsum(numbers).tolist()
         local = [known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         parts[0].append(np.array(local, np.int64)[unplaned(which.as_py())])
-        for part, column in zip(parts[1:], (owners, rows, firsts), strict=True):
+        for part, column in zip(parts[1:4], (owners, rows, firsts), strict=True):
             part.append(unplaned(column.as_py()))
-    empty = np.empty(0, np.int64)
-    return list(known), *[np.concatenate([empty, *p]) for p in parts]
+    joined = [np.concatenate(p) for p in parts]
+    return list(known), joined[:4], joined[4:]
 
 
 def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
     """Packed spans of rows that a string of a smaller doc_id covers."""
 
     def judged(table: pa.Table) -> pa.Table:
-        contents, which, owner, row, first = unpacked_segments(table)
+        contents, (which, owner, row, first), settled = unpacked_segments(table)
         del table
         if not len(which):
-            return packed_spans(row, first, first, buckets)
+            return packed_spans(*merged_spans(*settled), buckets)
         least = np.full(len(contents), np.iinfo(np.int64).max)
         np.minimum.at(least, which, owner)
         sizes = np.fromiter(map(len, contents), np.int64, len(contents))
         # A content that a smaller id has too is removed whole; its least owner loses what is in other contents.
         whole = owner > least[which]
-        out = [(row[whole], first[whole], first[whole] + sizes[which[whole]])]
+        out = [settled, (row[whole], first[whole], first[whole] + sizes[which[whole]])]
         content, begin, past = covered_by_smaller(contents, least)
         many = np.bincount(content, minlength=len(contents))
         start = np.cumsum(many) - many
@@ -434,7 +452,7 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= SIZE)
     )
     plain = plain.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    buckets = bucket_count(plain, "text")
+    buckets = bucket_count(plain, "text", BUCKET_BYTES)
     again = stored(recurring(entries(plain, buckets), buckets, across=True), "anchors")
     flagged = plain.withColumn("row", F.xxhash64("doc_id", "text")).join(again, F.col("doc_id") == F.col("owner"))
     spans = stored(spans_by_row(repeated_spans(segments(flagged, buckets), buckets)), "spans")
