@@ -10,9 +10,10 @@ products can matter, and are exact:
 * a node with n shingles can only link if ceil(PERCENT n / 100) of them occur in other nodes too. This
   is first tested with a third of all shingles, of which at most the same number may be missing, then
   with all shingles of the nodes that are left;
-* with shingles ordered from rare to frequent, two linked nodes share one of the first
-  n - ceil(PERCENT n / 100) + 1 shingles of either;
-* the smaller set has at least PERCENT % of the larger one's size.
+* with shingles ordered from rare to frequent, two nodes whose overlap has to be o share one of the first
+  n - o + 1 shingles of either;
+* two sets of n and m shingles have at least PERCENT (n + m) / (100 + PERCENT) of them in common, so either must
+  have that many, and have that many that occur in other nodes.
 
 Pairs within a component found so far need no product. So the first round takes each node with one
 other for each of its rare shingles, the second neighbours by size, and the last all pairs that are
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecube.llm.anchors import MIX, PACKED, Sender, bucket_count, dealt, distinct_pairs, mixed, owner_bucket, packed_by, planes, unpacked, unplaned
+from ratecube.llm.anchors import MIX, PACKED, SCHEMA, Sender, bucket_count, dealt, distinct_pairs, mixed, owner_bucket, packed_by, planes, unpacked, unplaned
 from ratecube.llm.common import BINARY, LONG, bounded_batches, free_name, list_of, stored, struct_of, utf8_buffer
 from ratecube.llm.words import LOWERED, word_hashes, words_of
 
@@ -103,7 +104,7 @@ def may_miss(n: Column) -> Column:
 
 def tested_entries(texts: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets)
+        sender = Sender(buckets, across=True)
         for batch in batches:
             shingles, text, edges = shingle_sets(batch.column("text"))
             node = digests(shingles, edges)
@@ -115,14 +116,18 @@ def tested_entries(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def shared_counts(entries: DataFrame, buckets: int) -> DataFrame:
-    """(owner, shared): how many of a node's keys another node has too; nodes without any are not there."""
+    """(owner, shared): how many of a node's keys another node has too; nodes without any are not there.
+
+    A key may count more than once, which only lets more nodes pass.
+    """
 
     def matched(table: pa.Table) -> pa.Table:
-        keys, owners = distinct_by_key(*unpacked(table))
+        keys, owners = distinct_by_key(*unpacked(table, settled=False))
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
         sizes = np.diff(np.append(heads, len(keys)))
-        owners, counts = np.unique(owners[np.repeat(sizes > 1, sizes)], return_counts=True)
-        return pa.Table.from_batches(packed_by(owner_bucket(owners, buckets), counts, owners), pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())]))
+        known = unpacked(table, settled=True)[1]
+        owners, counts = np.unique(np.concatenate([owners[np.repeat(sizes > 1, sizes)], known]), return_counts=True)
+        return pa.Table.from_batches(packed_by(owner_bucket(owners, buckets), counts, owners), SCHEMA)
 
     def added(table: pa.Table) -> pa.Table:
         counts, owners = unpacked(table)
@@ -173,7 +178,10 @@ def keys_udf(column: str) -> Column:
 
 
 def prefix_index(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): for each node that can link, those of its first shingles, rare to frequent, that others have.
+    """(key, node, n, shared, place): for each node that can link, those of its first shingles, rare to frequent, that others have.
+
+    `shared` is how many of its n shingles others have: a bound of every overlap. `place`
+    counts from 0 and includes the shingles that no other has, which come first.
 
     A node's first shingles are those that no other has; they are not in the result.
     """
@@ -182,11 +190,21 @@ def prefix_index(nodes: DataFrame) -> DataFrame:
     shared = long.join(frequent, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
     need = F.col("n") - may_miss(F.col("n"))
     first = F.slice("keys", F.lit(1), F.greatest(F.lit(0), (F.size("keys") - need + 1).cast("int")))
-    return shared.filter(F.size("keys") >= need).select(F.explode(first).alias("k"), "node", "n").select("k.key", "node", "n")
+    return shared.filter(F.size("keys") >= need).select(
+        F.posexplode(first).alias("at", "k"), "node", "n", F.size("keys").cast("bigint").alias("shared")
+    ).select("k.key", "node", "n", "shared", (F.col("n") - F.col("shared") + F.col("at")).alias("place"))
 
 
-def near_sizes(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def can_link(end: str, other: str) -> Column:
+    """Whether two nodes that share a shingle can link, by their sizes, by what each has in
+    common with anything, and by the shingle's places: of the needed overlap, all is
+    behind the first shingle in common. `end` and `other` end the names of their columns.
+    """
+    n, shared, place = (F.col(f"{c}{end}") for c in ("n", "shared", "place"))
+    n_other, shared_other, place_other = (F.col(f"{c}{other}") for c in ("n", "shared", "place"))
+    need = F.ceil((n + n_other) * PERCENT / (100 + PERCENT))
+    by_size = need <= F.least(n, n_other, shared, shared_other)
+    return by_size & (place <= n - need) & (place_other <= n_other - need)
 
 
 LINK = struct_of(a=LONG, b=LONG)
@@ -234,27 +252,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 def all_links(index: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of all nodes that link to another."""
-    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"))
-    shared = stored(index.join(counts.filter("held > 1"), "key").select("key", "node", "n", "hub", "hub_n"), "index")
-    star = shared.filter((F.col("node") != F.col("hub")) & near_sizes(F.col("n"), F.col("hub_n")))
-    found = stored(links(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), "links")
+    # A hub has the largest part in common with others, as the text has that copies are made of.
+    columns = ["node", "n", "shared", "place"]
+    hub = F.max(F.struct(F.col("shared") / F.col("n"), *columns)).alias("hub")
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("held"), hub)
+    index = index.join(counts.filter("held > 1"), "key")
+    index = stored(index.select("key", *columns, *[F.col(f"hub.{c}").alias(f"{c}_hub") for c in columns]), "index")
+    star = index.filter((F.col("node") != F.col("node_hub")) & can_link("", "_hub"))
+    found = stored(links(star.select(F.col("node_hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), "links")
     labels = components(found)
     for last in (False, True):
-        own = shared.select("key", "node", "n").join(labels, "node", "left")
-        own = own.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        own = index.select("key", *columns).join(labels, "node", "left")
+        own = own.select("key", *columns, F.coalesce("component", "node").alias("component"))
         # Only shingles in several components can still tell something.
         open_ = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         own = stored(own.join(open_.select("key"), "key"), "open")
         if last:
-            other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
+            other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in (*columns, "component")])
             pairs = own.join(other, "key").filter((F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")))
-            pairs = pairs.filter(near_sizes(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+            pairs = pairs.filter(can_link("", "_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
         else:
             by_size = Window.partitionBy("key", F.floor(F.col("n") / 8)).orderBy("n", "node")
-            chain = own.select("node", "component", F.lag("node").over(by_size).alias("a"), F.lag("component").over(by_size).alias("component_a"))
-            pairs = chain.filter(F.col("component") != F.col("component_a")).select("a", F.col("node").alias("b"))
-        found = stored(found.union(links(pairs.distinct(), nodes)), "links")
-        labels = components(found)
+            before = F.lag(F.struct(*columns, "component")).over(by_size).alias("before")
+            chain = own.select(*columns, "component", before)
+            chain = chain.select(*columns, "component", *[F.col(f"before.{c}").alias(f"{c}_b") for c in (*columns, "component")])
+            pairs = chain.filter((F.col("component") != F.col("component_b")) & can_link("", "_b"))
+            pairs = pairs.select(F.col("node_b").alias("a"), F.col("node").alias("b"))
+        more = stored(links(pairs.distinct(), nodes), "links")
+        if not more.isEmpty():
+            found = found.union(more)
+            labels = components(found)
     return labels
 
 
@@ -270,6 +297,9 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     able = classes.join(shared, F.col("node") == F.col("owner"), "left")
     able = able.filter(F.col("tested") - F.coalesce("shared", F.lit(0)) <= may_miss(F.col("n"))).select("doc_id", "node")
     nodes = stored(sets_of(texts.join(able, "doc_id")), "nodes")
+    # Without the nodes that can't link, others may turn out not to link either.
+    able = stored(prefix_index(nodes).select("node").distinct(), "able")
+    nodes = stored(nodes.join(able, "node"), "nodes")
     labels = all_links(stored(prefix_index(nodes), "prefixes"), nodes)
     known = sets.filter("n > 0 and doc_id is not null").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
