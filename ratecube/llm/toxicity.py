@@ -1,16 +1,17 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their prefixes of three to five letters. The vocabulary is the TERMS
-terms that go most clearly with the label, by the log odds ratio over all labelled rows; document
-frequencies count all documents. The index holds a bounded sample of EXAMPLES labelled rows that have
+Terms are lower-cased words and their prefixes of three to five letters. The vocabulary is every term
+that goes clearly with the label, by the log odds ratio over all labelled texts, equal texts counted
+once; document frequencies count all documents. Vectors have all these terms, the index those that its
+examples have. The index holds a bounded sample of EXAMPLES labelled rows that have
 a term, in blocks with the largest weight of each term in each block. A query takes blocks in the
 order of their bounds and stops where no bound reaches its K-th best cosine, so its neighbours are the
 exact ones. Votes weigh 1 / (1.05 - cosine); an isotonic fit on the examples, each judged by the
 others, turns the share of toxic votes into a probability. A text without a term gets the smoothed
 share of toxic rows among such labelled rows.
 
-Defined cases: a null or empty text has no term; several labels for one id count as the largest; null
-labels are left out; without a toxic row all scores are 0; ties between examples go to the smaller id;
+Defined cases: a null or empty text has no term; several labels for one id, or for equal texts when
+terms are chosen, count as the largest; null labels are left out; without a toxic row all scores are 0; ties between examples go to the smaller id;
 repeated rows are scored each for itself.
 """
 
@@ -22,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.llm.common import DOUBLE, INT, LONG, STRING, bounded_batches, list_of, stored, struct_of
 
-TERMS = 512
 LEAST_TOXIC = 3
 LEAST_LOG_ODDS, LEAST_Z = 1.0, 3.0
 #: The bounded sample of labelled rows that the index holds; they are chosen by the hash of their ids.
@@ -67,30 +67,36 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def vocabulary(labelled: DataFrame) -> list[str]:
-    """The terms that go with the label, from (text, toxic) rows; all of them count."""
-    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
+def vocabulary(rows: DataFrame, known: DataFrame) -> list[str]:
+    """The terms that go with the label, from (doc_id, text) rows and (doc_id, toxic) labels; all texts count, equal ones once."""
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    # One id for each text: only digests meet for that, so that texts are moved once.
+    texts = rows.select("doc_id", "digest").join(known, "doc_id").groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    texts = stored(texts, "labelled")
+    total = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     if not total["toxic"]:
         return []
     n_toxic, n_other = float(total["toxic"]), float(total["n"] - total["toxic"])
+    labelled = rows.join(texts.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     counts = labelled.select("text", "toxic").mapInArrow(term_counts, COUNTS)
     sums = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).filter(F.col("a") >= LEAST_TOXIC)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (F.lit(n_toxic + 1) - a)) - F.log(b / (F.lit(n_other + 1) - b))
     ranked = sums.select("term", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    chosen = ranked.filter((F.col("odds") > LEAST_LOG_ODDS) & (F.col("z") > LEAST_Z)).orderBy(F.desc("z"), "term").limit(TERMS)
-    return [r.term for r in chosen.collect()]
+    chosen = ranked.filter((F.col("odds") > LEAST_LOG_ODDS) & (F.col("z") > LEAST_Z)).select("term")
+    return sorted(chosen.toArrow().column("term").to_pylist())
 
 
 VECTOR = struct_of(ids=list_of(INT), counts=list_of(INT))
 
 
-def vector_udf(terms: list[str]):
-    places = {t: i for i, t in enumerate(terms)}
+def vector_udf(spark: SparkSession, terms: list[str]):
+    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
     cache: dict[str, tuple[int, ...]] = {}
 
     @F.arrow_udf(VECTOR)
     def vectors(texts: pa.Array) -> pa.Array:
+        places = shared.value
         ids, counts = [], []
         for text in texts:
             found: Counter = Counter()
@@ -120,16 +126,21 @@ class Index:
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.toxic = np.array([r[1] for r in rows], np.float64)
         self.n_blocks = -(-len(rows) // BLOCK)
-        entries = [(t, i, w) for i, r in enumerate(rows) for t, w in zip(r[2], self.weights(r[2], r[3]), strict=True)]
-        entries.sort()
-        term = np.array([e[0] for e in entries], np.int64)
-        self.example = np.array([e[1] for e in entries], np.int64)
-        self.weight = np.array([e[2] for e in entries])
-        cell = term * self.n_blocks + self.example // BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(n_terms, self.n_blocks)
+        none = np.empty(0, np.int64)
+        term = np.concatenate([none, *(np.array(r[2], np.int64) for r in rows)])
+        example = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        weight = np.concatenate([np.empty(0), *(self.weights(r[2], r[3]) for r in rows)])
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        # Only terms of examples have cells, and only in blocks where they occur.
+        held, term = np.unique(term[order], return_inverse=True)
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[held] = np.arange(len(held))
+        cells, first = np.unique(term * self.n_blocks + self.example // BLOCK, return_index=True)
+        self.first = np.append(first, len(term))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.block = cells % max(1, self.n_blocks)
+        self.cells = np.searchsorted(cells, np.arange(len(held) + 1) * self.n_blocks)
         self.values, self.scores = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         self.nothing = 0.0
 
@@ -140,17 +151,24 @@ class Index:
     def nearest(self, ids: list[int], counts: list[int], k: int = K, but: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a cosine over 0; `but` is left out."""
         query = self.weights(ids, counts)
-        terms = np.array(ids)
-        bound = query @ self.most[terms]
+        place = self.place[ids]
+        query, place = query[place >= 0], place[place >= 0]
+        start, many = self.cells[place], self.cells[place + 1] - self.cells[place]
+        cell = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+        query = np.repeat(query, many)
+        order = np.argsort(self.block[cell], kind="stable")
+        cell, query = cell[order], query[order]
+        bound = np.bincount(self.block[cell], query * self.most[cell], self.n_blocks)
+        of_block = np.searchsorted(self.block[cell], np.arange(self.n_blocks + 1))
         best: list[tuple[float, int, int]] = []
         for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] <= 0 or (len(best) >= k and bound[block] < best[k - 1][0] * -1 - 1e-12):
                 break
             score = np.zeros(BLOCK)
-            for q, cell in zip(query.tolist(), (terms * self.n_blocks + block).tolist(), strict=True):
-                a, b = self.start[cell], self.start[cell + 1]
-                if a < b:
-                    score[self.example[a:b] - block * BLOCK] += q * self.weight[a:b]
+            own = slice(of_block[block], of_block[block + 1])
+            for q, c in zip(query[own].tolist(), cell[own].tolist(), strict=True):
+                a, b = self.first[c], self.first[c + 1]
+                score[self.example[a:b] - block * BLOCK] += q * self.weight[a:b]
             for i in np.flatnonzero(score > 0).tolist():
                 example = block * BLOCK + i
                 if example != but:
@@ -207,15 +225,14 @@ def scores(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str =
     rows = rows.withColumn("learn", F.coalesce(learn, F.lit(False)))
     # Merged at every size: broadcast labels would hide what the join moves once they have grown.
     known = known.hint("merge")
-    labelled = rows.filter("learn").join(known, "doc_id")
-    terms = vocabulary(labelled)
-    vectors = stored(rows.select("doc_id", "learn", vector_udf(terms)(F.col("text")).alias("v")).select("doc_id", "learn", "v.*"), "vectors")
+    terms = vocabulary(rows.filter("learn"), known)
+    vectors = stored(rows.select("doc_id", "learn", vector_udf(spark, terms)(F.col("text")).alias("v")).select("doc_id", "learn", "v.*"), "vectors")
     index = None
     if terms:
         n = vectors.count()
-        counts = vectors.select(F.explode("ids").alias("id")).groupBy("id").count().collect()  # TERMS rows at most
+        counts = vectors.select(F.explode("ids").alias("id")).groupBy("id").count().toArrow()  # a row for each term
         frequency = np.zeros(len(terms))
-        frequency[[r["id"] for r in counts]] = [r["count"] for r in counts]
+        frequency[counts.column("id").to_numpy()] = counts.column("count").to_numpy()
         judged = vectors.filter("learn").join(known, "doc_id")
         bare = judged.filter(F.size("ids") == 0).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
         chosen = judged.filter(F.size("ids") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "ids", "counts").limit(EXAMPLES)

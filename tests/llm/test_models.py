@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ratecube.llm import language_id, toxicity
@@ -49,6 +50,21 @@ def test_no_toxic_label_scores_nothing(spark):
     assert toxicity.scores(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_toxic_words_stay_terms_beside_long_texts(spark, copies):
+    """Twenty toxic texts of 250 words each, equal or almost, and a word of eight other toxic texts."""
+    rng = random.Random(6)
+    long = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(250)]
+    texts = [(" ".join(long) + (" twin" if copies else f" twin{i}"), 1) for i in range(20)]
+    texts += [(f"some plain words {i} vilest", 1) for i in range(8)] + [(f"some plain words {i} here", 0) for i in range(200)]
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(texts)), (500, "plain words vilest")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.col("doc_id") < 500).collect()}
+    assert got[500].score >= toxicity.THRESHOLD and all(20 <= e.doc_id < 28 for e in got[500].evidence) and got[500].evidence
+    assert bool(got[0].evidence) != copies
+    assert got[100].score < 0.5
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     examples = []
