@@ -56,6 +56,24 @@ def test_licenses_found_and_near_misses(spark):
     assert (got[4].n_units, got[6].n_units, got[4].best_dice) == (0, 0, None)
 
 
+def test_licenses_in_runs_of_lines_and_sentences(spark):
+    gpl = licenses.BODIES["GPL-3.0"].split()
+    texts = [
+        "First some words.\nReleased under the\nMIT License.\nAnd then many other words that say other things.",
+        "This text is about trees. Licensed under the Apache License, Version 2.0. It goes on about leaves.",
+        "Copyright (c) 2020 A. Person\n\n" + licenses.BODIES["MIT"].replace(", ", ",\n") + "\n\n" + "more words " * 300,
+        "int main;\n" * 50 + "\n".join("# " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)) + "\nimport this\n" * 50,
+        licenses.BODIES["ISC"],
+        licenses.BODIES["BSD-2-Clause"] + "\n" + "code X here\n" * 40,
+        "Released under the old bridge.\nThe MIT is a school.\nA License to drive.",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(table, ["doc_id"]).collect()}
+    assert [got[i].best_license for i in range(7)] == ["MIT", "Apache-2.0", "MIT", "GPL-3.0", "ISC", "BSD-2-Clause", None]
+    assert [got[i].licenses for i in (0, 1, 2, 4, 6)] == ["MIT", "Apache-2.0", "MIT", "ISC", ""]
+    assert got[0].best_dice == got[1].best_dice == 1.0 and got[0].n_matches == 1
+
+
 def test_decontamination(spark, docs, no_docs, rows_of_text):
     long = rows_of_text[12].split()
     items = [(1, " ".join(long[3:30])), (2, "one"), (3, "A, B c"), (10, " ".join(long[5:18])), (4, None), (5, ""), (None, long[0]), (2, "ab ab")]
