@@ -285,11 +285,11 @@ def all_links(index: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
-def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row."""
+def described_sets(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, tested, node) of each row, `key` a hash of its text; and, where there is an id and a set, these with the component."""
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = stored(rows.select("doc_id", described(F.col("text")).alias("s")).select("doc_id", "s.*"), "sets")
+    sets = stored(rows.select("doc_id", F.xxhash64("text").alias("key"), described(F.col("text")).alias("s")).select("doc_id", "key", "s.*"), "sets")
     texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     buckets = bucket_count(texts, "text")
     shared = stored(shared_counts(tested_entries(texts, buckets), buckets), "shared")
@@ -301,7 +301,12 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     able = stored(prefix_index(nodes).select("node").distinct(), "able")
     nodes = stored(nodes.join(able, "node"), "nodes")
     labels = all_links(stored(prefix_index(nodes), "prefixes"), nodes)
-    known = sets.filter("n > 0 and doc_id is not null").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sets, sets.filter("n > 0 and doc_id is not null").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row."""
+    sets, known = described_sets(documents, doc_id, text)
     least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     whole = known.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -309,9 +314,14 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with the columns it came with; rows without an id stay."""
-    own = free_name(documents, "kept_id")
-    found = join(documents, doc_id, text)
-    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct(), "kept")
-    some = documents.join(kept, F.col(doc_id) == F.col(own)).drop(own).dropDuplicates([doc_id])
+    """One document of each component, that with the smallest id and then node, with the columns it came with; rows without an id stay.
+
+    Where an id has several texts, each is judged by its own component.
+    """
+    own, key = free_name(documents, "kept_id"), free_name(documents, "kept_key")
+    sets, known = described_sets(documents, doc_id, text)
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "node", "key")).alias("row")).select("row.doc_id", "row.key")
+    empty = sets.filter("n = 0 and doc_id is not null").select("doc_id", "key").distinct()
+    kept = stored(first.union(empty).select(F.col("doc_id").alias(own), F.col("key").alias(key)), "kept")
+    some = documents.join(kept, (F.col(doc_id) == F.col(own)) & (F.xxhash64(text) == F.col(key))).dropDuplicates([doc_id, key]).drop(own, key)
     return some.unionByName(documents.filter(F.col(doc_id).isNull()))

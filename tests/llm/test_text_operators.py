@@ -134,6 +134,12 @@ def test_jaccard_components(docs, no_docs):
     assert left.columns == docs.columns and left.count() == len(own)
 
 
+def test_texts_of_one_id_are_judged_each_for_itself(spark):
+    copy, clean = "some words that two documents have alike", "quite other words that no other document has"
+    table = spark.createDataFrame([(1, copy), (2, copy), (2, clean), (2, clean), (3, ""), (3, clean + " at all")], "doc_id int, text string")
+    assert rows(ngram_join.deduplicated(table)) == sorted([(1, copy), (2, clean), (3, ""), (3, clean + " at all")], key=repr)
+
+
 def test_chains_of_near_copies_are_one_component(spark):
     """Each text is near its neighbours only, so that most pairs don't link, and rounds must find the rest."""
     words = [f"w{i}" for i in range(400)]
