@@ -447,7 +447,7 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with
     bounded_batches(spark)
     row, hashes, found = (free_name(documents, c) for c in ("row_key", "anchor_hashes", "cut"))
     # Rows that are alike have one key and one result.
-    keyed = documents.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = documents.withColumn(row, F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text)))
     plain = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(
         F.col("doc_id").isNotNull() & (F.octet_length("text") >= SIZE)
     )

@@ -110,6 +110,11 @@ def test_suffix_array_dedup(docs, no_docs):
     assert left.columns == docs.columns and left.count() == sum(w[2] < w[1] or w[1] == 0 for w in want)
 
 
+def test_suffix_array_dedup_takes_int_ids(docs):
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert rows(suffix_dedup.report(ids)) == rows(suffix_dedup.report(docs))
+
+
 def test_phrases(docs, no_docs):
     want = expected(docs, lambda own: brute.phrases_removed([t for _, t in own]))
     assert sum(w[2] > 0 for w in want) >= 8
