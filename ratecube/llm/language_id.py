@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ratecube.llm.common import DOUBLE, INT, STRING, bounded_batches, list_of, struct_of, utf8_buffer
 
-#: The sample: at most so many documents of each language, of at most so many bytes each.
+#: The sample: at most so many distinct texts of each language, of at most so many bytes each; of longer ones a run of words.
 SAMPLE_DOCUMENTS = 150
 SAMPLE_BYTES = 6000
 #: More languages than this are refused.
@@ -272,17 +272,21 @@ LABELLED = struct_of(lang_pred=STRING, score=DOUBLE, runs=list_of(struct_of(firs
 
 
 def sample(training: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """(text, language) of at most SAMPLE_DOCUMENTS rows of each language, chosen by the hash of the id."""
-    usable = training.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
-    picked = (
-        usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-        .filter(F.col("place") <= SAMPLE_DOCUMENTS)
-        .select("id")
-        .distinct()
-    )
-    rows = usable.join(F.broadcast(picked), F.col(doc_id) == F.col("id"), "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    return sorted((r.t, r.l) for r in rows.limit(SAMPLE_DOCUMENTS * MAX_LANGUAGES).collect())
+    """(text, language) of at most SAMPLE_DOCUMENTS distinct texts of each language, chosen by the hash of the id.
+
+    Texts without a letter take no place. Texts over SAMPLE_BYTES come after all others, and of these only whole words at
+    the beginning are taken, from the first letter on.
+    """
+    usable = training.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    usable = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.col(text).alias("t"), F.sha2(text, 256).alias("digest"))
+    long = F.octet_length("t") > SAMPLE_BYTES
+    texts = usable.groupBy("l", "digest").agg(F.min("id").alias("id"), F.first(long).alias("long"))
+    order = Window.partitionBy("l").orderBy("long", F.xxhash64("id"), "id", "digest")
+    picked = texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCUMENTS).select("l", "digest", "id")
+    same = [usable[c].eqNullSafe(picked[c]) for c in ("l", "digest", "id")]
+    run = F.regexp_replace(F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, SAMPLE_BYTES // 4), r"(?<=\s)\S+$", "")
+    rows = usable.join(F.broadcast(picked), same, "left_semi").select("l", "digest", F.when(long, run).otherwise(F.col("t")).alias("t"))
+    return sorted((r.t, r.l) for r in rows.dropDuplicates(["l", "digest"]).collect())
 
 
 def labeller(training: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Labeller | None:

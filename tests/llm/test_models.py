@@ -109,6 +109,18 @@ def test_forward_backward_is_exact(monkeypatch):
             assert np.allclose(total / total.sum(axis=1, keepdims=True), gamma[a:b])
 
 
+def test_sample_takes_distinct_texts_and_long_ones_last(spark):
+    long = "1. 2. " * 2000 + "ein langer text " * 1000
+    rows = [(i, "copied words", "aa") for i in range(1000)] + [(1000 + i, f"own words {i}", "aa") for i in range(20)]
+    rows += [(2000 + i, "1234", "bb") for i in range(300)] + [(3000, "petit texte", "bb"), (3001, "petit texte", "bb"), (4000, long, "cc"), (4001, None, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, "doc_id", "text", "lang")
+    assert sorted(t for t, lang in got if lang == "aa") == sorted(["copied words", *(f"own words {i}" for i in range(20))])
+    assert [t for t, lang in got if lang == "bb"] == ["petit texte"]
+    (only,) = [t for t, lang in got if lang == "cc"]
+    assert long.endswith(only + long[len(only) + 12_000 :]) and only.startswith("ein langer text") and 1000 < len(only) <= language_id.SAMPLE_BYTES
+
+
 def test_language_of_held_out_and_switched_texts(spark):
     rng = random.Random(2)
     ends = {"aa": ["ung", "heit", "lich"], "bb": ["tion", "ment", "eux"], "cc": ["ado", "ción", "osa"]}
