@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
+from ratecube.llm import byte_bpe, clustering, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents_of(spark, sf_dir))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_phrase_dedup": op9_phrase_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_centroid_clustering": op11_centroid_clustering,
     }
 
 
@@ -103,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_dedup": sql.STRINGS,
         "op9_phrase_dedup": sql.PHRASES,
         "op10_ngram_join": sql.COMPONENTS,
+        "op11_centroid_clustering": sql.clusters(),
     }

@@ -179,3 +179,42 @@ SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
        sha256(unhex(coalesce(k, ''))) AS kept_sha256
 FROM plain LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
+
+
+def _round(k: int) -> str:
+    """Assignment k, and the centroids that follow from it."""
+    return f"""
+assigned{k} AS MATERIALIZED (
+    SELECT i, min({{{{'d': d, 'n': n}}}}) AS best
+    FROM (
+        SELECT i, n, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM vectors, centroids{k}
+    ) GROUP BY i
+),
+centroids{k + 1} AS MATERIALIZED (
+    SELECT n, coalesce(mean, c) AS c FROM centroids{k} LEFT JOIN (
+        SELECT n, list((total - ((total % size) + size) % size) // size ORDER BY j) AS mean
+        FROM (
+            SELECT best.n AS n, j, sum(v[j])::BIGINT AS total, count(*) AS size
+            FROM assigned{k} JOIN vectors USING (i), (SELECT unnest(range(1, 65)) AS j) GROUP BY ALL
+        ) GROUP BY n
+    ) USING (n)
+)"""
+
+
+def clusters(rounds: int = 5) -> str:
+    steps = ",".join(_round(k) for k in range(rounds + 1)).replace("{{", "{").replace("}}", "}")
+    return f"""
+WITH vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY hash, v) - 1 AS n, v AS c
+    FROM (SELECT sha256('2:' || vec_id) AS hash, v FROM vectors ORDER BY hash, v LIMIT 40)
+),{steps}
+SELECT vec_id, best.n::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.n))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM assigned{rounds} JOIN vectors USING (i) JOIN centroids{rounds} ON centroids{rounds}.n = best.n
+"""
