@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, clustering, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, sharding, sql, suffix_dedup, toxicity
+from ratecube.llm import byte_bpe, clustering, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, set_sketch, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.join(documents_of(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -97,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op9_phrase_dedup": op9_phrase_dedup,
         "op10_ngram_join": op10_ngram_join,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_setsketch_dedup": op12_setsketch_dedup,
     }
 
 
@@ -109,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_phrase_dedup": sql.PHRASES,
         "op10_ngram_join": sql.COMPONENTS,
         "op11_centroid_clustering": sql.clusters(),
+        "op12_setsketch_dedup": sql.NEAR_COPIES,
     }

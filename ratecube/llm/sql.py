@@ -136,13 +136,14 @@ SELECT p.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed
 FROM plain p LEFT JOIN kept USING (doc_id)
 """
 
-COMPONENTS = rf"""
+#: Components by the sets of shingles of `{size}` words, linked from `{percent}` of 100 on.
+_COMPONENTS = rf"""
 WITH RECURSIVE plain AS (
     SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '{PLAIN_WORD}') AS words FROM documents
 ),
 shingles AS MATERIALIZED (
-    SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
-    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM plain WHERE len(words) > 0)
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + {{size}} - 1], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - {{size}} + 2))) AS i FROM plain WHERE len(words) > 0)
 ),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
@@ -150,7 +151,7 @@ pairs AS (
     FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ),
 links AS MATERIALIZED (
-    SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common >= 85 * (s.n + t.n - common)
+    SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common >= {{percent}} * (s.n + t.n - common)
 ),
 reached AS (
     SELECT doc_id, doc_id AS other FROM documents
@@ -161,6 +162,9 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+COMPONENTS = _COMPONENTS.format(size=4, percent=85)
+NEAR_COPIES = f"SELECT *, doc_id = component_id AS kept FROM ({_COMPONENTS.format(size=2, percent=80)})"
+
 #: Bytes are pairs of hexadecimal digits here.
 STRINGS = """
 WITH plain AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),

@@ -89,9 +89,9 @@ def shingles(text, size=4):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def jaccard_components(rows, percent=85):
+def jaccard_components(rows, percent=85, size=4):
     """(number of shingles, smallest id reached) for (doc_id, text) rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
