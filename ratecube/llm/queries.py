@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratecube.llm import byte_bpe, clustering, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, set_sketch, sharding, sql, suffix_dedup, toxicity
+from ratecube.llm import ball_search, byte_bpe, clustering, decontaminate, language_id, licenses, ngram_join, phrase_dedup, quality, set_sketch, sharding, sql, suffix_dedup, toxicity
 from ratecube.llm.common import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op12_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_sketch.join(documents_of(spark, sf_dir))
 
 
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -102,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op10_ngram_join": op10_ngram_join,
         "op11_centroid_clustering": op11_centroid_clustering,
         "op12_setsketch_dedup": op12_setsketch_dedup,
+        "op13_ball_tree_search": op13_ball_tree_search,
     }
 
 
@@ -115,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_ngram_join": sql.COMPONENTS,
         "op11_centroid_clustering": sql.clusters(),
         "op12_setsketch_dedup": sql.NEAR_COPIES,
+        "op13_ball_tree_search": sql.RANKED,
     }

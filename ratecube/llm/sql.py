@@ -185,6 +185,34 @@ FROM plain LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 
+#: Characters of the terms of the ranked search.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = rf"""
+WITH doc_terms AS MATERIALIZED (
+    SELECT row, doc_id, term, count(*) AS tf
+    FROM (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(coalesce({LOWERED}, ''), '{TERM}')) AS term FROM documents) GROUP BY ALL
+),
+sizes AS MATERIALIZED (SELECT row, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY row),
+totals AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM doc_terms GROUP BY term), totals
+),
+item_terms AS (
+    SELECT item_id, unnest(regexp_extract_all(coalesce({LOWERED}, ''), '{TERM}')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)
+),
+scores AS (
+    SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+    FROM item_terms JOIN weights USING (term) JOIN doc_terms USING (term) JOIN sizes USING (row), totals GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 def _round(k: int) -> str:
     """Assignment k, and the centroids that follow from it."""
     return f"""
