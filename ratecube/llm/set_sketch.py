@@ -16,9 +16,9 @@ have to be drawn before every register has its least, however many elements ther
   estimate by a factor of e ** 18, which is six standard deviations.
 * What is left is verified on the full sets.
 
-Candidates are formed against one node of each band value first, then against one node of another component, and
-last between all nodes of a band value that are still in different components and whose sizes allow a link: no
-pair within a known component is made, and no band value is gathered in one task.
+Candidates are formed against one node of each band value first, then against one node of another component. What is
+still in several components under one band value then meets by rare shingles, under exact bounds of the overlap
+(`rest_of_pairs`). No pair within a known component is made, and no band value is gathered in one task.
 
 Defined cases: a null or empty text has an empty set, linked with nothing; rows without an id have no component
 and are kept; rows that repeat an id and a text are one node; different texts under one id are nodes of their
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ratecube.llm.anchors import MIX, MIX2, mixed, planes, unplaned
 from ratecube.llm.common import BINARY, LONG, bounded_batches, list_of, stored, struct_of, utf8_buffer
-from ratecube.llm.ngram_join import components
+from ratecube.llm.ngram_join import components, keys_udf
 from ratecube.llm.words import LOWERED, word_hashes, words_of
 
 SHINGLE = 2
@@ -149,8 +149,8 @@ def sketch_udf(shingle: int):
     def sketched(texts: pa.Array) -> pa.Array:
         rows = []
         for s in shingle_sets(texts, shingle):
-            names = [np.add.reduce(mixed(s ^ salt)) + np.uint64(len(s)) * salt for salt in (MIX, MIX2)]
-            rows.append((len(s), *[int(x.view(np.int64)) for x in names], sketch(s).tobytes() if len(s) else None))
+            names = [mixed(s ^ salt).sum(dtype=np.uint64, keepdims=True).view(np.int64) for salt in (MIX, MIX2)]
+            rows.append((len(s), *[int(x[0]) for x in names], sketch(s).tobytes() if len(s) else None))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         kinds = [pa.int64()] * 3 + [pa.binary()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], SKETCH.names)
@@ -234,11 +234,45 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(verified(stored(promising(pairs, nodes), "promising"), sets), "links")
 
 
+def open_entries(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, number, component, high) of the band values in several components; `high` is the last of these."""
+    own = shared.join(labels.withColumnRenamed("node", "number"), "number", "left").select("key", "number", F.coalesce("component", "number").alias("component"))
+    ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return stored(own.join(ends, "key").select("key", "number", "component", "high"), "open")
+
+
+def rest_of_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) pairs of these nodes, of different components, that exact bounds of their sets allow to link.
+
+    Only shingles that occur in several components can be in common. With all others first, then these from rare to
+    frequent, two sets that need an overlap of o share one of the first n - o + 1 shingles of either, and have the
+    rest of the overlap behind it. So copies with many changes of their own meet no one by what all copies have.
+    """
+    long = nodes.join(sets, "number").select("number", "component", F.explode(keys_udf("shingles")).alias("s"))
+    counts = long.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    crossing = long.join(counts.filter("low <> high").select("s", "df"), "s")
+    crossing = crossing.groupBy("number", "component").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("keys"))
+    sizes = sets.select("number", (F.length("shingles") / 8).cast("bigint").alias("n"))
+    held = crossing.join(sizes, "number").withColumn("held", F.size("keys").cast("bigint"))
+    least = F.floor((F.col("n") * PERCENT + 99) / 100)
+    first = F.slice("keys", F.lit(1), F.greatest(F.lit(0), (F.col("held") - least + 1).cast("int")))
+    index = held.filter(F.col("held") >= least).select("number", "component", "n", "held", F.posexplode(first).alias("at", "k"))
+    index = index.select("k.s", "number", "component", "n", "held", (F.col("n") - F.col("held") + F.col("at")).alias("place"))
+    # Prefixes of one component only tell nothing.
+    both = index.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    index = stored(index.join(both.select("s"), "s"), "prefixes")
+    other = index.select("s", *[F.col(c).alias(f"{c}_b") for c in ("number", "component", "n", "held", "place")])
+    need = F.ceil((F.col("n") + F.col("n_b")) * PERCENT / (100 + PERCENT))
+    pairs = index.join(other, "s").filter((F.col("number") < F.col("number_b")) & (F.col("component") != F.col("component_b")))
+    pairs = pairs.filter((need <= F.least("n", "n_b", "held", "held_b")) & (F.col("place") <= F.col("n") - need) & (F.col("place_b") <= F.col("n_b") - need))
+    return pairs.select(F.col("number").alias("a"), F.col("number_b").alias("b"))
+
+
 def node_components(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, component) of the nodes that link to another."""
-    entries = nodes.select(F.explode(band_keys("registers")).alias("key"), "number", "n")
+    entries = nodes.select(F.explode(band_keys("registers")).alias("key"), "number")
     ends = entries.groupBy("key").agg(F.min("number").alias("first"), F.max("number").alias("last")).filter("first < last")
-    shared = stored(entries.join(ends, "key").select("key", "number", "n", "first"), "bands")
+    shared = stored(entries.join(ends, "key").select("key", "number", "first"), "bands")
     # Only these nodes are ever compared; texts move once.
     nodes = stored(nodes.join(shared.select("number").distinct(), "number"), "candidates")
     sets = stored(full_sets(texts, nodes, shingle), "full-sets")
@@ -246,14 +280,9 @@ def node_components(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFra
     found = links(star, nodes, sets)
     tested, labels = star, components(found)
     for last in (False, True):
-        own = shared.join(labels.withColumnRenamed("node", "number"), "number", "left")
-        own = own.select("key", "number", "n", F.coalesce("component", "number").alias("component"))
-        open_ = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        own = stored(own.join(open_, "key"), "open")
+        own = open_entries(shared, labels)
         if last:
-            other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("number", "n", "component")])
-            pairs = own.join(other, "key").filter("component <> component_b and number < number_b").filter(sizes_fit(F.col("n"), F.col("n_b")))
-            pairs = pairs.select(F.col("number").alias("a"), F.col("number_b").alias("b"))
+            pairs = rest_of_pairs(own.select("number", "component").distinct(), sets)
         else:
             # One node of the highest component of each band value, with all nodes of other components.
             hubs = own.filter("component = high").groupBy("key").agg(F.min("number").alias("hub"))
