@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, groupby
 
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecube.llm.common import BINARY, INT, LONG, STRING, bounded_batches, list_of, struct_of, utf8_buffer
+from ratecube.llm.common import BINARY, INT, LONG, STRING, bounded_batches, list_of, release_memory, struct_of, utf8_buffer
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHED_PIECES = 300_000
+#: The cache of merged pieces holds about so many bytes at most, of pieces of up to TOGETHER bytes.
+CACHE_BYTES = 24 << 20
+#: What an entry takes beside its bytes.
+ENTRY_BYTES = 180
 #: Longer pieces are merged one by one, the rest together.
 TOGETHER = 48
 
@@ -201,6 +205,7 @@ class Vocabulary:
             self.probes = max(self.probes, at - slot + 1)
         self.keys, self.values = keys, values
         self.cache: dict[bytes, bytes] = {}
+        self.cached = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -281,11 +286,8 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
-        cache = self.cache
+        cache, long = self.cache, {}
         missing = set(pieces).difference(cache)
-        if len(cache) + len(missing) > CACHED_PIECES:
-            cache.clear()
-            missing = set(pieces)
         together = []
         for piece in missing:
             rank = self.ranks.get(piece)
@@ -294,14 +296,21 @@ class Vocabulary:
             elif len(piece) <= TOGETHER:
                 together.append(piece)
             else:
-                cache[piece] = np.array(self.merge_one(piece), "<u4").tobytes()
+                long[piece] = np.array(self.merge_one(piece), "<u4").tobytes()
         together.sort(key=len)
         for _, same in groupby(together, len):
             same = list(same)
             for at in range(0, len(same), 8_000):
                 some = same[at : at + 8_000]
                 cache.update(zip(some, self.merge_together(some), strict=True))
-        return [cache[p] for p in pieces]
+        out = [cache[p] if p in cache else long[p] for p in pieces] if long else [cache[p] for p in pieces]
+        self.cached += sum(len(p) + len(cache[p]) + ENTRY_BYTES for p in missing if p in cache)
+        if self.cached > CACHE_BYTES:
+            self.forget()
+        return out
+
+    def forget(self) -> None:
+        self.cache, self.cached = {}, 0
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -351,9 +360,8 @@ ENCODED = struct_of(ids=list_of(INT), piece_offsets=list_of(LONG))
 
 
 def digest_udf(path: str):
-    @F.arrow_udf(DIGEST)
-    def digest(texts: pa.Array) -> pa.Array:
-        known, rows = vocabulary(path), []
+    def digest_of(texts: pa.Array, known: Vocabulary) -> pa.Array:
+        rows = []
         for ids, offsets in encode_texts(texts, known):
             back = known.decode(np.frombuffer(ids, "<u4"))
             rows.append((len(ids) // 4, len(offsets), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
@@ -362,6 +370,14 @@ def digest_udf(path: str):
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    @F.arrow_udf(DIGEST)
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = vocabulary(path)
+        for texts in batches:
+            yield digest_of(texts, known)
+        known.forget()
+        release_memory()
+
     return digest
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -52,6 +56,27 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what a task no longer needs back to the system: a Python worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task's batches, after which memory is released."""
+
+    @wraps(work)
+    def done(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release_memory()
+
+    return done
+
+
 def free_name(table: DataFrame, wanted: str) -> str:
     """A column name that the table doesn't have yet, whatever the case of its letters."""
     taken = {name.lower() for name in table.columns}

@@ -35,13 +35,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecube.llm.anchors import MIX, PACKED, SCHEMA, Sender, bucket_count, dealt, distinct_pairs, mixed, owner_bucket, packed_by, planes, unpacked, unplaned
-from ratecube.llm.common import BINARY, LONG, bounded_batches, free_name, list_of, stored, struct_of, utf8_buffer
+from ratecube.llm.common import BINARY, LONG, bounded_batches, free_name, list_of, release_memory, releasing, stored, struct_of, utf8_buffer
 from ratecube.llm.words import LOWERED, word_hashes, words_of
 
 SHINGLE = 4
 PERCENT = 85
 #: One shingle in so many is used for the first test.
 TESTED = 3
+#: Texts cut into shingles in one go.
+AT_ONCE = 250
 KEY = np.uint64((1 << 48) - 1)
 
 
@@ -86,13 +88,19 @@ def digests(shingles: np.ndarray, edges: np.ndarray) -> np.ndarray:
 SET = struct_of(n=LONG, tested=LONG, node=LONG)
 
 
-@F.arrow_udf(SET)
-def described(texts: pa.Array) -> pa.Array:
+def description(texts: pa.Array) -> pa.Array:
     shingles, _, edges = shingle_sets(texts)
     columns = [np.diff(edges), sums(tested(shingles).astype(np.int64), edges), digests(shingles, edges)]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["n", "tested", "node"])
 
 
+@F.arrow_udf(SET)
+def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield description(texts)
+    release_memory()
+
+
 def least_overlap(n):
     """What a set of n shingles must have in common with any that it links to."""
     return (PERCENT * n + 99) // 100
@@ -103,9 +111,10 @@ def may_miss(n: Column) -> Column:
 
 
 def tested_entries(texts: DataFrame, buckets: int) -> DataFrame:
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(buckets, across=True)
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             shingles, text, edges = shingle_sets(batch.column("text"))
             node = digests(shingles, edges)
             pick = tested(shingles)
@@ -152,6 +161,7 @@ SETS = struct_of(node=LONG, n=LONG, shingles=BINARY)
 def sets_of(texts: DataFrame) -> DataFrame:
     """(node, n, shingles) of the texts whose digest is the wanted `node`."""
 
+    @releasing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles, _, edges = shingle_sets(batch.column("text"))
@@ -213,6 +223,7 @@ LINK = struct_of(a=LONG, b=LONG)
 def links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The (a, b) pairs that link: products of the pairs' rows, block by block."""
 
+    @releasing
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [unplaned(s.as_py()) for s in batch.column("left")]
