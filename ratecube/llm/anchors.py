@@ -27,9 +27,9 @@ HASH_BITS = 48
 #: Text for which one bucket is made, in bytes: the number of buckets follows the input.
 BUCKET_BYTES = 4 << 20
 #: Symbols looked at in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 #: Packed entries that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ class Sender:
     Keys that recur among the entries held are settled here: their pairs go on as settled
     ones, by owner, and one entry stands for them in the key's bucket. So a key that
     everything has, such as a passage in a third of all documents, comes to its bucket once
-    for each million of entries.
+    for each quarter of a million of entries.
     """
 
     def __init__(self, buckets: int, across: bool):

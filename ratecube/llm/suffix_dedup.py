@@ -37,7 +37,7 @@ from ratecube.llm.anchors import (
     recurring,
     unplaned,
 )
-from ratecube.llm.common import BINARY, LONG, STRING, bounded_batches, free_name, stored, struct_of, utf8_buffer
+from ratecube.llm.common import BINARY, LONG, STRING, bounded_batches, free_name, release_memory, releasing, stored, struct_of, utf8_buffer
 
 SIZE = 50
 GRAM = 16
@@ -238,6 +238,7 @@ def covered_by_smaller(contents: list[bytes], owners: np.ndarray) -> tuple[np.nd
 def entries(documents: DataFrame, buckets: int) -> DataFrame:
     """Packed (anchor, doc_id) pairs of (doc_id, text) rows, each pair once a batch."""
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(buckets, across=True)
         for batch in batches:
@@ -260,6 +261,7 @@ def segments(flagged: DataFrame, buckets: int) -> DataFrame:
     Occurrences of a content that a smaller id of the batch has too are settled: they go on as spans.
     """
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = utf8_buffer(batch.column("text"))
@@ -390,7 +392,10 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
         at = np.repeat(start[which[others]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         base = np.repeat(first[others], times)
         out.append((np.repeat(row[others], times), begin[at] + base, past[at] + base))
-        return packed_spans(*merged_spans(*(np.concatenate(p) for p in zip(*out, strict=True))), buckets)
+        spans = packed_spans(*merged_spans(*(np.concatenate(p) for p in zip(*out, strict=True))), buckets)
+        del contents, out
+        release_memory()
+        return spans
 
     return dealt(packed).groupBy("bucket").applyInArrow(judged, SPANS)
 
