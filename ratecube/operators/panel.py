@@ -7,11 +7,11 @@ cleaned columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ratecube.functions.effects import period_effects_of
 from ratecube.functions.student import critical_t_of, two_sided_p_of
+from ratecube.session import kept
 
 
 def complete_rows(panel: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
@@ -25,67 +25,75 @@ def _with_means(rows: DataFrame, key: str, values: list[str], suffix: str) -> Da
     return rows.join(means, key)
 
 
+#: The solver stops when what is left is so small against the start, or against the values themselves.
+TOLERANCE, FLOOR = 1e-12, 1e-14
+MOST_STEPS = 1000
+
+
 def _period_effects(rows: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
-    """One row (period, effect_y, effect_x): arrays with the effects of the periods.
+    """(period, effect_y, effect_x): least-squares effects of the periods, both variables at once.
 
-    Unit means are taken off by counts: with n(u, t) rows of unit u in period t, the
-    normal matrix of the periods is diag(n(t)) - sum over u of n(u, s) n(u, t) / n(u). Its
-    entries are added up over the executors from pairs of periods of one unit, as many
-    as the square of the periods of that unit; units may be any number. One task
-    solves the matrix, which takes 8 bytes for each pair of periods.
+    With the unit means taken off, the normal matrix of the periods is S = diag(n(t)) - sum over u of n(u, s) n(u, t) / n(u).
+    It is never formed: conjugate gradients need S p only, which is one sum by unit and one by period of the cells
+    (unit, period, n). So neither units nor periods are bounded. Two numbers for each variable come to the driver a
+    step; vectors stay tables, one row for each period, written once a step. A panel of which every unit has all
+    periods takes one step. Raises if TOLERANCE is not met after MOST_STEPS steps.
     """
     cells = rows.groupBy(F.col(unit).alias("unit"), F.col(time).cast("string").alias("period")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("y"), F.sum(x).alias("x")
     )
-    units = cells.groupBy("unit").agg(
-        F.sum("n").alias("unit_n"), F.sum("y").alias("unit_y"), F.sum("x").alias("unit_x")
-    )
-    own = cells.join(units, "unit")
+    units = cells.groupBy("unit").agg(F.sum("n").alias("unit_n"), F.sum("y").alias("unit_y"), F.sum("x").alias("unit_x"))
+    own = kept(cells.join(units, "unit"), "panel-cells")
     part = F.col("n") / F.col("unit_n")
-    periods = own.groupBy("period").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("y") - part * F.col("unit_y")).alias("y"),
-        F.sum(F.col("x") - part * F.col("unit_x")).alias("x"),
-    )
-    other = cells.select("unit", F.col("period").alias("second"), F.col("n").alias("other_n"))
-    pairs = (
-        own.join(other, "unit")
-        .filter("second >= period")  # the matrix is symmetric
-        .groupBy("period", "second")
-        .agg(F.sum(-F.col("n") * F.col("other_n") / F.col("unit_n")).alias("off"))
-    )
-    system = periods.agg(F.sort_array(F.collect_list(F.struct("period", "n", "y", "x"))).alias("p"))
-    matrix = pairs.agg(F.collect_list(F.struct("period", "second", "off")).alias("m"))
-    arrays = [F.col("p")[c] for c in ("period", "n", "y", "x")] + [F.col("m")[c] for c in ("period", "second", "off")]
-    solved = system.crossJoin(matrix).select(
-        F.col("p")["period"].alias("period"), period_effects_of(*arrays).alias("effects")
-    )
-    return solved.select("period", "effects.*")
-
-
-def _clean(rows: DataFrame, effects: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
-    """Values less period effects, less what is left of the unit means; and the number of periods."""
-    each = effects.select(
-        F.size("period").alias("n_times"), F.explode(F.arrays_zip("period", "effect_y", "effect_x")).alias("e")
+    start = own.groupBy("period").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col(v) - part * F.col(f"unit_{v}")).alias(f"r_{v}") for v in "yx"]
     )
-    each = each.select("n_times", F.col("e.period").alias("period"), "e.effect_y", "e.effect_x")
-    moved = rows.join(each, F.col(time).cast("string") == F.col("period")).select(
+    state = start.select("period", "n", *[c for v in "yx" for c in (F.lit(0.0).alias(f"effect_{v}"), F.col(f"r_{v}"), (F.col(f"r_{v}") / F.col("n")).alias(f"p_{v}"))])
+    state = kept(state, "panel-periods")
+    left, scale = _sizes(state), rows.agg(*[F.sqrt(F.sum(F.col(v) * F.col(v))).alias(k) for v, k in ((y, "y"), (x, "x"))]).first()
+    goal = {v: max(TOLERANCE * left[v] ** 0.5, FLOOR * (scale[v] or 0.0)) for v in "yx"}
+    for step in range(MOST_STEPS + 1):
+        live = [v for v in "yx" if left[v] ** 0.5 > goal[v]]
+        if not live:
+            return state.select("period", "effect_y", "effect_x")
+        if step == MOST_STEPS:
+            raise ArithmeticError(f"period effects not found in {MOST_STEPS} steps")
+        seen, moved = Observation(), own.select("unit", "period", "n", "unit_n").join(state.select("period", *[f"p_{v}" for v in live]), "period")
+        means = moved.groupBy("unit").agg(*[F.sum(F.col("n") / F.col("unit_n") * F.col(f"p_{v}")).alias(f"m_{v}") for v in live])
+        products = moved.join(means, "unit").groupBy("period").agg(*[F.sum(F.col("n") * (F.col(f"p_{v}") - F.col(f"m_{v}"))).alias(f"q_{v}") for v in live])
+        counted = state.join(products, "period").observe(seen, *[F.sum(F.col(f"p_{v}") * F.col(f"q_{v}")).alias(v) for v in live])
+        state = kept(counted, "panel-periods")
+        ahead = {v: left[v] / seen.get[v] if seen.get[v] else 0.0 for v in live}
+        state = state.withColumns({f"effect_{v}": F.col(f"effect_{v}") + ahead[v] * F.col(f"p_{v}") for v in live} | {f"r_{v}": F.col(f"r_{v}") - ahead[v] * F.col(f"q_{v}") for v in live})
+        before, left = left, _sizes(state)
+        state = state.withColumns({f"p_{v}": F.col(f"r_{v}") / F.col("n") + left[v] / before[v] * F.col(f"p_{v}") for v in live}).drop(*[f"q_{v}" for v in live])
+
+
+def _sizes(state: DataFrame) -> dict[str, float]:
+    """What is left of both variables, in the measure that the solver makes smaller."""
+    found = state.agg(*[F.coalesce(F.sum(F.col(f"r_{v}") * F.col(f"r_{v}") / F.col("n")), F.lit(0.0)).alias(v) for v in "yx"]).first()
+    return {v: found[v] for v in "yx"}
+
+
+def _clean(rows: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
+    """Values less period effects, less what is left of the unit means."""
+    effects = _period_effects(rows, unit, time, y, x)
+    moved = rows.join(effects, F.col(time).cast("string") == F.col("period")).select(
         *rows.columns,
-        "n_times",
         (F.col(y) - F.col("effect_y")).alias(f"resid_{y}"),
         (F.col(x) - F.col("effect_x")).alias(f"resid_{x}"),
     )
     found = [f"resid_{y}", f"resid_{x}"]
     centred = _with_means(moved, unit, found, "unit")
-    return centred.select(
-        *rows.columns, "n_times", *[(F.col(c) - F.col(f"{c}__unit")).alias(c) for c in found]
-    )
+    return centred.select(*rows.columns, *[(F.col(c) - F.col(f"{c}__unit")).alias(c) for c in found])
 
 
 def two_way_residuals(panel: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
-    """(unit, time, y, x, resid_y, resid_x): y and x free of unit and time effects, for any panel."""
-    rows = complete_rows(panel, unit, time, y, x)
-    return _clean(rows, _period_effects(rows, unit, time, y, x), unit, time, y, x).drop("n_times")
+    """(unit, time, y, x, resid_y, resid_x): y and x free of unit and time effects, for any panel.
+
+    The panel is computed and written once, whatever it is made of.
+    """
+    return _clean(kept(complete_rows(panel, unit, time, y, x), "panel"), unit, time, y, x)
 
 
 def two_way_fit(
@@ -107,9 +115,10 @@ def two_way_fit(
     if errors not in ("iid", "cluster"):
         raise ValueError(f"errors must be 'iid' or 'cluster', not {errors!r}")
     counted = counted_effects or ("full" if errors == "iid" else "nested")
-    rows = complete_rows(panel, unit, time, y, x)
-    clean = _clean(rows, _period_effects(rows, unit, time, y, x), unit, time, y, x).select(
-        "n_times", F.col(unit).alias("unit"), F.col(time).alias("time"),
+    rows = kept(complete_rows(panel, unit, time, y, x), "panel")
+    times = rows.agg(F.count_distinct(F.col(time).cast("string")).alias("n_times"))
+    clean = _clean(rows, unit, time, y, x).select(
+        F.col(unit).alias("unit"), F.col(time).alias("time"),
         F.col(f"resid_{y}").alias("ry"), F.col(f"resid_{x}").alias("rx"),
     )
     # The score of unit g is sum(rx * (ry - b * rx)) = sxy_g - b * sxx_g, so unit
@@ -119,7 +128,6 @@ def two_way_fit(
         F.sum(F.col("rx") * F.col("ry")).alias("sxy"),
         F.sum(F.col("rx") * F.col("rx")).alias("sxx"),
         F.sum(F.col("ry") * F.col("ry")).alias("syy"),
-        F.max("n_times").alias("n_times"),
     )
     sums = units.agg(
         F.sum("n").alias("n_obs"),
@@ -130,8 +138,7 @@ def two_way_fit(
         F.sum(F.col("sxy") * F.col("sxy")).alias("gyy"),
         F.sum(F.col("sxy") * F.col("sxx")).alias("gxy"),
         F.sum(F.col("sxx") * F.col("sxx")).alias("gxx"),
-        F.max("n_times").cast("long").alias("n_times"),
-    )
+    ).withColumn("n_times", F.lit(times.first().n_times))
     n, groups, b = F.col("n_obs"), F.col("n_units"), F.col("estimate")
     parameters = {
         "none": F.lit(1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
-def settle(table: DataFrame) -> DataFrame:
-    """Compute a small intermediate table once and cut its lineage.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for an intermediate file, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
-    For tables that several actions read, such as a panel. The checkpoint is a
-    reliable one, so losing executors does not lose it.
-    """
-    ensure_checkpoint_dir(table.sparkSession)
-    return table.checkpoint()
+
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared checkpoint folder and read it back: computed once, lost by no executor."""
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

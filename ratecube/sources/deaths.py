@@ -6,7 +6,7 @@ from collections import defaultdict
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.functions import codes
@@ -20,6 +20,7 @@ from ratecube.sources.fixed_width import (
     union_by_name,
 )
 from ratecube.sources.layouts import ALL_CAUSE_FIELDS, ALL_YEARS, Field, layout_for, narrow
+from ratecube.sources.tables import write_extract
 
 
 class DeathFile(NamedTuple):
@@ -29,73 +30,119 @@ class DeathFile(NamedTuple):
     path: str | None
 
 
-def _line_is(layout: list[Field], name: str, values: list[str], line: str) -> str:
+#: Positions in files count bytes, which are UTF-8 unless a reader is told otherwise.
+CHARSET = "UTF-8"
+
+
+def _line_is(layout: list[Field], name: str, values: list[str], line: str, charset: str | None = None) -> str:
     (field,) = narrow(layout, [name])
-    return is_in(trimmed_slice(field, line), values)
+    return is_in(trimmed_slice(field, line, charset), values)
 
 
 def homicide_records(
-    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = "value"
+    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = "value", charset: str | None = None
 ) -> DataFrame:
     """All fields of the homicides of state residents.
 
     The two filters read their slices off the line, below the wide projection:
     the other fields are cut only from the lines that pass.
     """
-    wanted = lines.filter(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, line)).filter(
-        _line_is(layout, "state_res_fips", codes.STATES, line)
+    wanted = lines.filter(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, line, charset)).filter(
+        _line_is(layout, "state_res_fips", codes.STATES, line, charset)
     )
-    return parse_fixed_width(wanted, layout, keep, line)
+    return parse_fixed_width(wanted, layout, keep, line, charset)
 
 
 def all_cause_records(
-    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = "value"
+    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = "value", charset: str | None = None
 ) -> DataFrame:
     """Four fields of every death of a state resident."""
-    wanted = lines.filter(_line_is(layout, "state_res_fips", codes.STATES, line))
-    return parse_fixed_width(wanted, narrow(layout, ALL_CAUSE_FIELDS), keep, line)
+    wanted = lines.filter(_line_is(layout, "state_res_fips", codes.STATES, line, charset))
+    return parse_fixed_width(wanted, narrow(layout, ALL_CAUSE_FIELDS), keep, line, charset)
 
 
-def _by_layout(files: list[DeathFile]) -> list[tuple[list[Field], list[str]]]:
-    """One scan per layout instead of one per file; missing files drop out."""
+def _by_layout(files: list[DeathFile], unknown: str = "raise") -> list[tuple[list[Field], list[str]]]:
+    """One scan per layout instead of one per file; missing files drop out. A year without a layout is an error."""
     groups = defaultdict(list)
     for file in files:
         if file.path is not None:
-            groups[tuple(layout_for(file.year))].append(file.path)
+            groups[tuple(layout_for(file.year, unknown))].append(file.path)
     return [(list(layout), paths) for layout, paths in groups.items()]
 
 
-def _read(spark: SparkSession, files: list[DeathFile], records, wanted: list[str] | None) -> DataFrame:
-    parts = [records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
+def _read(spark: SparkSession, files: list[DeathFile], records, wanted: list[str] | None, charset: str, unknown: str) -> DataFrame:
+    parts = [records(read_lines(spark, paths), layout, charset=charset) for layout, paths in _by_layout(files, unknown)]
     if parts:
         return union_by_name(parts)
     # No file at all: no rows, with the fields of the years asked for.
     years = [file.year for file in files] or [ALL_YEARS[1]]
-    layouts = [layout_for(year) for year in years]
+    layouts = [layout_for(year, unknown) for year in years]
     return union_by_name([empty_of(spark, narrow(x, wanted) if wanted else x) for x in layouts])
 
 
-def read_homicides(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
-    return _read(spark, files, homicide_records, None)
+def read_homicides(spark: SparkSession, files: list[DeathFile], charset: str = CHARSET, unknown: str = "raise") -> DataFrame:
+    """Homicides of all files; `unknown` says what to do with a year that has no layout (see `layout_for`)."""
+    return _read(spark, files, homicide_records, None, charset, unknown)
+
+
+def read_all_deaths(spark: SparkSession, files: list[DeathFile], charset: str = CHARSET, unknown: str = "raise") -> DataFrame:
+    return _read(spark, files, all_cause_records, ALL_CAUSE_FIELDS, charset, unknown)
+
+
+def observed_homicides(lines: DataFrame, layout: list[Field], name: str, charset: str | None = None) -> tuple[DataFrame, Observation]:
+    """The homicides of state residents, and counts of the lines that its one scan sees on the way.
+
+    After the table has been written, the observation has n_lines, n_other_cause (not a homicide), n_other_residence (a homicide, but
+    not of a state resident) and n_kept: the audit of an extract without a second pass.
+    """
+    cause, state = (_line_is(layout, *test, "value", charset) for test in (("cause_recode113", codes.HOMICIDE_CAUSES), ("state_res_fips", codes.STATES)))
+    seen = Observation(name)
+    flagged = lines.withColumns({"__cause": F.coalesce(F.expr(cause), F.lit(False)), "__state": F.coalesce(F.expr(state), F.lit(False))})
+    counted = flagged.observe(
+        seen,
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(~F.col("__cause")).alias("n_other_cause"),
+        F.count_if(F.col("__cause") & ~F.col("__state")).alias("n_other_residence"),
+        F.count_if(F.col("__cause") & F.col("__state")).alias("n_kept"),
+    )
+    return parse_fixed_width(counted.filter("__cause AND __state"), layout, charset=charset), seen
+
+
+def write_audited_homicides(spark: SparkSession, files: list[DeathFile], path: str, charset: str = CHARSET, **how) -> DataFrame:
+    """Write the extract of homicides (see `tables.write_extract`) and return its audit, a row for each layout:
+    (first_year, n_lines, n_other_cause, n_other_residence, n_kept), from the scan that wrote it."""
+    parts, audits = [], []
+    for i, (layout, paths) in enumerate(_by_layout(files)):
+        part, seen = observed_homicides(read_lines(spark, paths), layout, f"layout{i}", charset)
+        parts.append(part)
+        audits.append((min(file.year for file in files if file.path in paths), seen))
+    if not parts:
+        raise ValueError("no file to read")
+    write_extract(union_by_name(parts), path, **how)
+    return audit_table(spark, audits)
+
+
+AUDIT = "first_year int, n_lines long, n_other_cause long, n_other_residence long, n_kept long"
 
 
-def read_all_deaths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
-    return _read(spark, files, all_cause_records, ALL_CAUSE_FIELDS)
+def audit_table(spark: SparkSession, audits: list[tuple[int, Observation]]) -> DataFrame:
+    names = ["n_lines", "n_other_cause", "n_other_residence", "n_kept"]
+    return spark.createDataFrame([(year, *(seen.get[n] for n in names)) for year, seen in audits], AUDIT)
 
 
-def flagged_records(lines: DataFrame, layout: list[Field]) -> DataFrame:
+def flagged_records(lines: DataFrame, layout: list[Field], charset: str | None = None) -> DataFrame:
     """Every death of a state resident with `is_homicide`: the four all-cause fields,
     and the others where the flag is set, so that both extracts come off one scan."""
-    wanted = lines.filter(_line_is(layout, "state_res_fips", codes.STATES, "value"))
-    flagged = wanted.withColumn("is_homicide", F.expr(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, "value")))
-    table = parse_fixed_width(flagged, layout, ["is_homicide"])
+    wanted = lines.filter(_line_is(layout, "state_res_fips", codes.STATES, "value", charset))
+    flagged = wanted.withColumn("is_homicide", F.expr(_line_is(layout, "cause_recode113", codes.HOMICIDE_CAUSES, "value", charset)))
+    table = parse_fixed_width(flagged, layout, ["is_homicide"], charset=charset)
     always = {"is_homicide", *ALL_CAUSE_FIELDS}
     return table.select(*[F.col(c) if c in always else F.when(F.col("is_homicide"), F.col(c)).alias(c) for c in table.columns])
 
 
-def read_deaths(spark: SparkSession, files: list[DeathFile]) -> DataFrame:
+def read_deaths(spark: SparkSession, files: list[DeathFile], charset: str = CHARSET, unknown: str = "raise") -> DataFrame:
     """All deaths with a homicide flag (see `flagged_records`), each file read once."""
-    parts = [flagged_records(read_lines(spark, paths), layout) for layout, paths in _by_layout(files)]
+    parts = [flagged_records(read_lines(spark, paths), layout, charset) for layout, paths in _by_layout(files, unknown)]
     return union_by_name(parts) if parts else read_homicides(spark, files).withColumn("is_homicide", F.lit(True))
 
 

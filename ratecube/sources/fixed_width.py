@@ -15,10 +15,21 @@ MISSING = ["", "NA"]  # fixed values: field contents read as null
 BLANKS = " \t"
 
 
-def trimmed_slice(field: Field, line: str = LINE) -> str:
-    """SQL text of the characters of a field. Packed fields keep their leading
-    blanks, so that a blank first slot does not shift the others."""
-    cut = f"substring({line}, {field.start}, {field.end - field.start + 1})"
+def trimmed_slice(field: Field, line: str = LINE, charset: str | None = None) -> str:
+    """SQL text of a field's part of a line, trimmed. Packed fields keep their leading
+    blanks, so that a blank first slot does not shift the others.
+
+    Without a charset, positions count characters. With one they count bytes, as layouts of
+    files do, and what is cut is decoded: "UTF-8" (a cut character gives replacement
+    characters) or "ISO-8859-1".
+    """
+    at = f"{field.start}, {field.end - field.start + 1}"
+    if charset is None:
+        cut = f"substring({line}, {at})"
+    elif charset.upper() == "UTF-8":
+        cut = f"make_valid_utf8(CAST(substring(CAST({line} AS BINARY), {at}) AS STRING))"
+    else:
+        cut = f"decode(substring(CAST({line} AS BINARY), {at}), {literal(charset)})"
     return f"rtrim({cut})" if field.packed else f"btrim({cut}, {literal(BLANKS)})"
 
 
@@ -32,16 +43,16 @@ def _typed(field: Field) -> str:
 
 
 def parse_fixed_width(
-    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = LINE
+    lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = LINE, charset: str | None = None
 ) -> DataFrame:
-    """Slice `line` into the fields of `layout`, next to the columns in `keep`.
+    """Slice `line` into the fields of `layout`, next to the columns in `keep`; `charset` as in `trimmed_slice`.
 
     Every field is an independent expression, so fields that are not used
     further on are pruned. Slices are cut in one projection and turned into
     values in the next: each is cut once although its value reads it twice.
     """
     keep = keep or []
-    cut = lines.selectExpr(*keep, *[f"{trimmed_slice(f, line)} AS {f.name}" for f in layout])
+    cut = lines.selectExpr(*keep, *[f"{trimmed_slice(f, line, charset)} AS {f.name}" for f in layout])
     return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in layout])
 
 
@@ -49,8 +60,30 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths)
 
 
-def scan_fixed_width(spark: SparkSession, paths: list[str], layout: list[Field]) -> DataFrame:
-    return parse_fixed_width(read_lines(spark, paths), layout)
+def scan_fixed_width(spark: SparkSession, paths: list[str], layout: list[Field], charset: str | None = "UTF-8") -> DataFrame:
+    """The records of files; positions count bytes, as Spark's text source hands on the bytes of a line as they are."""
+    return parse_fixed_width(read_lines(spark, paths), layout, charset=charset)
+
+
+def fixed_width_lines(table: DataFrame, layout: list[Field]) -> DataFrame:
+    """(value): a record line of each row, the reverse of `parse_fixed_width`.
+
+    Text stands left and whole numbers right in their field; implied decimal places are rounded in. A value that is wider
+    than its field raises, rather than move what follows. Null is blank.
+    """
+    parts, at = [], 1
+    for f in sorted(layout, key=lambda f: f.start):
+        width = f.end - f.start + 1
+        text = f"CAST({f.name} AS STRING)" if not f.scale else f"CAST(CAST(round({f.name} * {10**f.scale}) AS BIGINT) AS STRING)"
+        pad = "rpad" if f.type == "string" else "lpad"
+        fits = f"CASE WHEN length({text}) > {width} THEN raise_error(concat({literal(f.name + ' is wider than its field: ')}, {text})) ELSE {text} END"
+        parts += [literal(" " * (f.start - at)), f"{pad}(coalesce({fits}, ''), {width}, ' ')"]
+        at = f.end + 1
+    return table.selectExpr(f"concat({', '.join(parts)}) AS {LINE}")
+
+
+def write_fixed_width(table: DataFrame, layout: list[Field], path: str) -> None:
+    fixed_width_lines(table, layout).write.mode("overwrite").text(path)
 
 
 def empty_of(spark: SparkSession, layout: list[Field]) -> DataFrame:

@@ -77,16 +77,22 @@ PERSON_FIELDS = [
 ]
 
 
-def layout_for(year: int) -> list[Field]:
+def layout_for(year: int, unknown: str = "nearest") -> list[Field]:
     """Layout of the death record in one data year.
 
-    Years before the first and after the last known year use the nearest layout.
+    For a year without a known layout, `unknown` is "nearest" (the first layout serves the
+    years before it, and the last those after) or "raise". Readers of files raise.
     """
-    known = min(max(year, ALL_YEARS[0]), ALL_YEARS[1])
+    first, last = ALL_YEARS
+    if unknown not in ("raise", "nearest"):
+        raise ValueError(f"unknown must be 'raise' or 'nearest', not {unknown!r}")
+    if unknown == "raise" and not first <= year <= last:
+        raise ValueError(f"no layout for {year}; known are {first} to {last}")
+    known = min(max(year, first), last)
     return [
         Field(name, start, end, packed=name in PACKED_FIELDS)
-        for (first, last), name, start, end in DEATH_RECORD
-        if first <= known <= last
+        for (start_year, end_year), name, start, end in DEATH_RECORD
+        if start_year <= known <= end_year
     ]
 
 
