@@ -207,6 +207,16 @@ SLOTS = (
 )
 
 
+def _latin_slices() -> str:
+    """Three fields of a line in hexadecimal digits: each byte is the character of its number."""
+    out = []
+    for name, first, last in (("state_occ_fips", 21, 22), ("state_res_fips", 29, 30), ("detail_age", 71, 73)):
+        chars = f"list_transform(range({first - 1}, least({last}, len(h) // 2)), lambda i: chr(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)))"
+        text = f"trim(coalesce(array_to_string({chars}, ''), ''), ' ' || chr(9))"
+        out.append(f"CASE WHEN {text} NOT IN ('', 'NA') THEN {text} END AS {name}")
+    return ", ".join(out)
+
+
 def _method(group: str, where: str) -> str:
     return _with(
         f"SELECT *, round(n / sum(n) OVER (PARTITION BY {group}) * 100, 6) AS pct FROM "
@@ -613,6 +623,32 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["all_cause_rows_by_year"] = _with("SELECT CAST(data_year AS VARCHAR) AS data_year, count(*) AS n FROM deaths GROUP BY ALL")
 
+    # sources and sinks
+    sql["codebook_persons"] = _with(
+        "SELECT data_year AS year, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 9 END AS sex, "
+        "CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' ELSE 'Missing' END AS sex_label, "
+        "CASE priority WHEN '2' THEN 1 + o_orderkey % 3 WHEN '1' THEN 6 WHEN '3' THEN 5 WHEN '4' THEN 4 WHEN '5' THEN 7 END AS marst, "
+        "CASE WHEN priority = '1' THEN 'Never <married>' WHEN priority = '2' AND o_orderkey % 3 = 0 THEN 'Married & present' END AS marst_label, "
+        "race_number AS race, count(*) AS n, round(sum(perwt + 0.25), 6) AS pop, CAST(sum(age) AS BIGINT) AS years, count(age) AS n_age FROM raw_xp GROUP BY ALL"
+    )
+    sql["byte_scan"] = f"WITH {DOC_LINES}, bytes AS (SELECT doc_id, line_no, hex(encode(line)) AS h FROM doc_lines) SELECT doc_id, line_no, {_latin_slices()} FROM bytes"
+    sql["audited_extract"] = _with(
+        "SELECT CASE WHEN data_year <= 2020 THEN 2018 ELSE 2021 END AS first_year, count(*) AS n_lines, count(*) FILTER (cause NOT IN ('128', '129')) AS n_other_cause, "
+        f"count(*) FILTER (cause IN ('128', '129') AND state NOT IN {STATE_SET}) AS n_other_residence, count(*) FILTER (cause IN ('128', '129')) AS n_kept FROM deaths GROUP BY ALL"
+    )
+    sql["added_year_rates"] = sql["age_adjusted_rate"]
+    sql["checked_csv"] = _with("SELECT data_year, state, count(*) AS n, CAST(3 AS BIGINT) AS n_bad FROM ev GROUP BY ALL")
+    sql["weight_coverage"] = _with(
+        "SELECT data_year, nativity, count(*) AS n_ages, round(sum(weight), 6) AS weight, abs(sum(weight) - 1) < 1e-6 AS whole "
+        "FROM (SELECT DISTINCT data_year, nativity, age_group FROM ev) JOIN standard USING (age_group) GROUP BY ALL"
+    )
+    sql["ranges_by_table"] = (
+        "SELECT c.c_custkey AS centre, CAST(c.c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n "
+        "FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 = 0) c ON o_custkey BETWEEN c.c_custkey - 4 AND c.c_custkey + 3 GROUP BY ALL"
+    )
+    medians = "SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, round(quantile_cont(l_orderkey * 1.25::DOUBLE - l_quantity, {0}), 6) AS quantile, count(*) AS n, {0}::DOUBLE AS share FROM lineitem GROUP BY ALL"
+    sql["wide_medians"] = f"{medians.format(0.5)} UNION ALL {medians.format(0.9)}"
+
     # panels
     panel = "SELECT state, data_year, round(native_rate, 6) AS native_rate, round(foreign_share, 6) AS foreign_share FROM panel"
     sql["panel"] = _with(panel, *PANEL_ADJUSTED)

@@ -17,6 +17,7 @@ from ratecube.operators import packed, panel, shares
 from ratecube.operators.cells import count_events
 from ratecube.plans import reports, star
 from ratecube.plans.labels import label_events, label_persons
+from ratecube.plans.round_trips import ROUND_TRIPS
 from ratecube.sources import deaths as death_source
 from ratecube.sources import fixed_width
 from ratecube.sources.layouts import ALL_CAUSE_FIELDS, layout_for, narrow
@@ -332,5 +333,5 @@ PANELS: dict[str, Query] = {
 
 
 def catalog() -> dict[str, Query]:
-    named = COUNTS | RATES | DISTRIBUTIONS | CODES | SCANS | PANELS
+    named = COUNTS | RATES | DISTRIBUTIONS | CODES | SCANS | ROUND_TRIPS | PANELS
     return {name: _then(query, tidy) for name, query in named.items()}

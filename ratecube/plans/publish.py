@@ -9,7 +9,7 @@ extract, a small part of the death records, by column.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ratecube.functions import codes
 from ratecube.operators import packed, panel
 from ratecube.plans import reports
 from ratecube.plans.labels import label_events, label_persons
-from ratecube.sources.tables import read_cells, write_cells, write_result
+from ratecube.sources.tables import read_cells, read_extract, write_cells, write_result, write_year_cells
 
 DEATH_CUBE_KEYS = ["data_year", "nativity", "cause"]
 RATE, SHARE = "age_adjusted_rate", "foreign_share"
@@ -249,37 +249,58 @@ def _stored(cells: DataFrame, path: str) -> DataFrame:
     return read_cells(cells.sparkSession, path)
 
 
-def study(deaths: DataFrame, persons: DataFrame, out: str, **options) -> Study:
+def _stored_by_year(cells: DataFrame, path: str, add: bool) -> DataFrame:
+    write_year_cells(cells, path, add)
+    kind = dict(cells.dtypes)["data_year"]
+    return read_cells(cells.sparkSession, path).withColumn("data_year", F.col("data_year").cast(kind)).select(*cells.columns)
+
+
+def study(deaths: DataFrame, persons: DataFrame, out: str, add: bool = False, **options) -> Study:
     """Records under ``out/deaths`` and cubes under ``out/cells`` from the raw inputs.
 
     `deaths` are all deaths with a homicide flag (`sources.deaths.read_deaths`). They
     are scanned once; extract and all-cause cube come off what is written.
+
+    With `add`, `deaths` and `persons` have further years (or years again) of a study
+    that is there: only the partitions of those years are written, those of other
+    years keep their files, and the study returned has all years.
     """
     spark = deaths.sparkSession
+    years = [r[0] for r in deaths.select(F.col("data_year").cast("int")).distinct().collect()] if add else []
     pieces = deaths.hint("rebalance", "is_homicide", "data_year").write.partitionBy("is_homicide", "data_year")
+    pieces = pieces.option("partitionOverwriteMode", "dynamic" if add else "static")
     pieces.mode("overwrite").parquet(f"{out}/deaths")
-    written = read_cells(spark, f"{out}/deaths")
-    written = written.withColumn("data_year", F.col("data_year").cast("string"))
-    extract = written.filter("is_homicide = 'true'").drop("is_homicide")
-    records = label_events(extract)
+    written = read_extract(spark, f"{out}/deaths")
+    new = written.filter(F.col("data_year").cast("int").isin(years)) if add else written
+
+    def records_of(table: DataFrame) -> DataFrame:
+        return label_events(table.filter("is_homicide = 'true'").drop("is_homicide"))
+
     return Study(
-        homicides=extract,
-        records=records,
-        events=_stored(reports.event_cube(records), f"{out}/cells/events"),
-        persons=_stored(reports.person_cube(label_persons(persons)), f"{out}/cells/persons"),
-        deaths=_stored(reports.event_cube(label_events(written), DEATH_CUBE_KEYS), f"{out}/cells/deaths"),
+        homicides=written.filter("is_homicide = 'true'").drop("is_homicide"),
+        records=records_of(written),
+        events=_stored_by_year(reports.event_cube(records_of(new)), f"{out}/cells/events", add),
+        persons=_stored_by_year(reports.person_cube(label_persons(persons)), f"{out}/cells/persons", add),
+        deaths=_stored_by_year(reports.event_cube(label_events(new), DEATH_CUBE_KEYS), f"{out}/cells/deaths", add),
         **options,
     )
 
 
+#: The tables that take the panel, and those that take rate and share, which are stored once for all of them.
+OF_PANEL = {"panel_adjusted", "panel_fit", "panel_fit_clustered", "panel_residuals", "panel_residual_line"}
+OF_RATE_AND_SHARE = {"native_rate_and_foreign_share", "rate_share_correlation", "rate_share_line"}
+
+
 def publish(inputs: Study, out: str, names: list[str] | None = None) -> list[str]:
     """Write the named result tables (or all) as CSV under ``out/tables``."""
     tables = TABLES | (STATUS_TABLES if inputs.status is not None else {})
-    inputs.panel = _stored(reports.state_year_panel(inputs.events, inputs.persons), f"{out}/cells/panel")
-    inputs.rate_and_share = _stored(
-        reports.native_rate_by_foreign_share(inputs.events, inputs.persons, inputs.last),
-        f"{out}/cells/rate_and_share",
-    )
+    wanted = set(names or tables)
+    if wanted & OF_PANEL:
+        table = reports.state_year_panel(inputs.events, inputs.persons)
+        inputs = replace(inputs, panel=_stored(table, f"{out}/cells/panel"))
+    if wanted & OF_RATE_AND_SHARE:
+        table = reports.native_rate_by_foreign_share(inputs.events, inputs.persons, inputs.last)
+        inputs = replace(inputs, rate_and_share=_stored(table, f"{out}/cells/rate_and_share"))
     for name in names or tables:
         order, report = tables[name]
         write_result(report(inputs), f"{out}/tables/{name}", order)

@@ -505,6 +505,18 @@ def top_causes(deaths: DataFrame, k: int = codes.TOP_CAUSES) -> DataFrame:
     )
 
 
+def standard_coverage(events: DataFrame, keys: list[str], weights: list[tuple[str, float]] = codes.STANDARD_WEIGHTS) -> DataFrame:
+    """(keys, n_ages, weight, whole): the weights of the ages that have events, added up, and whether that is 1.
+
+    Where it is not, rates anchored by events leave out a part of the standard population.
+    """
+    age = rates.AGE
+    seen = events.filter(F.col(age) != codes.AGE_UNKNOWN).select(*keys, age).distinct()
+    own = seen.withColumn("weight", F.expr(recodes.label_of(age, weights)).cast("double"))
+    summed = own.groupBy(*keys).agg(F.count("weight").alias("n_ages"), F.sum("weight").alias("weight"))
+    return summed.withColumn("whole", F.abs(F.col("weight") - 1) < 1e-6)
+
+
 # --- panels and comparisons ---------------------------------------------------------------------------
 
 

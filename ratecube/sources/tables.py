@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.operators.shares import sort_keys
+from ratecube.session import kept
 
 # State population by immigration status.
 STATUS_SCHEMA = "state_abb string, immig_status string, population double, n long"
@@ -23,12 +24,13 @@ BAD_LINE = "bad_line"
 def read_csv_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines) of a CSV: lines that are short, long, or have a value of another type are kept aside.
 
-    The bad lines are a table (path, bad_line). Both come off one parse of whole lines: columns are not pruned, as a
-    line would pass then for the columns that a query happens to read.
+    The bad lines are a table (path, bad_line). The parsed lines are written once, and both come off that: Spark lets no
+    query read the bad lines alone off the file. Columns are not pruned, as a line would pass then for the columns
+    that a query happens to read.
     """
     whole = f"{schema}, {BAD_LINE} string"
     options = {"header": True, "enforceSchema": False, "nullValue": "NA", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, "columnPruning": False}
-    rows = spark.read.options(**options).schema(whole).csv(path).select("*", F.col("_metadata.file_path").alias("path"))
+    rows = kept(spark.read.options(**options).schema(whole).csv(path).select("*", F.col("_metadata.file_path").alias("path")), "csv")
     good = rows.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE, "path")
     return good, rows.filter(F.col(BAD_LINE).isNotNull()).select("path", BAD_LINE)
 
@@ -64,8 +66,11 @@ def _by_year(table: DataFrame, path: str, format: str, add: bool) -> None:
 
 
 def read_extract(spark: SparkSession, path: str, schema: str | None = None, format: str = "parquet") -> DataFrame:
-    """An extract again; `data_year` is text, as in the records. CSV needs the schema of its other columns."""
-    reader = spark.read.format(format).option("header", True)
+    """An extract again; `data_year` is text, as in the records. CSV needs the schema of its other columns.
+
+    Years of different layouts have different fields: those of all Parquet files are there, null where a file lacks one.
+    """
+    reader = spark.read.format(format).option("header", True).option("mergeSchema", True)
     table = (reader.schema(schema) if schema else reader).load(path)
     return table.withColumn("data_year", F.col("data_year").cast("string"))
 
