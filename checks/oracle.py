@@ -404,6 +404,20 @@ def _density(where: str = "TRUE") -> str:
     )
 
 
+def _binned_density() -> str:
+    """Each bar shared out between the two grid points around it; then all pairs of grid points."""
+    return _with(
+        "SELECT nativity, round(lo + step * g.i, 6) AS x, round(sum(share * exp(-0.5 * pow((g.i - point) * step / bw, 2))) / (any_value(total) * any_value(bw) * sqrt(2 * pi())), 6) AS density "
+        "FROM cells, limits, range(512) g(i) GROUP BY nativity, g.i, lo, step",
+        f"rows_ AS (SELECT nativity, age_years FROM ev WHERE {KNOWN} AND age_type = '1')",
+        "widths AS (SELECT nativity, count(*) AS total, 0.9 * least(stddev_samp(age_years), (quantile_cont(CAST(age_years AS DOUBLE), 0.75) - quantile_cont(CAST(age_years AS DOUBLE), 0.25)) / 1.34) * pow(count(*), -0.2) AS bw FROM rows_ GROUP BY ALL)",
+        "limits AS (SELECT min(age_years) AS lo, (max(age_years) - min(age_years)) / 511.0 AS step FROM rows_)",
+        "places AS (SELECT nativity, (age_years - lo) / step AS place FROM rows_, limits)",
+        "halves AS (SELECT nativity, least(floor(place), 510) AS point, 1 - (place - least(floor(place), 510)) AS share FROM places UNION ALL SELECT nativity, least(floor(place), 510) + 1, place - least(floor(place), 510) FROM places)",
+        "cells AS (SELECT nativity, total, bw, point, sum(share) AS share FROM halves JOIN widths USING (nativity) GROUP BY ALL)",
+    )
+
+
 def _record_fields(table: str) -> str:
     """All fields of both layouts; those that stand for nothing are digits of the line's keys."""
     known = {
@@ -623,6 +637,8 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["all_cause_rows_by_year"] = _with("SELECT CAST(data_year AS VARCHAR) AS data_year, count(*) AS n FROM deaths GROUP BY ALL")
 
+    sql["binned_density"] = _binned_density()
+
     # sources and sinks
     sql["codebook_persons"] = _with(
         "SELECT data_year AS year, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 9 END AS sex, "

@@ -191,6 +191,7 @@ DISTRIBUTIONS: dict[str, Query] = {
     "age_mean_median": _of_events(reports.age_mean_median, ["nativity"], LAST, years=ONE_YEAR),
     "age_median_by_sex": _of_events(reports.age_mean_median, ["sex", "nativity"], LAST, years=ONE_YEAR),
     "grouped_density": _of_events(reports.age_density),
+    "binned_density": _of_events(reports.age_density, binned=True),
     "grouped_density_one_year": _of_events(reports.age_density, LAST, years=ONE_YEAR),
     "event_share_of_all": _of_deaths(reports.homicide_share),
     "top_causes_ties": _of_deaths(reports.top_causes),
@@ -236,9 +237,9 @@ def _document_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _layout_parts(spark: SparkSession, sf_dir: str, read: Callable, keep: list[str]) -> DataFrame:
-    old, new = star.record_lines(spark, sf_dir, OLD_LAYOUT, NEW_LAYOUT)
-    return fixed_width.union_by_name([read(old, OLD_LAYOUT, keep), read(new, NEW_LAYOUT, keep)])
+def _of_either(spark: SparkSession, sf_dir: str, homicides: bool, keep: list[str]) -> DataFrame:
+    lines = star.lines_of_either(spark, sf_dir, OLD_LAYOUT, NEW_LAYOUT)
+    return death_source.records_of_either(lines, star.OLD_LINE, (OLD_LAYOUT, NEW_LAYOUT), homicides, keep)
 
 
 SCANS: dict[str, Query] = {
@@ -250,15 +251,9 @@ SCANS: dict[str, Query] = {
         star.document_lines(spark, sf_dir).withColumn("old_layout", F.col("doc_id") % 2 == 0),
         ["old_layout"],
     ),
-    "event_extract": lambda spark, sf_dir: _layout_parts(
-        spark, sf_dir, death_source.homicide_records, ["l_orderkey", "l_linenumber"]
-    ),
-    "all_cause_extract": lambda spark, sf_dir: _layout_parts(
-        spark, sf_dir, death_source.all_cause_records, ["l_orderkey", "l_linenumber"]
-    ),
-    "all_cause_rows_by_year": lambda spark, sf_dir: death_source.rows_by_year(
-        _layout_parts(spark, sf_dir, death_source.all_cause_records, [])
-    ),
+    "event_extract": lambda spark, sf_dir: _of_either(spark, sf_dir, True, ["l_orderkey", "l_linenumber"]),
+    "all_cause_extract": lambda spark, sf_dir: _of_either(spark, sf_dir, False, ["l_orderkey", "l_linenumber"]),
+    "all_cause_rows_by_year": lambda spark, sf_dir: death_source.rows_by_year(_of_either(spark, sf_dir, False, [])),
 }
 
 # --- panels -------------------------------------------------------------------------------

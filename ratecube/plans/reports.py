@@ -471,8 +471,10 @@ def age_mean_median(events: DataFrame, group: list[str], year: int | None = None
     )
 
 
-def age_density(events: DataFrame, year: int | None = None) -> DataFrame:
-    return distribution.density(_numeric_ages(events, ["nativity"], year), ["nativity"], "age_years")
+def age_density(events: DataFrame, year: int | None = None, binned: bool = False) -> DataFrame:
+    """Density of ages by nativity; `binned` for values with a great many bars."""
+    estimate = distribution.binned_density if binned else distribution.density
+    return estimate(_numeric_ages(events, ["nativity"], year), ["nativity"], "age_years")
 
 
 def condition_prevalence(records: DataFrame, field: str = "record_axis_raw") -> DataFrame:

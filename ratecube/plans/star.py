@@ -207,6 +207,25 @@ def record_lines(
     return written((FIRST_YEAR, last_old), old_layout), written((last_old + 1, LAST_YEAR), new_layout)
 
 
+OLD_LINE = "old_line"
+
+
+def lines_of_either(spark: SparkSession, sf_dir: str, old_layout: list[Field], new_layout: list[Field]) -> DataFrame:
+    """The lines of `record_lines` as one table off one scan, with `old_line` for those of the old layout."""
+    records = death_records(spark, sf_dir, homicides_only=False, years=(FIRST_YEAR, LAST_YEAR))
+    layouts = old_layout, new_layout
+    others = {f.name: filler(f) for layout in layouts for f in layout if f.name not in records.columns}
+    # A field of one name may be filled anew where its place differs.
+    apart = [name for name in others if len({(f.start, f.end) for layout in layouts for f in layout if f.name == name}) > 1]
+    if apart:
+        raise ValueError(f"fields at two places: {apart}")
+    filled = records.selectExpr("*", f"CAST(data_year AS INT) <= {BRIDGED_RACE_YEARS[1]} AS {OLD_LINE}", *[f"{text} AS {name}" for name, text in others.items()])
+    old, new = (_line({f.name for f in layout}, layout) for layout in layouts)
+    return filled.selectExpr(
+        "l_orderkey", "l_linenumber", OLD_LINE, f"explode(array(CASE WHEN {OLD_LINE} THEN {old} ELSE {new} END)) AS value"
+    )
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a record line (doc_id, line_no, value)."""
     return table(spark, sf_dir, "documents").selectExpr(

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ratecube.functions import codes
 from ratecube.functions.recodes import is_in
 from ratecube.sources.fixed_width import (
+    either_slice,
     empty_of,
     length_profile,
+    parse_either,
     parse_fixed_width,
     read_lines,
     trimmed_slice,
@@ -61,6 +63,18 @@ def all_cause_records(
     return parse_fixed_width(wanted, narrow(layout, ALL_CAUSE_FIELDS), keep, line, charset)
 
 
+def records_of_either(
+    lines: DataFrame, test: str, layouts: tuple[list[Field], list[Field]], homicides: bool, keep: list[str] | None = None, line: str = "value"
+) -> DataFrame:
+    """Homicides with all fields, or all deaths with four, of state residents, from lines of two layouts in one table."""
+    wanted = lines.filter(is_in(either_slice("state_res_fips", test, layouts, line), codes.STATES))
+    if homicides:
+        wanted = wanted.filter(is_in(either_slice("cause_recode113", test, layouts, line), codes.HOMICIDE_CAUSES))
+    else:
+        layouts = tuple(narrow(x, ALL_CAUSE_FIELDS) for x in layouts)
+    return parse_either(wanted, test, layouts, keep, line)
+
+
 def _by_layout(files: list[DeathFile], unknown: str = "raise") -> list[tuple[list[Field], list[str]]]:
     """One scan per layout instead of one per file; missing files drop out. A year without a layout is an error."""
     groups = defaultdict(list)

@@ -56,6 +56,25 @@ def parse_fixed_width(
     return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in layout])
 
 
+def either_slice(name: str, test: str, layouts: tuple[list[Field], list[Field]], line: str, charset: str | None = None) -> str:
+    """SQL text of a field's part of a line that has the first layout where `test` holds, else the second.
+
+    A field that stands at one place in both is cut without looking; one that a layout lacks is null there.
+    """
+    cuts = ["NULL" if f is None else trimmed_slice(f, line, charset) for f in (next((f for f in x if f.name == name), None) for x in layouts)]
+    return cuts[0] if cuts[0] == cuts[1] else f"CASE WHEN {test} THEN {cuts[0]} ELSE {cuts[1]} END"
+
+
+def parse_either(
+    lines: DataFrame, test: str, layouts: tuple[list[Field], list[Field]], keep: list[str] | None = None, line: str = LINE, charset: str | None = None
+) -> DataFrame:
+    """`parse_fixed_width` of lines of two layouts in one table, so that one scan serves both."""
+    keep = keep or []
+    fields = list({f.name: f for layout in layouts for f in layout}.values())
+    cut = lines.selectExpr(*keep, *[f"{either_slice(f.name, test, layouts, line, charset)} AS {f.name}" for f in fields])
+    return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in fields])
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths)
 
