@@ -653,6 +653,7 @@ def oracle_sql() -> dict[str, str]:
         f"count(*) FILTER (cause IN ('128', '129') AND state NOT IN {STATE_SET}) AS n_other_residence, count(*) FILTER (cause IN ('128', '129')) AS n_kept FROM deaths GROUP BY ALL"
     )
     sql["added_year_rates"] = sql["age_adjusted_rate"]
+    sql["rates_off_buckets"] = sql["age_adjusted_rate"]
     sql["checked_csv"] = _with("SELECT data_year, state, count(*) AS n, CAST(3 AS BIGINT) AS n_bad FROM ev GROUP BY ALL")
     sql["weight_coverage"] = _with(
         "SELECT data_year, nativity, count(*) AS n_ages, round(sum(weight), 6) AS weight, abs(sum(weight) - 1) < 1e-6 AS whole "

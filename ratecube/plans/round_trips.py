@@ -5,15 +5,16 @@ Files go to folders of their own under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.functions import codes
-from ratecube.operators import lookups, quantiles
+from ratecube.operators import lookups, quantiles, rates
 from ratecube.plans import publish, reports, star
-from ratecube.plans.labels import label_events
+from ratecube.plans.labels import label_events, label_persons
 from ratecube.session import scratch_path
 from ratecube.sources import codebook, deaths, fixed_width, persons, tables
 from ratecube.sources.layouts import Field, layout_for, narrow
@@ -78,6 +79,15 @@ def added_year_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.adjusted_by_nativity(whole.events, whole.persons)
 
 
+def rates_off_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted rates off cells stored by year and nativity: the report itself shuffles nothing."""
+    keys = ["data_year", "nativity"]
+    events, people = label_events(star.death_records(spark, sf_dir)), label_persons(star.persons(spark, sf_dir, with_state=False))
+    name = f"rate_cells_{uuid.uuid4().hex}"
+    cells = tables.write_bucketed(reports.nativity_age_cells(events, people), name, scratch_path(spark, name), keys)
+    return rates.standardise(cells, keys, "events")
+
+
 def checked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State-year counts through a CSV to which broken lines were added: the good rows, each with the number of bad lines."""
     path = scratch_path(spark, "counts")
@@ -118,6 +128,7 @@ ROUND_TRIPS = {
     "byte_scan": byte_scan,
     "audited_extract": audited_extract,
     "added_year_rates": added_year_rates,
+    "rates_off_buckets": rates_off_buckets,
     "checked_csv": checked_csv,
     "weight_coverage": weight_coverage,
     "ranges_by_table": ranges_by_table,

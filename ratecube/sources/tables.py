@@ -91,5 +91,16 @@ def write_year_cells(cells: DataFrame, path: str, add: bool = False) -> None:
     _by_year(cells.repartition("data_year"), path, "parquet", add)
 
 
+def write_bucketed(cells: DataFrame, name: str, path: str, keys: list[str], buckets: int = 16) -> DataFrame:
+    """Cells as the table `name` under `path`, laid out for reports that group by `keys` and more: such a report needs no shuffle.
+
+    Rows that agree in `keys` are in one file, sorted by them. Spark keeps the layout in its catalog, so the table must
+    be read by name. For cells, whose number is bounded by the code tables; records would be uneven under a hot key.
+    """
+    spread = cells.repartition(buckets, *keys)
+    spread.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(name)
+    return cells.sparkSession.table(name)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

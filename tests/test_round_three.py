@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from samples import NEW, OLD, death, line, person, persons_table
 
 from ratecube.functions import codes, recodes
-from ratecube.operators import lookups, panel, quantiles
-from ratecube.plans import publish, reports
+from ratecube.operators import distribution, lookups, panel, quantiles
+from ratecube.plans import publish, reports, round_trips
 from ratecube.sources import codebook, deaths, fixed_width, layouts, persons, tables
 from ratecube.sources.deaths import DeathFile
 
@@ -266,3 +266,32 @@ def test_panel_solver_gives_up_loudly(spark, monkeypatch):
     rows = [(i, t, float(i * t % 7), float((i + t) % 5)) for i in range(40) for t in (i, i + 1)]  # a chain of periods
     with pytest.raises(ArithmeticError, match="not found in 1 steps"):
         panel.two_way_residuals(spark.createDataFrame(rows, "u int, t int, y double, x double"), "u", "t", "y", "x")
+
+
+def test_reports_off_bucketed_cells_shuffle_nothing(spark, rows):
+    table = round_trips.rates_off_buckets(spark, "/root/testdata/sf0.001")
+    assert table.count() > 0
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_binned_density_is_near_the_direct_sum(spark):
+    draw = random.Random(1)
+    data = [(g, draw.gauss(m, 10), draw.randint(1, 4)) for g, m in (("a", 0), ("b", 60)) for _ in range(3000)] + [("one", 20.0, 3)]
+    counts = spark.createDataFrame(data, "g string, v double, n long")
+    direct = {(r.g, round(r.x, 6)): r.density for r in distribution.density(counts, ["g"], "v").collect()}
+    binned = {(r.g, round(r.x, 6)): r.density for r in distribution.binned_density(counts, ["g"], "v").collect()}
+    assert direct.keys() == binned.keys() and len(direct) == 3 * 512
+    most = max(d for (g, _), d in direct.items() if g != "one")
+    assert max(abs(direct[k] - binned[k]) for k in direct if k[0] != "one") < 1e-3 * most
+
+
+def test_lines_of_two_layouts_in_one_table(spark, rows):
+    old = line(OLD, data_year="2020", state_res_fips="AL", cause_recode113="128", race="02", race_recode5="2", hispanic_origin="210")
+    new = line(NEW, data_year="2024", state_res_fips="AK", cause_recode113="129", race_recode6="6", industry_code="0012", hispanic_origin="100")
+    lines = spark.createDataFrame([(old, True), (new, False), (old[:60], True)], "value string, is_old boolean")
+    apart = fixed_width.union_by_name([fixed_width.parse_fixed_width(lines.filter(test), layout) for test, layout in (("is_old", OLD), ("NOT is_old", NEW))])
+    both = fixed_width.parse_either(lines, "is_old", (OLD, NEW))
+    assert rows(both, *sorted(both.columns)) == rows(apart, *sorted(apart.columns))
+    found = deaths.records_of_either(lines, "is_old", (OLD, NEW), homicides=True)
+    assert rows(found, "data_year", "race_recode5", "race_recode6") == [("2020", "2", None), ("2024", None, "6")]
