@@ -130,7 +130,7 @@ def two_way_fit(
         F.sum(F.col("ry") * F.col("ry")).alias("syy"),
     )
     sums = units.agg(
-        F.sum("n").alias("n_obs"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_obs"),
         F.count(F.lit(1)).alias("n_units"),
         F.sum("sxy").alias("sxy"),
         F.sum("sxx").alias("sxx"),
