@@ -8,7 +8,8 @@ anew, so that switches between languages occur. Words are labelled by forward-ba
 are cut into segments whose transfer matrices are multiplied, so any length takes the same steps.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; repeated rows are labelled
-each for itself; without a labelled row everything is `und`; ties go to the first language by name.
+each for itself; without a labelled row everything is `und`; ties go to the first language by name; of more than
+MAX_LANGUAGES languages those with the most labelled rows are learned, ties by name.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecube.llm.common import DOUBLE, INT, STRING, bounded_batches, list_of, struct_of, utf8_buffer
+from ratecube.llm.common import DOUBLE, INT, STRING, bounded_batches, free_name, list_of, struct_of, utf8_buffer
 
 #: The sample: at most so many distinct texts of each language, of at most so many bytes each; of longer ones a run of words.
 SAMPLE_DOCUMENTS = 150
 SAMPLE_BYTES = 6000
-#: More languages than this are refused.
+#: So many languages are learned, those with the most labelled rows.
 MAX_LANGUAGES = 100
+#: A language's texts are ranked in so many parts first, then the leaders of the parts.
+SAMPLE_PARTS = 64
 TABLE_BITS = 16
 STEPS = 30
 RATE = 0.5
@@ -271,6 +274,12 @@ _ASCII = set(range(0x61, 0x7B))
 LABELLED = struct_of(lang_pred=STRING, score=DOUBLE, runs=list_of(struct_of(first=INT, last=INT, lang=STRING)))
 
 
+def leaders(texts: DataFrame, groups: list[str]) -> DataFrame:
+    """The first SAMPLE_DOCUMENTS texts of each group, long ones last, by the hash of the id."""
+    order = Window.partitionBy(*groups).orderBy("long", F.xxhash64("id"), "id", "digest")
+    return texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCUMENTS).drop("place")
+
+
 def sample(training: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
     """(text, language) of at most SAMPLE_DOCUMENTS distinct texts of each language, chosen by the hash of the id.
 
@@ -281,8 +290,9 @@ def sample(training: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple
     usable = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.col(text).alias("t"), F.sha2(text, 256).alias("digest"))
     long = F.octet_length("t") > SAMPLE_BYTES
     texts = usable.groupBy("l", "digest").agg(F.min("id").alias("id"), F.first(long).alias("long"))
-    order = Window.partitionBy("l").orderBy("long", F.xxhash64("id"), "id", "digest")
-    picked = texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCUMENTS).select("l", "digest", "id")
+    # A language's last ranking sees SAMPLE_PARTS * SAMPLE_DOCUMENTS rows at most, however many it has.
+    parts = texts.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(SAMPLE_PARTS)))
+    picked = leaders(leaders(parts, ["l", "part"]), ["l"]).select("l", "digest", "id")
     same = [usable[c].eqNullSafe(picked[c]) for c in ("l", "digest", "id")]
     run = F.regexp_replace(F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, SAMPLE_BYTES // 4), r"(?<=\s)\S+$", "")
     rows = usable.join(F.broadcast(picked), same, "left_semi").select("l", "digest", F.when(long, run).otherwise(F.col("t")).alias("t"))
@@ -291,10 +301,9 @@ def sample(training: DataFrame, doc_id: str, text: str, lang: str) -> list[tuple
 
 def labeller(training: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Labeller | None:
     """Fit on a bounded sample; None where no row has a language and a letter."""
-    known = training.filter(F.col(lang).isNotNull()).select(lang).distinct().limit(MAX_LANGUAGES + 1).collect()
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = [r for r in sample(training, doc_id, text, lang) if has_letter(r[0])]
+    counts = training.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
+    most = [r[0] for r in counts.orderBy(F.desc("n"), lang).select(lang).limit(MAX_LANGUAGES).collect()]
+    rows = [r for r in sample(training.filter(F.col(lang).isin(most)), doc_id, text, lang) if has_letter(r[0])]
     if not rows:
         return None
     languages = sorted({language for _, language in rows})
@@ -315,4 +324,6 @@ def label(documents: DataFrame, model: Labeller | None, keep: list, text: str =
         columns = zip(*rows, strict=True) if rows else [[]] * 3
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang_pred", "score", "runs"])
 
-    return documents.select(*keep, labelled(F.col(text)).alias("__label")).select("*", "__label.*").drop("__label")
+    kept = documents.select(*keep)
+    name = free_name(kept, "label")
+    return documents.select(*keep, labelled(F.col(text)).alias(name)).select(*kept.columns, f"{name}.*")

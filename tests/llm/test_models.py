@@ -142,3 +142,29 @@ def test_language_of_held_out_and_switched_texts(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     nothing = language_id.label(docs, language_id.labeller(docs.limit(0)), ["doc_id"])
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(i, f"ein wort {i}", "aa") for i in range(6)] + [(10 + i, f"un mot {i}", "bb") for i in range(5)]
+    rows += [(20, "una palabra", "cc"), (21, "una palabra", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.labeller(docs).languages == ["aa", "bb"]
+    assert language_id.labeller(docs.filter("doc_id >= 20")).languages == ["cc", "dd"]
+
+
+def test_sample_ranked_in_parts_equals_one_ranking(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCUMENTS", 7)
+    rows = [(i, f"text {i % 90}", "aa" if i % 5 else "bb") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    in_parts = language_id.sample(docs, "doc_id", "text", "lang")
+    monkeypatch.setattr(language_id, "SAMPLE_PARTS", 1)
+    assert in_parts == language_id.sample(docs, "doc_id", "text", "lang") and len(in_parts) == 14
+
+
+def test_labels_beside_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "ein wort", "aa", 5, 6), (2, "ein wort", "aa", 5, 6)], "doc_id long, text string, lang string, label int, __label int")
+    got = language_id.label(docs, language_id.labeller(docs), ["doc_id", "label", "__label"])
+    assert got.columns == ["doc_id", "label", "__label", "lang_pred", "score", "runs"]
+    assert [(r.doc_id, r.label, r.lang_pred) for r in got.orderBy("doc_id").collect()] == [(1, 5, "aa"), (2, 5, "aa")]
+    assert language_id.label(docs.limit(0), language_id.labeller(docs), ["doc_id"]).count() == 0
