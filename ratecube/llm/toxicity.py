@@ -1,6 +1,6 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their prefixes of three to five letters. The vocabulary is every term
+Terms are lower-cased words and their prefixes of three to eight letters. The vocabulary is every term
 that goes clearly with the label, by the log odds ratio over all labelled texts, equal texts counted
 once; document frequencies count all documents. Vectors have all these terms, the index those that its
 examples have. The index holds a bounded sample of EXAMPLES labelled rows that have
@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 CACHED_WORDS = 200_000
 
 WORD = re.compile(r"\w+")
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 def terms_of(word: str) -> list[str]:
