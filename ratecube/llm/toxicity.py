@@ -3,15 +3,15 @@
 Terms are lower-cased words and their prefixes of three to eight letters. The vocabulary is every term
 that goes clearly with the label, by the log odds ratio over all labelled texts, equal texts counted
 once; document frequencies count all documents. Vectors have all these terms, the index those that its
-examples have. The index holds a bounded sample of EXAMPLES labelled rows that have
+examples have. The index holds a bounded sample of EXAMPLES distinct labelled texts that have
 a term, in blocks with the largest weight of each term in each block. A query takes blocks in the
 order of their bounds and stops where no bound reaches its K-th best cosine, so its neighbours are the
 exact ones. Votes weigh 1 / (1.05 - cosine); an isotonic fit on the examples, each judged by the
 others, turns the share of toxic votes into a probability. A text without a term gets the smoothed
 share of toxic rows among such labelled rows.
 
-Defined cases: a null or empty text has no term; several labels for one id, or for equal texts when
-terms are chosen, count as the largest; null labels are left out; without a toxic row all scores are 0; ties between examples go to the smaller id;
+Defined cases: a null or empty text has no term; several labels for one id, or for equal texts,
+count as the largest; equal texts are one example, under their smallest id; null labels are left out; without a toxic row all scores are 0; ties between examples go to the smaller id;
 repeated rows are scored each for itself.
 """
 
@@ -226,7 +226,9 @@ def scores(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str =
     # Merged at every size: broadcast labels would hide what the join moves once they have grown.
     known = known.hint("merge")
     terms = vocabulary(rows.filter("learn"), known)
-    vectors = stored(rows.select("doc_id", "learn", vector_udf(spark, terms)(F.col("text")).alias("v")).select("doc_id", "learn", "v.*"), "vectors")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+    vectors = rows.select("doc_id", "learn", digest, vector_udf(spark, terms)(F.col("text")).alias("v"))
+    vectors = stored(vectors.select("doc_id", "learn", "digest", "v.*"), "vectors")
     index = None
     if terms:
         n = vectors.count()
@@ -235,7 +237,10 @@ def scores(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str =
         frequency[counts.column("id").to_numpy()] = counts.column("count").to_numpy()
         judged = vectors.filter("learn").join(known, "doc_id")
         bare = judged.filter(F.size("ids") == 0).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-        chosen = judged.filter(F.size("ids") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "ids", "counts").limit(EXAMPLES)
+        texts = judged.filter(F.size("ids") > 0).groupBy("digest").agg(
+            F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("ids").alias("ids"), F.first("counts").alias("counts")
+        )
+        chosen = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(EXAMPLES)
         by_id = {r["doc_id"]: (r["doc_id"], r["toxic"], list(r["ids"]), list(r["counts"])) for r in chosen.collect()}
         index = Index(len(terms), np.log(1 + n / np.maximum(1, frequency)), list(by_id.values()))
         index.calibrate(list(by_id.values()), bare["toxic"] / (bare["n"] + 1))

@@ -65,6 +65,18 @@ def test_toxic_words_stay_terms_beside_long_texts(spark, copies):
     assert got[100].score < 0.5
 
 
+def test_equal_texts_are_one_example(spark):
+    """Each text five times, the first copy with another label: no copy is evidence beside another one."""
+    rows = [(i * 5 + c, f"plain words {i} " + ("vilest rotten" if i < 12 else "here"), int(i < 12 and c > 0)) for i in range(40) for c in range(5)]
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in rows), (900, "words vilest")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.col("doc_id") < 900).collect()}
+    assert len(got) == len(rows) + 1 and got[900].score >= toxicity.THRESHOLD
+    assert all(e.doc_id % 5 == 0 and e.toxic == 1 for r in got.values() for e in r.evidence)
+    assert len({e.doc_id for e in got[900].evidence}) == 3
+    assert all(got[i].score == got[i - i % 5].score for i, _, _ in rows)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     examples = []
