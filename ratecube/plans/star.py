@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ratecube.functions import codes
 from ratecube.functions.recodes import age_band, is_in, literal, pick
+from ratecube.session import compiled_stages
 from ratecube.sources.layouts import BRIDGED_RACE_YEARS, Field
 
 # Column types of the tables in use; without them Spark would start a job per
@@ -163,25 +164,36 @@ def status_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digits(field: Field) -> int:
+    return min(9, field.end - field.start + 1)
+
+
 def filler(field: Field) -> str:
     """SQL text of the value of a field that stands for nothing: digits of the line's keys."""
-    digits = min(9, field.end - field.start + 1)
+    digits = _digits(field)
     number = f"(l_orderkey * {field.start} + l_linenumber) % {10**digits}"
     return f"lpad(CAST({number} AS STRING), {digits}, '0')"
 
 
-def _line(filled: set[str], layout: list[Field]) -> str:
-    """A record line: each filled field at its position, blanks elsewhere."""
+def _line(filled: set[str], layout: list[Field], fillers: set[str] = frozenset()) -> str:
+    """A record line: each filled field at its position, blanks elsewhere.
+
+    A filler is null or as long as its digits, so only its nulls are padded.
+    """
     parts, at = [], 1
     for field in sorted(layout, key=lambda f: f.start):
         if field.name not in filled:
             continue
         width = field.end - field.start + 1
         parts.append(literal(" " * (field.start - at)))
-        parts.append(f"rpad(coalesce({field.name}, ''), {width}, ' ')")
         at = field.end + 1
+        if field.name in fillers:
+            parts.append(f"coalesce({field.name}, {literal(' ' * _digits(field))})")
+            at -= width - _digits(field)  # blanks of the field go with those behind it
+        else:
+            parts.append(f"rpad(coalesce({field.name}, ''), {width}, ' ')")
     parts.append(literal(" " * (max(f.end for f in layout) + 1 - at)))
-    return f"concat({', '.join(parts)})"
+    return f"concat({', '.join(part for part in parts if part != literal(''))})"
 
 
 def record_lines(
@@ -192,16 +204,18 @@ def record_lines(
 
     Either part reads the orders of its own years. A line passes through a
     one-element explode so that it is built once per record: as a plain expression
-    it would be built anew in every test on it.
+    it would be built anew in every test on it. It is built in a projection before,
+    whose code is compiled in parts.
     """
+    compiled_stages(spark)
 
     def written(years: tuple[int, int], layout: list[Field]) -> DataFrame:
         records = death_records(spark, sf_dir, homicides_only=False, years=years)
         others = [f"{filler(f)} AS {f.name}" for f in layout if f.name not in records.columns]
         filled = {f.name for f in layout}
-        return records.selectExpr("*", *others).selectExpr(
-            "l_orderkey", "l_linenumber", f"explode(array({_line(filled, layout)})) AS value"
-        )
+        line = _line(filled, layout, filled - set(records.columns))
+        built = records.selectExpr("*", *others).selectExpr("l_orderkey", "l_linenumber", f"{line} AS value")
+        return built.selectExpr("l_orderkey", "l_linenumber", "explode(array(value)) AS value")
 
     last_old = BRIDGED_RACE_YEARS[1]
     return written((FIRST_YEAR, last_old), old_layout), written((last_old + 1, LAST_YEAR), new_layout)
@@ -212,6 +226,7 @@ OLD_LINE = "old_line"
 
 def lines_of_either(spark: SparkSession, sf_dir: str, old_layout: list[Field], new_layout: list[Field]) -> DataFrame:
     """The lines of `record_lines` as one table off one scan, with `old_line` for those of the old layout."""
+    compiled_stages(spark)
     records = death_records(spark, sf_dir, homicides_only=False, years=(FIRST_YEAR, LAST_YEAR))
     layouts = old_layout, new_layout
     others = {f.name: filler(f) for layout in layouts for f in layout if f.name not in records.columns}
@@ -220,10 +235,9 @@ def lines_of_either(spark: SparkSession, sf_dir: str, old_layout: list[Field], n
     if apart:
         raise ValueError(f"fields at two places: {apart}")
     filled = records.selectExpr("*", f"CAST(data_year AS INT) <= {BRIDGED_RACE_YEARS[1]} AS {OLD_LINE}", *[f"{text} AS {name}" for name, text in others.items()])
-    old, new = (_line({f.name for f in layout}, layout) for layout in layouts)
-    return filled.selectExpr(
-        "l_orderkey", "l_linenumber", OLD_LINE, f"explode(array(CASE WHEN {OLD_LINE} THEN {old} ELSE {new} END)) AS value"
-    )
+    old, new = (_line({f.name for f in layout}, layout, set(others)) for layout in layouts)
+    built = filled.selectExpr("l_orderkey", "l_linenumber", OLD_LINE, f"CASE WHEN {OLD_LINE} THEN {old} ELSE {new} END AS value")
+    return built.selectExpr("l_orderkey", "l_linenumber", OLD_LINE, "explode(array(value)) AS value")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,18 @@ def local_session(app: str, cpus: int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+#: HotSpot never compiles a method of more bytes than this.
+COMPILED_BYTES = 8000
+
+
+def compiled_stages(spark: SparkSession) -> None:
+    """For wide projections: a stage whose generated method HotSpot would never compile goes operator by operator,
+    whose code Spark splits into small methods. Results are the same. This sets an option of the session."""
+    option = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(option)) > COMPILED_BYTES:
+        spark.conf.set(option, COMPILED_BYTES)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir. Where none is set, a local session
     takes a temporary one; a cluster must name a folder that all its nodes share."""

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratecube.functions.recodes import is_in, literal
+from ratecube.session import compiled_stages
 from ratecube.sources.layouts import Field
 
 LINE = "value"
 MISSING = ["", "NA"]  # fixed values: field contents read as null
 BLANKS = " \t"
+#: Two layouts with more fields are cut in two steps, first into blocks of so many characters.
+FEW_FIELDS = 6
+BLOCK = 64
 
 
 def trimmed_slice(field: Field, line: str = LINE, charset: str | None = None) -> str:
@@ -42,6 +47,42 @@ def _typed(field: Field) -> str:
     return f"try_cast({value} AS {field.type})"
 
 
+def _blocks(fields: list[Field]) -> list[tuple[int, int]]:
+    """First and last places of the parts of a line that hold the fields; each field lies within one part."""
+    parts: list[tuple[int, int]] = []
+    for f in sorted(fields, key=lambda f: (f.start, f.end)):
+        if parts and (f.start <= parts[-1][1] or f.end < parts[-1][0] + BLOCK):
+            parts[-1] = parts[-1][0], max(parts[-1][1], f.end)
+        else:
+            parts.append((f.start, f.end))
+    return parts
+
+
+def _in_blocks(
+    lines: DataFrame, fields: list[Field], keep: list[str], line: str, charset: str | None
+) -> tuple[DataFrame, Callable[[Field], str]]:
+    """The lines in blocks next to `keep`, and the SQL text of a field's trimmed slice there.
+
+    To find a character Spark walks the text from its start, for each field anew; within a block
+    the way is short. Bytes are found without a walk, so lines of as many bytes as characters are
+    cut into blocks by bytes. With a charset, or a few fields, there are no blocks.
+    """
+    if charset is not None or len(fields) <= FEW_FIELDS:
+        return lines, lambda f: trimmed_slice(f, line, charset)
+    compiled_stages(lines.sparkSession)
+    blocks = _blocks(fields)
+    plain = lines.selectExpr("*", f"octet_length({line}) = length({line}) AS __plain")
+    at = [(a, f"{a}, {z - a + 1}") for a, z in blocks]
+    either = "CASE WHEN __plain THEN CAST(substring(CAST({0} AS BINARY), {1}) AS STRING) ELSE substring({0}, {1}) END AS __block{2}"
+    cut = plain.selectExpr(*keep, *[either.format(line, places, a) for a, places in at])
+
+    def sliced(f: Field) -> str:
+        (first,) = [a for a, z in blocks if a <= f.start and f.end <= z]
+        return trimmed_slice(f._replace(start=f.start - first + 1, end=f.end - first + 1), f"__block{first}")
+
+    return cut, sliced
+
+
 def parse_fixed_width(
     lines: DataFrame, layout: list[Field], keep: list[str] | None = None, line: str = LINE, charset: str | None = None
 ) -> DataFrame:
@@ -56,22 +97,30 @@ def parse_fixed_width(
     return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in layout])
 
 
-def either_slice(name: str, test: str, layouts: tuple[list[Field], list[Field]], line: str, charset: str | None = None) -> str:
-    """SQL text of a field's part of a line that has the first layout where `test` holds, else the second.
+def either_of(name: str, test: str, layouts: tuple[list[Field], list[Field]], sliced: Callable[[Field], str]) -> str:
+    """SQL text of what `sliced` gives for a field of the first layout where `test` holds, else of the second.
 
     A field that stands at one place in both is cut without looking; one that a layout lacks is null there.
     """
-    cuts = ["NULL" if f is None else trimmed_slice(f, line, charset) for f in (next((f for f in x if f.name == name), None) for x in layouts)]
+    cuts = ["NULL" if f is None else sliced(f) for f in (next((f for f in x if f.name == name), None) for x in layouts)]
     return cuts[0] if cuts[0] == cuts[1] else f"CASE WHEN {test} THEN {cuts[0]} ELSE {cuts[1]} END"
 
 
+def either_slice(name: str, test: str, layouts: tuple[list[Field], list[Field]], line: str, charset: str | None = None) -> str:
+    """SQL text of a field's part of a line that has the first layout where `test` holds, else the second (see `either_of`)."""
+    return either_of(name, test, layouts, lambda f: trimmed_slice(f, line, charset))
+
+
 def parse_either(
     lines: DataFrame, test: str, layouts: tuple[list[Field], list[Field]], keep: list[str] | None = None, line: str = LINE, charset: str | None = None
 ) -> DataFrame:
-    """`parse_fixed_width` of lines of two layouts in one table, so that one scan serves both."""
+    """`parse_fixed_width` of lines of two layouts in one table, so that one scan serves both; many fields are cut from blocks."""
     keep = keep or []
     fields = list({f.name: f for layout in layouts for f in layout}.values())
-    cut = lines.selectExpr(*keep, *[f"{either_slice(f.name, test, layouts, line, charset)} AS {f.name}" for f in fields])
+    tested = lines.selectExpr("*", f"{test} AS __first")
+    places = list({(f.start, f.end): f for layout in layouts for f in layout}.values())
+    blocks, sliced = _in_blocks(tested, places, [*keep, "__first"], line, charset)
+    cut = blocks.selectExpr(*keep, *[f"{either_of(f.name, '__first', layouts, sliced)} AS {f.name}" for f in fields])
     return cut.selectExpr(*keep, *[f"{_typed(f)} AS {f.name}" for f in fields])
 
 
