@@ -16,9 +16,9 @@ have to be drawn before every register has its least, however many elements ther
   estimate by a factor of e ** 18, which is six standard deviations.
 * What is left is verified on the full sets.
 
-Candidates are formed against one node of each band value first, then against one node of another component. What is
-still in several components under one band value then meets by rare shingles, under exact bounds of the overlap
-(`rest_of_pairs`). No pair within a known component is made, and no band value is gathered in one task.
+Candidates are formed against the most central nodes first (`central`), at most two for each node, then against such a node of
+another component. What is still in several components under one band value then meets by rare shingles, under exact bounds of the
+overlap (`rest_of_pairs`). No pair within a known component is made, and no band value is gathered in one task.
 
 Defined cases: a null or empty text has an empty set, linked with nothing; rows without an id have no component
 and are kept; rows that repeat an id and a text are one node; different texts under one id are nodes of their
@@ -234,11 +234,33 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(verified(stored(promising(pairs, nodes), "promising"), sets), "links")
 
 
+def central(entries: DataFrame) -> DataFrame:
+    """(key, number, hub, score) of the (key, number) band values that several nodes have.
+
+    The score of a node says with how many others it shares band values: of copies of one text with changes of their own, it is
+    highest for the text that they were made of. The hub of a band value is its node with the highest score.
+    """
+    held = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = stored(entries.join(held, "key"), "entries")
+    scores = shared.groupBy("number").agg(F.sum("held").alias("score"))
+    scored = shared.join(scores, "number").select("key", "number", "score")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.col("number").alias("hub"))).alias("best")).select("key", "best.hub")
+    return stored(scored.join(hubs, "key"), "bands")
+
+
+def nearest_hubs(entries: DataFrame, per: list[str]) -> DataFrame:
+    """The (a, b) pairs of each (number, score, hub) entry's node with two of its hubs, for each value of `per`: that of most band values in common, and the most central."""
+    common = entries.groupBy("number", "hub", *per).agg(F.count(F.lit(1)).alias("common"), F.max("hub_score").alias("hub_score"))
+    ranks = [F.max(F.struct(*order, "hub")).alias(name) for name, order in (("near", ["common", "hub_score"]), ("top", ["hub_score", "common"]))]
+    best = common.groupBy("number", *per).agg(*ranks).select("number", F.explode(F.array("near.hub", "top.hub")).alias("hub"))
+    return best.select(F.least("number", "hub").alias("a"), F.greatest("number", "hub").alias("b")).distinct()
+
+
 def open_entries(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, number, component, high) of the band values in several components; `high` is the last of these."""
-    own = shared.join(labels.withColumnRenamed("node", "number"), "number", "left").select("key", "number", F.coalesce("component", "number").alias("component"))
+    """(key, number, score, component) of the band values in several components."""
+    own = shared.join(labels.withColumnRenamed("node", "number"), "number", "left").select("key", "number", "score", F.coalesce("component", "number").alias("component"))
     ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return stored(own.join(ends, "key").select("key", "number", "component", "high"), "open")
+    return stored(own.join(ends.select("key"), "key"), "open")
 
 
 def rest_of_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,13 +292,12 @@ def rest_of_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def node_components(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(node, component) of the nodes that link to another."""
-    entries = nodes.select(F.explode(band_keys("registers")).alias("key"), "number")
-    ends = entries.groupBy("key").agg(F.min("number").alias("first"), F.max("number").alias("last")).filter("first < last")
-    shared = stored(entries.join(ends, "key").select("key", "number", "first"), "bands")
+    shared = central(nodes.select(F.explode(band_keys("registers")).alias("key"), "number"))
     # Only these nodes are ever compared; texts move once.
     nodes = stored(nodes.join(shared.select("number").distinct(), "number"), "candidates")
     sets = stored(full_sets(texts, nodes, shingle), "full-sets")
-    star = stored(shared.filter("number <> first").select(F.col("first").alias("a"), F.col("number").alias("b")).distinct(), "pairs")
+    hub_scores = shared.select(F.col("number").alias("hub"), F.col("score").alias("hub_score")).distinct()
+    star = stored(nearest_hubs(shared.filter("number <> hub").join(hub_scores, "hub"), []), "pairs")
     found = links(star, nodes, sets)
     tested, labels = star, components(found)
     for last in (False, True):
@@ -284,9 +305,10 @@ def node_components(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFra
         if last:
             pairs = rest_of_pairs(own.select("number", "component").distinct(), sets)
         else:
-            # One node of the highest component of each band value, with all nodes of other components.
-            hubs = own.filter("component = high").groupBy("key").agg(F.min("number").alias("hub"))
-            pairs = own.filter("component <> high").join(hubs, "key").select(F.least("number", "hub").alias("a"), F.greatest("number", "hub").alias("b"))
+            # The most central node of each band value, with nodes of other components.
+            hubs = own.groupBy("key").agg(F.max(F.struct("score", "number", "component")).alias("hub"))
+            hubs = hubs.select("key", F.col("hub.number").alias("hub"), F.col("hub.score").alias("hub_score"), F.col("hub.component").alias("other"))
+            pairs = nearest_hubs(own.join(hubs, "key").filter("component <> other"), ["other"])
         pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = links(pairs, nodes, sets)
         tested = tested.union(pairs)
