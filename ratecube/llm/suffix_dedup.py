@@ -51,19 +51,33 @@ BUCKET_BYTES = 8 << 20
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a short array: ranks of twice as many symbols in each round."""
+    """Order of all suffixes of a short array: ranks of twice as many symbols in each round.
+
+    The first round takes as many symbols as fit in 63 bits. A suffix that differs from all others has its place;
+    each further round sorts the rest only. The rank of a suffix is the first place of those equal to it so far.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank, span = np.empty(n, np.int64), 1
+    if n < 2:
+        return np.arange(n, dtype=np.int32)
+    bits = (int(text.max()) + 1).bit_length()
+    span = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(min(span, n)):  # none is smallest
+        key[: n - k] += (text[k:].astype(np.int64) + 1) << (bits * (span - 1 - k))
+    order = np.argsort(key)
+    rank, rest, key = np.empty(n, np.int64), np.arange(n), key[order]
     while True:
-        sorted_ = text[order]
-        rank[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-        if n < 2 or rank[order[-1]] == n - 1:
+        new = np.append(True, key[1:] != key[:-1])
+        rank[order[rest]] = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
+        rest = rest[~(new & np.append(new[1:], True))]
+        if not len(rest):
             return order.astype(np.int32)
-        text = (rank + 1) * (n + 1)  # this rank and the one behind; none is smallest
-        text[: n - span] += rank[span:] + 1
+        own = order[rest]
+        behind = own + span
+        key = rank[own] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[rest], key = own[by], key[by]
         span *= 2
-        order = np.argsort(text)
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
