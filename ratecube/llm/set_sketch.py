@@ -235,7 +235,7 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def central(entries: DataFrame) -> DataFrame:
-    """(key, number, hub, score) of the (key, number) band values that several nodes have.
+    """(key, number, score, hub, hub_score) of the (key, number) band values that several nodes have.
 
     The score of a node says with how many others it shares band values: of copies of one text with changes of their own, it is
     highest for the text that they were made of. The hub of a band value is its node with the highest score.
@@ -244,12 +244,12 @@ def central(entries: DataFrame) -> DataFrame:
     shared = stored(entries.join(held, "key"), "entries")
     scores = shared.groupBy("number").agg(F.sum("held").alias("score"))
     scored = shared.join(scores, "number").select("key", "number", "score")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.col("number").alias("hub"))).alias("best")).select("key", "best.hub")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.col("number").alias("hub"))).alias("best")).select("key", "best.hub", F.col("best.score").alias("hub_score"))
     return stored(scored.join(hubs, "key"), "bands")
 
 
 def nearest_hubs(entries: DataFrame, per: list[str]) -> DataFrame:
-    """The (a, b) pairs of each (number, score, hub) entry's node with two of its hubs, for each value of `per`: that of most band values in common, and the most central."""
+    """The (a, b) pairs of each (number, hub, hub_score) entry's node with two of its hubs, for each value of `per`: that of most band values in common, and the most central."""
     common = entries.groupBy("number", "hub", *per).agg(F.count(F.lit(1)).alias("common"), F.max("hub_score").alias("hub_score"))
     ranks = [F.max(F.struct(*order, "hub")).alias(name) for name, order in (("near", ["common", "hub_score"]), ("top", ["hub_score", "common"]))]
     best = common.groupBy("number", *per).agg(*ranks).select("number", F.explode(F.array("near.hub", "top.hub")).alias("hub"))
@@ -296,8 +296,7 @@ def node_components(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFra
     # Only these nodes are ever compared; texts move once.
     nodes = stored(nodes.join(shared.select("number").distinct(), "number"), "candidates")
     sets = stored(full_sets(texts, nodes, shingle), "full-sets")
-    hub_scores = shared.select(F.col("number").alias("hub"), F.col("score").alias("hub_score")).distinct()
-    star = stored(nearest_hubs(shared.filter("number <> hub").join(hub_scores, "hub"), []), "pairs")
+    star = stored(nearest_hubs(shared.filter("number <> hub"), []), "pairs")
     found = links(star, nodes, sets)
     tested, labels = star, components(found)
     for last in (False, True):
