@@ -1,12 +1,14 @@
 """Suffix-array dedup: remove bytes covered by a string of SIZE bytes that a smaller doc_id also has.
 
 Strings that are equal have one anchor (see `anchors`). Segments around the anchors that recur are
-dealt out by anchor, equal segments once; each shard's segments are concatenated and their suffix
-array is built by induced sorting: suffixes are classified, leftmost-smaller substrings are sorted and
-named, the names' suffixes are sorted recursively, and the array is induced from them. Permuted common
-prefixes, cut off at SIZE, then say which strings are equal. Induction goes over the array in steps of
-arrays instead of single places: all places of a bucket that are there are taken together. Names are
-split in two digits for the recursion, so that every level has few buckets.
+dealt out by anchor, equal segments once. Distinct segments of one anchor form shards of whole anchors; a
+segment that is its anchor's only one shares no string with any other and is in none. Each shard's segments
+are concatenated and their suffix array is built by induced sorting: suffixes are classified,
+leftmost-smaller substrings are sorted and named, the names' suffixes are sorted recursively, and the
+array is induced from them. Permuted common prefixes, cut off at SIZE, then say which strings are equal.
+Induction goes over the array in steps of arrays instead of single places: all places of a bucket that
+are there are taken together. Names that are too many to end the recursion are split in two digits, so
+that every level has few buckets.
 
 Strings are judged on the input. Defined cases: a null text has no bytes; a row without an id is kept
 whole and removes nothing elsewhere; rows with one id don't remove from each other; a text of under
@@ -43,11 +45,16 @@ SIZE = 50
 GRAM = 16
 #: Names go to the recursion undivided while there are at most so many.
 FEW_NAMES = 512
-#: The recursion ends at so many symbols.
+#: The recursion ends at so many names.
 SMALL = 1 << 20
 NO_BUCKET = np.uint16(0xFFFF)
 #: Text for one bucket of anchors.
 BUCKET_BYTES = 8 << 20
+#: Segments of one suffix array, in bytes: more only if one anchor has more.
+SHARD_BYTES = 1 << 20
+#: Places whose prefixes are compared in one go, and segments whose anchors are found in one go.
+PLACES = 1 << 16
+HEADS = 1 << 10
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
@@ -111,8 +118,6 @@ def named(text: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> tuple[np
 def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
     """Order of all suffixes of an array of symbols 0 to kinds - 1, of which only the last is 0."""
     n = len(text)
-    if n <= SMALL:
-        return doubled(text)
     smaller = smaller_than_next(text)
     leftmost = np.zeros(n, bool)
     leftmost[1:] = smaller[1:] & ~smaller[:-1]
@@ -186,7 +191,9 @@ def suffix_array(text: np.ndarray, kinds: int) -> np.ndarray:
         ordered = ordered[leftmost[ordered]]
         names, n_names = named(text, starts, ordered)
         if n_names < len(starts):
-            if n_names <= FEW_NAMES:
+            if len(names) <= SMALL:
+                inner = doubled(names)
+            elif n_names <= FEW_NAMES:
                 inner = suffix_array(names, n_names)
             else:
                 base = int(np.ceil(np.sqrt(n_names)))
@@ -208,19 +215,21 @@ def permuted_common_prefixes(data: bytes, places: np.ndarray, array: np.ndarray,
     """
     before = np.full(len(data), -1, np.int32)
     before[array[1:]] = array[:-1]
-    here = places[before[places] >= 0]
-    there = before[here]
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    common = np.zeros(len(here), np.int64)
-    rest = np.arange(len(here))
-    for step in range(0, most, 8):
-        odd = eight[here[rest] + step] ^ eight[there[rest] + step]
-        low = odd & (~odd + np.uint64(1))  # lowest bit in which they differ
-        same = np.where(odd == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
-        common[rest] += same
-        rest = rest[odd == 0]
     out = np.zeros(len(data), np.int32)
-    out[here] = np.minimum(common, most)
+    for i in range(0, len(places), PLACES):
+        here = places[i : i + PLACES]
+        here = here[before[here] >= 0]
+        there = before[here]
+        common = np.zeros(len(here), np.int64)
+        rest = np.arange(len(here))
+        for step in range(0, most, 8):
+            odd = eight[here[rest] + step] ^ eight[there[rest] + step]
+            low = odd & (~odd + np.uint64(1))  # lowest bit in which they differ
+            same = np.where(odd == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+            common[rest] += same
+            rest = rest[odd == 0]
+        out[here] = np.minimum(common, most)
     return out[array]
 
 
@@ -239,7 +248,7 @@ def covered_by_smaller(contents: list[bytes], owners: np.ndarray) -> tuple[np.nd
     full = np.zeros(len(joined) + 1, bool)
     full[:-1] = np.arange(len(joined), dtype=np.int32) + SIZE <= ends[content]
     array = array[full[array]]
-    prefix = permuted_common_prefixes(joined.tobytes() + bytes(SIZE + 8), np.sort(array), array, SIZE)
+    prefix = permuted_common_prefixes(joined.tobytes() + bytes(SIZE + 8), np.flatnonzero(full), array, SIZE)
     heads = np.flatnonzero(np.append(True, prefix[1:] < SIZE))
     own = owners[content[array]]
     least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(array))))
@@ -249,6 +258,40 @@ def covered_by_smaller(contents: list[bytes], owners: np.ndarray) -> tuple[np.nd
     return merged_spans(whose, first, first + SIZE)
 
 
+def first_anchors(contents: list[bytes]) -> np.ndarray:
+    """Each content's anchor, from its first window: all windows of a content have one."""
+    found = [np.empty(0, np.uint64)]
+    for i in range(0, len(contents), HEADS):
+        heads = np.frombuffer(b"".join([c[:SIZE] for c in contents[i : i + HEADS]]) + bytes(GRAM - 1), np.uint8)
+        found.append(byte_grams(heads).reshape(-1, SIZE)[:, : SIZE - GRAM + 1].min(axis=1))
+    return np.concatenate(found)
+
+
+def shards(contents: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of contents that may share strings, by shards: all contents of an anchor are in one, unless there is only one."""
+    anchor = first_anchors(contents)
+    order = np.argsort(anchor, kind="stable")
+    _, many = np.unique(anchor, return_counts=True)
+    order, many = order[np.repeat(many > 1, many)], many[many > 1]
+    if not len(order):
+        return
+    sizes = np.fromiter((len(contents[i]) for i in order.tolist()), np.int64, len(order))
+    heads = np.cumsum(many) - many
+    shard = np.repeat((np.cumsum(sizes) - sizes)[heads] // SHARD_BYTES, many)
+    yield from np.split(order, np.flatnonzero(shard[1:] != shard[:-1]) + 1)
+
+
+def covered_in_shards(contents: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`covered_by_smaller` of segments around anchors, with a suffix array for each shard."""
+    parts = [(np.empty(0, np.int64),) * 3]
+    for some in shards(contents):
+        content, first, past = covered_by_smaller([contents[i] for i in some.tolist()], owners[some])
+        parts.append((some[content], first, past))
+    content, first, past = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(content, kind="stable")
+    return content[order], first[order], past[order]
+
+
 def entries(documents: DataFrame, buckets: int) -> DataFrame:
     """Packed (anchor, doc_id) pairs of (doc_id, text) rows, each pair once a batch."""
 
@@ -398,7 +441,7 @@ def repeated_spans(packed: DataFrame, buckets: int) -> DataFrame:
         # A content that a smaller id has too is removed whole; its least owner loses what is in other contents.
         whole = owner > least[which]
         out = [settled, (row[whole], first[whole], first[whole] + sizes[which[whole]])]
-        content, begin, past = covered_by_smaller(contents, least)
+        content, begin, past = covered_in_shards(contents, least)
         many = np.bincount(content, minlength=len(contents))
         start = np.cumsum(many) - many
         others = np.flatnonzero(~whole)
