@@ -39,7 +39,7 @@ from ratecube.llm.anchors import (
     recurring,
     unplaned,
 )
-from ratecube.llm.common import BINARY, LONG, STRING, bounded_batches, free_name, release_memory, releasing, stored, struct_of, utf8_buffer
+from ratecube.llm.common import BINARY, LONG, STRING, bounded_batches, free_name, freed_shuffles, release_memory, releasing, stored, struct_of, utf8_buffer
 
 SIZE = 50
 GRAM = 16
@@ -515,9 +515,10 @@ def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with
     )
     plain = plain.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     buckets = bucket_count(plain, "text", BUCKET_BYTES)
-    again = stored(recurring(entries(plain, buckets), buckets, across=True), "anchors")
-    flagged = plain.withColumn("row", F.xxhash64("doc_id", "text")).join(again, F.col("doc_id") == F.col("owner"))
-    spans = stored(spans_by_row(repeated_spans(segments(flagged, buckets), buckets)), "spans")
+    with freed_shuffles(spark):
+        again = stored(recurring(entries(plain, buckets), buckets, across=True), "anchors")
+        flagged = plain.withColumn("row", F.xxhash64("doc_id", "text")).join(again, F.col("doc_id") == F.col("owner"))
+        spans = stored(spans_by_row(repeated_spans(segments(flagged, buckets), buckets)), "spans")
     spans = spans.withColumnsRenamed({"row": f"{row}_", "firsts": f"{hashes}_f", "pasts": f"{hashes}_p"})
     table = keyed.join(spans, F.col(row) == F.col(f"{row}_"), "left")
     table = table.withColumn(found, cutter(with_text)(F.col(text), F.col(f"{hashes}_f"), F.col(f"{hashes}_p")))

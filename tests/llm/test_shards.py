@@ -5,6 +5,7 @@ import pytest
 
 from ratecube.llm import suffix_dedup
 from ratecube.llm.anchors import anchored_runs, byte_grams
+from ratecube.llm.common import FREE_SHUFFLES
 
 
 def segments_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -86,3 +87,17 @@ def test_recursion_with_names_in_two_digits(monkeypatch, kinds):
         for text in (rng.integers(1, kinds, n), np.tile(rng.integers(1, kinds, 5), n)[:n], np.ones(n)):
             text = np.append(text, 0).astype(np.int32)
             assert suffix_dedup.suffix_array(text, kinds).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+
+
+def test_shuffles_of_stored_steps_are_freed(spark, monkeypatch):
+    seen, plain, before = [], suffix_dedup.stored, spark.conf.get(FREE_SHUFFLES, None)
+
+    def noted(table, name):
+        seen.append(spark.conf.get(FREE_SHUFFLES))
+        return plain(table, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", noted)
+    table = suffix_dedup.report(spark.createDataFrame([(1, "ab" * 40), (2, "ab" * 40)], "doc_id long, text string"))
+    assert seen == ["true", "true"] and spark.conf.get(FREE_SHUFFLES, None) == before
+    for _ in range(2):
+        assert sorted((r.doc_id, r.n_removed) for r in table.collect()) == [(1, 0), (2, 80)]
